@@ -13,7 +13,7 @@ from tidewatch.functions.text import number, title_case, truthy
 
 
 def unit_interval(c: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    return F.when(c.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)))
 
 
 def cents_to_unit(c: Column) -> Column:

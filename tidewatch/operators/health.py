@@ -63,13 +63,10 @@ def trade_flow_scores(trades: DataFrame) -> DataFrame:
             F.least(
                 F.lit(1.0), F.col("trade_count") / F.lit(minutes) / F.lit(fv.MAX_TRADES_PER_MINUTE)
             ).alias("trade_velocity"),
-            F.coalesce(
-                F.least(
-                    F.lit(1.0),
-                    F.col("whale_dollars") / F.nullif(F.col("total_dollars"), F.lit(0.0)),
-                ),
-                F.lit(0.0),
-            ).alias("whale_activity"),
+            F.when(
+                F.col("total_dollars") != 0,
+                F.least(F.lit(1.0), F.col("whale_dollars") / F.col("total_dollars")),
+            ).otherwise(0.0).alias("whale_activity"),
         )
     )
 
@@ -81,11 +78,11 @@ def orderbook_scores(books: DataFrame) -> DataFrame:
         F.max_by(F.struct(*fields), F.struct("timestamp", *fields)).alias("b")
     )
     depth = F.col("b.bid_depth") + F.col("b.ask_depth")
-    imbalance = F.abs(F.col("b.bid_depth") - F.col("b.ask_depth")) / F.nullif(depth, F.lit(0.0))
+    imbalance = F.abs(F.col("b.bid_depth") - F.col("b.ask_depth")) / depth
     tight = F.lit(1.0) - F.col("b.spread") / F.lit(fv.MAX_SPREAD)
     return newest.select(
         "ticker",
-        F.coalesce(F.least(F.lit(1.0), imbalance), F.lit(0.0)).alias("orderbook_imbalance"),
+        F.when(depth != 0, F.least(F.lit(1.0), imbalance)).otherwise(0.0).alias("orderbook_imbalance"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), tight)).alias("spread_tightness"),
     )
 

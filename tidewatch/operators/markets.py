@@ -304,16 +304,20 @@ def market_search(
     return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
 
 
+def _stat(stat: str, name: Column, n: Column) -> Column:
+    return F.struct(F.lit(stat).alias("stat"), name.alias("name"), n.alias("n"))
+
+
 def market_stats(markets: DataFrame) -> DataFrame:
     """Long form: (stat, name, n) for total, active, platform and non-empty category counts."""
     counts = markets.groupBy("platform", "category").agg(
         F.count("*").alias("n"), F.count_if("is_active").alias("active")
     )
     cells = F.array(
-        F.struct(F.lit("total").alias("stat"), F.lit("").alias("name"), F.col("n").alias("n")),
-        F.struct(F.lit("active"), F.lit(""), F.col("active")),
-        F.struct(F.lit("platform"), F.col("platform"), F.col("n")),
-        F.struct(F.lit("category"), F.coalesce("category", F.lit("")), F.col("n")),
+        _stat("total", F.lit(""), F.col("n")),
+        _stat("active", F.lit(""), F.col("active")),
+        _stat("platform", F.col("platform"), F.col("n")),
+        _stat("category", F.coalesce("category", F.lit("")), F.col("n")),
     )
     return (
         counts.select(F.explode(cells).alias("c"))

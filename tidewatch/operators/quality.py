@@ -211,18 +211,16 @@ def integrity_report(
     def verdict(ok: Column, good: str = "PASS", bad: str = "WARN") -> Column:
         return F.when(ok, good).otherwise(bad)
 
+    def check(name: str, value: Column, status: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("check_name"), value.alias("value"), status.alias("status")
+        )
+
+    both = enough & long_enough
     cells = F.array(
-        F.struct(
-            F.lit("total_events").alias("check_name"),
-            F.col("total_events").alias("value"),
-            verdict(enough).alias("status"),
-        ),
-        F.struct(F.lit("duration_hours"), F.col("duration_hours"), verdict(long_enough)),
-        F.struct(
-            F.lit("gate"),
-            (enough & long_enough).cast("double"),
-            verdict(enough & long_enough, bad="NOT MET"),
-        ),
+        check("total_events", F.col("total_events"), verdict(enough)),
+        check("duration_hours", F.col("duration_hours"), verdict(long_enough)),
+        check("gate", both.cast("double"), verdict(both, bad="NOT MET")),
     )
     head = totals.select(F.explode(cells).alias("c")).select("c.*")
 
@@ -252,9 +250,10 @@ def store_stats_report(markets: DataFrame, events: DataFrame) -> DataFrame:
         F.max("hi").alias("hi"),
     )
     cells = F.array(
-        F.struct(F.lit("events").alias("stat"), F.lit("").alias("name"), F.col("n").alias("value")),
-        F.struct(F.lit("first_ts"), F.lit(""), F.col("lo")),
-        F.struct(F.lit("last_ts"), F.lit(""), F.col("hi")),
+        *[
+            F.struct(F.lit(stat).alias("stat"), F.lit("").alias("name"), F.col(c).alias("value"))
+            for stat, c in (("events", "n"), ("first_ts", "lo"), ("last_ts", "hi"))
+        ]
     )
     return (
         totals.select(F.explode(cells).alias("c"))

@@ -134,15 +134,21 @@ def _ends(window_ms: int, anchor_ms: int, stride_ms: int, lo: Column, hi: Column
     return F.when(first <= last, F.sequence(first, last, F.lit(stride_ms).cast("long"))).otherwise(none)
 
 
+def _tagged(window_minutes: int, end_times: Column) -> Column:
+    return F.transform(
+        end_times,
+        lambda e: F.struct(F.lit(window_minutes).alias("window_minutes"), e.alias("window_end")),
+    )
+
+
+def between(end_times: Column, low: int, high: int) -> Column:
+    """The end times inside [low, high]."""
+    return F.filter(end_times, lambda e: (e >= low) & (e <= high))
+
+
 def window_samples(panes: DataFrame, ends: dict[int, Column]) -> DataFrame:
     """Combine panes to windows: ``ends`` maps window minutes to the array of end times."""
-    per_window = [
-        F.transform(
-            end_times,
-            lambda e, w=w: F.struct(F.lit(w).alias("window_minutes"), e.alias("window_end")),
-        )
-        for w, end_times in ends.items()
-    ]
+    per_window = [_tagged(w, end_times) for w, end_times in ends.items()]
     rows = panes.withColumn("x", F.explode(F.flatten(F.array(*per_window))))
     return _finish(
         rows.groupBy("market_id", "x.window_minutes", "x.window_end").agg(
@@ -178,7 +184,7 @@ def trailing_samples(
     for w in windows:
         span = w * MINUTE_MS
         grid = _ends(span, start, span, lo, hi)
-        grid = F.filter(grid, lambda e, s=span: (e >= start + s) & (e <= now_ms))
+        grid = between(grid, start + span, now_ms)
         if lookback % span or span > lookback:
             now = F.array(F.lit(now_ms).cast("long"))
             grid = F.when(lo >= now_ms - span, F.array_union(grid, now)).otherwise(grid)
