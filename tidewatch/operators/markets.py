@@ -125,17 +125,38 @@ def newest_prices(events: DataFrame) -> DataFrame:
 
 def apply_latest_prices(markets: DataFrame, events: DataFrame) -> DataFrame:
     """Set yes_price where an event is strictly newer than the stored price."""
-    new = newest_prices(events).select(
-        "id", F.col("yes_price").alias("__price"), F.col("price_updated_at").alias("__ts")
+    prices = newest_prices(events).withColumn("ended", F.lit(False))
+    return fold_market_changes(markets, prices)
+
+
+def market_changes(events: DataFrame) -> DataFrame:
+    """What a batch of events changes in the dimension: (id, yes_price, price_updated_at, ended)."""
+    ended = terminal_market_ids(events).select(
+        F.col("market_id").alias("id"), F.lit(True).alias("ended")
+    )
+    return newest_prices(events).join(ended, "id", "full_outer").withColumn(
+        "ended", F.coalesce("ended", F.lit(False))
+    )
+
+
+def fold_market_changes(markets: DataFrame, changes: DataFrame) -> DataFrame:
+    """Apply the changes of any number of batches; applying them again alters nothing."""
+    folded = changes.groupBy("id").agg(
+        F.max_by("yes_price", F.col("price_updated_at")).alias("__price"),
+        F.max("price_updated_at").alias("__ts"),
+        F.bool_or("ended").alias("__ended"),
     )
     newer = F.col("__ts").isNotNull() & (
         F.col("price_updated_at").isNull() | (F.col("__ts") > F.col("price_updated_at"))
     )
     return (
-        markets.join(new, "id", "left")
-        .withColumn("yes_price", F.when(newer, F.col("__price")).otherwise(F.col("yes_price")))
-        .withColumn(
-            "price_updated_at", F.when(newer, F.col("__ts")).otherwise(F.col("price_updated_at"))
+        markets.join(folded, "id", "left")
+        .withColumns(
+            {
+                "yes_price": F.when(newer, F.col("__price")).otherwise(F.col("yes_price")),
+                "price_updated_at": F.when(newer, F.col("__ts")).otherwise(F.col("price_updated_at")),
+                "is_active": F.col("is_active") & ~F.coalesce("__ended", F.lit(False)),
+            }
         )
         .select(*markets.columns)
     )

@@ -36,7 +36,7 @@ def append_events(
             "id", hashed_id(*[F.col(c) for c in ("market_id", "event_type", "timestamp", "new_value")],
                             F.coalesce("metadata", F.lit("")))
         ),
-    ).withColumn("event_type", schemas.checked("event_type", schemas.EVENT_TYPES))
+    )
     (
         df.withColumn("event_date", event_day(F.col("timestamp")))
         .write.mode("overwrite")
@@ -84,6 +84,18 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
     return None if wanted is None else spark.read.parquet(f"{root}/version={wanted}")
 
 
+def write_anomalies(anomalies: DataFrame, links: DataFrame, root: str, version: int) -> None:
+    """Publish the anomaly tables; a type or status outside the enums fails the write."""
+    rows = schemas.conform(anomalies, schemas.ANOMALIES).withColumns(
+        {
+            "anomaly_type": schemas.checked("anomaly_type", schemas.ANOMALY_TYPES),
+            "status": schemas.checked("status", schemas.ANOMALY_STATUSES),
+        }
+    )
+    write_snapshot(schemas.conform(links, schemas.ANOMALY_MARKETS), f"{root}/anomaly_markets", version)
+    write_snapshot(rows, f"{root}/anomalies", version)
+
+
 def archive_events(events: DataFrame, root: str, fmt: str = "json") -> None:
     """Hourly archive of the log: one folder per UTC date and hour."""
     (
