@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import fixed_values as fv
+from tidewatch.functions.documents import with_parsed
 from tidewatch.functions.keyed import earliest, latest, top_k_per_key
 from tidewatch.functions.text import iso_millis, number, series_prefix
 
@@ -56,12 +57,10 @@ def _move_columns() -> list[Column]:
 
 
 def _sized_trades(anomaly_events: DataFrame) -> DataFrame:
-    doc = F.from_json("metadata", "count string, taker_side string")
     size = F.coalesce(number(F.col("d.count")), F.lit(1.0))
-    return (
-        anomaly_events.filter("event_type = 'trade'")
-        .withColumn("d", doc)
-        .withColumns({"size": size, "dollars": F.col("new_value") * size})
+    trades = anomaly_events.filter("event_type = 'trade'")
+    return with_parsed(trades, "metadata", "count string, taker_side string", "d").withColumns(
+        {"size": size, "dollars": F.col("new_value") * size}
     )
 
 

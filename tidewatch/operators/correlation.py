@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed_values as fv
+from tidewatch.functions.documents import with_parsed
 from tidewatch.functions.keyed import earliest, hashed_id, latest, top_k_per_key
 from tidewatch.functions.text import fixed, percent, series_prefix
 
@@ -275,10 +276,11 @@ def cross_platform_anomalies(
             F.col("direction").alias(f"direction_{s}"),
         )
 
-    doc = F.from_json("metadata", "market_id_a long, market_id_b long")
     emitted = (
-        _emitted_in_window(anomalies, "cross_platform", now_ms, window_minutes)
-        .select(doc.alias("d"))
+        with_parsed(
+            _emitted_in_window(anomalies, "cross_platform", now_ms, window_minutes),
+            "metadata", "market_id_a long, market_id_b long", "d",
+        )
         .filter("d.market_id_a is not null and d.market_id_b is not null")
         .select(
             F.least("d.market_id_a", "d.market_id_b").alias("market_id_a"),
@@ -412,10 +414,11 @@ def series_anomalies(
         F.when(rising, F.col("up_n")).otherwise(F.col("down_n")).alias("movers"),
         F.when(rising, F.col("up_avg")).otherwise(F.col("down_avg")).alias("avg_change_pct"),
     ).filter((F.col("movers") >= min_movers) & (F.col("total_markets") >= min_movers))
-    doc = F.from_json("metadata", "source string, series_prefix string")
     emitted = (
-        _emitted_in_window(anomalies, "cluster", now_ms, window_minutes)
-        .select(doc.alias("d"))
+        with_parsed(
+            _emitted_in_window(anomalies, "cluster", now_ms, window_minutes),
+            "metadata", "source string, series_prefix string", "d",
+        )
         .filter("d.source = 'series_pattern' and d.series_prefix is not null")
         .select("d.series_prefix")
         .distinct()

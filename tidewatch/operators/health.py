@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import fixed_values as fv
+from tidewatch.functions.documents import with_parsed
 from tidewatch.functions.keyed import top_k_per_key
 from tidewatch.functions.text import number
 
@@ -19,10 +20,10 @@ def trades_enriched(events: DataFrame) -> DataFrame:
 
     size = metadata.count, 1 when missing, empty or not a number; dollars = price x size.
     """
-    doc = F.from_json("metadata", "ticker string, count string, taker_side string")
-    rows = events.filter(F.col("event_type").isin("trade", "price_change")).select(
-        "id", "event_type", "timestamp", F.col("new_value").alias("price"), doc.alias("d")
+    wanted = events.filter(F.col("event_type").isin("trade", "price_change")).select(
+        "id", "event_type", "timestamp", F.col("new_value").alias("price"), "metadata"
     )
+    rows = with_parsed(wanted, "metadata", "ticker string, count string, taker_side string", "d")
     size = F.coalesce(number(F.col("d.count")), F.lit(1.0))
     is_trade = F.col("event_type") == "trade"
     return rows.filter(F.col("d.ticker") != "").select(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed_values as fv
+from tidewatch.functions.documents import with_parsed
 from tidewatch.functions.keyed import (
     apply_changes,
     hashed_id,
@@ -91,10 +92,9 @@ def deactivate_expired(markets: DataFrame, now_ms: int) -> DataFrame:
 
 def terminal_market_ids(events: DataFrame) -> DataFrame:
     """Markets with a status_change to a terminal status (group lifecycle rows do not count)."""
-    doc = F.from_json("metadata", "status string, source string")
+    changes = events.filter(F.col("event_type") == "status_change").select("market_id", "metadata")
     return (
-        events.filter(F.col("event_type") == "status_change")
-        .select("market_id", doc.alias("d"))
+        with_parsed(changes, "metadata", "status string, source string", "d")
         .filter(
             F.lower("d.status").isin(*fv.TERMINAL_STATUSES)
             & ~F.coalesce(F.col("d.source") == "event_lifecycle_v2", F.lit(False))

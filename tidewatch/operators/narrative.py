@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schemas
 from tidewatch.functions import fixed_values as fv
+from tidewatch.functions.documents import with_parsed
 from tidewatch.functions.keyed import apply_changes
 from tidewatch.functions.text import fixed, number, percent, strip_code_fence
 from tidewatch.operators.catalyst import catalyst_analysis, events_of_anomalies
@@ -153,12 +154,6 @@ def catalyst_metadata(
     return told.select(F.col("anomaly_id").alias("id"), doc.alias("metadata"))
 
 
-def parsed_metadata(metadata: Column) -> Column:
-    """Catalyst metadata as a struct; NULL unless the text carries a catalyst_type."""
-    doc = F.from_json(metadata, schemas.CATALYST_METADATA)
-    return F.when(doc["catalyst_type"].isNotNull(), doc)
-
-
 def anomaly_feed(active: DataFrame) -> DataFrame:
     """Active anomalies with the narrative to show.
 
@@ -166,7 +161,10 @@ def anomaly_feed(active: DataFrame) -> DataFrame:
     from the stored signals; anomalies without catalyst metadata have none.
     """
     title = F.trim(F.substring_index(F.coalesce("summary", F.lit("")), ":", 1))
-    rows = active.withColumn("doc", parsed_metadata(F.col("metadata"))).withColumn("title", title)
+    parsed = with_parsed(active, "metadata", schemas.CATALYST_METADATA, "doc")
+    # only text that carries a catalyst_type is catalyst metadata
+    doc = F.when(F.col("doc.catalyst_type").isNotNull(), F.col("doc"))
+    rows = parsed.withColumns({"doc": doc, "title": title})
     flat = rows.select(
         *active.columns, "title", "doc",
         *[
@@ -251,12 +249,9 @@ def parse_narrative_replies(replies: DataFrame) -> DataFrame:
 
     A reply that is not JSON keeps its first 500 characters as the narrative.
     """
-    doc = F.from_json(
-        strip_code_fence(F.col("content")),
-        "headline string, narrative string, attributed_catalyst string, confidence string",
-    )
+    doc = "headline string, narrative string, attributed_catalyst string, confidence string"
     confidence = F.coalesce(number(F.col("d.confidence")), F.lit(0.5))
-    return replies.withColumn("d", doc).select(
+    return with_parsed(replies, strip_code_fence(F.col("content")), doc, "d").select(
         "anomaly_id",
         F.coalesce("d.headline", F.lit(fv.UNPARSED_HEADLINE)).alias("headline"),
         F.coalesce("d.narrative", F.substring("content", 1, 500)).alias("narrative"),
@@ -268,8 +263,9 @@ def parse_narrative_replies(replies: DataFrame) -> DataFrame:
 def narrative_pairs(anomalies: DataFrame, since_ms: int | None = None) -> DataFrame:
     """Template and model narrative side by side, for anomalies that have a template."""
     rows = anomalies if since_ms is None else anomalies.filter(F.col("detected_at") >= since_ms)
-    doc = F.from_json("metadata", schemas.CATALYST_METADATA)
-    rows = rows.select("id", "severity", doc.alias("d")).filter("d.template_narrative is not null")
+    rows = with_parsed(rows, "metadata", schemas.CATALYST_METADATA, "d").filter(
+        "d.template_narrative is not null"
+    )
     model, none = F.col("d.llm_narrative"), F.lit("(no LLM)")
     return rows.select(
         "id",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed_values as fv
+from tidewatch.functions.documents import with_parsed
 from tidewatch.functions.pricing import (
     category_from_title,
     first_truthy,
@@ -55,8 +56,7 @@ def _snapshot(df: DataFrame, platform: str, yes_price: Column, **cols: Column) -
 
 def normalize_kalshi_listing(raw: DataFrame, now_ms: int) -> DataFrame:
     """Raw listing JSON (``payload``, ``received_ms``) -> tradable market snapshots."""
-    m = raw.select("received_ms", F.from_json("payload", _KALSHI_LISTING).alias("m"))
-    m = m.select("received_ms", "m.*")
+    m = with_parsed(raw, "payload", _KALSHI_LISTING, "m").select("received_ms", "m.*")
     kept = m.filter(
         first_truthy(F.col("ticker"), F.col("id")).isNotNull()
         & (F.col("title") != "")
@@ -84,8 +84,7 @@ def normalize_kalshi_listing(raw: DataFrame, now_ms: int) -> DataFrame:
 
 def normalize_polymarket_listing(raw: DataFrame, now_ms: int) -> DataFrame:
     """Raw listing JSON -> open market snapshots; descriptions are stored up to 500 chars."""
-    m = raw.select("received_ms", F.from_json("payload", _POLYMARKET_LISTING).alias("m"))
-    m = m.select("received_ms", "m.*")
+    m = with_parsed(raw, "payload", _POLYMARKET_LISTING, "m").select("received_ms", "m.*")
     kept = m.filter(
         (F.col("conditionId") != "")
         & (F.col("question") != "")
@@ -172,7 +171,7 @@ def flatten_taxonomy(taxonomy: DataFrame, known: DataFrame) -> DataFrame:
 
 def token_map(raw: DataFrame) -> DataFrame:
     """(token_id, condition_id) from listings; a token listed twice keeps its last listing."""
-    m = raw.select("received_ms", F.from_json("payload", _POLYMARKET_LISTING).alias("m"))
+    m = with_parsed(raw, "payload", _POLYMARKET_LISTING, "m")
     tokens = m.filter((F.col("m.conditionId") != "") & (F.col("m.clobTokenIds") != "")).select(
         "received_ms",
         F.col("m.conditionId").alias("condition_id"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed_values as fv
+from tidewatch.functions.documents import with_parsed
 from tidewatch.functions.pricing import first_truthy
 from tidewatch.functions.text import number
 
@@ -28,8 +29,8 @@ def _depth(levels: Column) -> Column:
 
 def orderbook_summary(raw: DataFrame) -> DataFrame:
     """(ticker, payload, received_ms) -> depth, best prices and spread; empty books vanish."""
-    book = F.from_json("payload", _BOOK)["orderbook"]
-    df = raw.select(
+    book = F.col("b.orderbook")
+    df = with_parsed(raw, "payload", _BOOK, "b").select(
         "ticker",
         "received_ms",
         F.coalesce(book["yes"], F.array().cast("array<array<double>>")).alias("all_yes"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.documents import with_parsed
 from tidewatch.functions.pricing import cents_to_unit, first_truthy
 from tidewatch.functions.text import number
 
@@ -47,8 +48,8 @@ def _event(event_type: Column, value: Column, metadata: Column) -> list[Column]:
 
 def normalize_kalshi_messages(raw: DataFrame) -> DataFrame:
     """ticker / trade / market lifecycle / event lifecycle messages, one projection."""
-    parsed = raw.filter(F.col("platform") == "kalshi").select(
-        "received_ms", F.from_json("payload", _KALSHI_MESSAGE).alias("j")
+    parsed = with_parsed(
+        raw.filter(F.col("platform") == "kalshi"), "payload", _KALSHI_MESSAGE, "j"
     )
     kind, m = F.col("j.type"), F.col("j.msg")
     ticker = F.nullif(m["market_ticker"], F.lit(""))
@@ -110,8 +111,9 @@ def normalize_kalshi_messages(raw: DataFrame) -> DataFrame:
             ),
         )
     )
-    events = parsed.select(*_event(event_type, value, metadata))
-    return events.filter(F.col("event_type").isNotNull() & F.col("new_value").isNotNull())
+    usable = event_type.isNotNull() & value.isNotNull()
+    event = F.when(usable, F.array(F.struct(*_event(event_type, value, metadata))))
+    return parsed.select(F.inline(event))
 
 
 def normalize_polymarket_messages(raw: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -120,8 +122,8 @@ def normalize_polymarket_messages(raw: DataFrame, tokens: DataFrame) -> DataFram
     Every message becomes an array of updates (one per changed asset), which is exploded once
     and joined once with the token map; updates of unknown assets are dropped.
     """
-    parsed = raw.filter(F.col("platform") == "polymarket").select(
-        "received_ms", F.from_json("payload", _POLYMARKET_MESSAGE).alias("j")
+    parsed = with_parsed(
+        raw.filter(F.col("platform") == "polymarket"), "payload", _POLYMARKET_MESSAGE, "j"
     )
     j = F.col("j")
     kind = F.coalesce(F.nullif(j["event_type"], F.lit("")), j["type"])
