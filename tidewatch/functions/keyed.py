@@ -86,6 +86,18 @@ def previous_by_chunk(
     )
 
 
+def with_totals(df: DataFrame, *totals: DataFrame) -> DataFrame:
+    """Add the columns of one-row aggregates to every row, as scalar subqueries."""
+    out = df
+    for i, one_row in enumerate(totals):
+        name = f"__total{i}"
+        row = one_row.select(F.struct(*one_row.columns).alias(name)).scalar()
+        out = out.withColumn(name, row).select(
+            *[c for c in out.columns], *[F.col(f"{name}.{c}").alias(c) for c in one_row.columns]
+        )
+    return out
+
+
 def merge_keyed(
     current: DataFrame,
     incoming: DataFrame,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.keyed import with_totals
+
 HOUR_MS = 3_600_000
 
 
@@ -71,21 +73,17 @@ def peak_hours(hourly: DataFrame) -> DataFrame:
         F.avg("event_count").alias("avg_events"), F.avg("active_markets").alias("avg_markets")
     )
     hours = hourly.sparkSession.range(24).select(F.col("id").cast("int").alias("hour_et"))
-    # 24 rows: the busiest hour is found by one more aggregate over them
-    top = per_hour.agg(F.max("avg_events").alias("top")).withColumn("__one", F.lit(1))
     zero = F.lit(0.0)
-    return (
-        hours.join(per_hour, "hour_et", "left")
-        .withColumn("__one", F.lit(1))
-        .join(top, "__one")
-        .select(
-            "hour_et",
-            F.coalesce("avg_events", zero).alias("avg_events"),
-            F.coalesce("avg_markets", zero).alias("avg_markets"),
-            F.when(F.col("top") > 0, F.coalesce("avg_events", zero) / F.col("top"))
-            .otherwise(zero)
-            .alias("bar"),
-        )
+    per_hour = with_totals(
+        hours.join(per_hour, "hour_et", "left"), per_hour.agg(F.max("avg_events").alias("top"))
+    )
+    return per_hour.select(
+        "hour_et",
+        F.coalesce("avg_events", zero).alias("avg_events"),
+        F.coalesce("avg_markets", zero).alias("avg_markets"),
+        F.when(F.col("top") > 0, F.coalesce("avg_events", zero) / F.col("top"))
+        .otherwise(zero)
+        .alias("bar"),
     )
 
 

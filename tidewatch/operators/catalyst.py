@@ -37,107 +37,159 @@ def events_of_anomalies(
     )
 
 
-def price_move(anomaly_events: DataFrame) -> DataFrame:
-    """First and last price, size and direction of the move per anomaly."""
+def _is(kind: str) -> Column:
+    return F.col("event_type") == kind
+
+
+def _price_ends(when: Column) -> list[Column]:
     v, ts, tie = F.col("new_value"), F.col("timestamp"), F.col("id")
-    ends = anomaly_events.filter("event_type = 'price_change'").groupBy("anomaly_id").agg(
-        earliest(v, ts, tie).alias("price_from"), latest(v, ts, tie).alias("price_to")
-    )
-    return ends.select("anomaly_id", "price_from", "price_to", *_move_columns())
+    return [
+        earliest(v, ts, tie, when).alias("price_from"), latest(v, ts, tie, when).alias("price_to")
+    ]
 
 
-def _move_columns() -> list[Column]:
+def _move_columns() -> dict[str, Column]:
     first, last = F.col("price_from"), F.col("price_to")
     change = F.when(first > 0, (last - first) / first)
-    return [
-        F.coalesce(F.abs(change), F.lit(0.0)).alias("magnitude_pct"),
-        F.when(change > 0, "up").when(change < 0, "down").when(change == 0, "flat")
-        .otherwise("unknown").alias("direction"),
-    ]
+    direction = F.when(change > 0, "up").when(change < 0, "down").when(change == 0, "flat")
+    return {
+        "magnitude_pct": F.coalesce(F.abs(change), F.lit(0.0)),
+        "direction": direction.otherwise("unknown"),
+    }
 
 
-def _sized_trades(anomaly_events: DataFrame) -> DataFrame:
-    size = F.coalesce(number(F.col("d.count")), F.lit(1.0))
-    trades = anomaly_events.filter("event_type = 'trade'")
-    return with_parsed(trades, "metadata", "count string, taker_side string", "d").withColumns(
-        {"size": size, "dollars": F.col("new_value") * size}
+def price_move(anomaly_events: DataFrame) -> DataFrame:
+    """First and last price, size and direction of the move per anomaly."""
+    return (
+        anomaly_events.filter(_is("price_change"))
+        .groupBy("anomaly_id")
+        .agg(*_price_ends(F.lit(True)))
+        .withColumns(_move_columns())
     )
 
 
-def trade_flow(anomaly_events: DataFrame) -> DataFrame:
-    """Trade counts, whale share, taker side and mean size per anomaly."""
-    dollars = F.col("dollars")
-    sums = _sized_trades(anomaly_events).groupBy("anomaly_id", "window_minutes").agg(
-        F.count("*").alias("trade_count"),
+def _with_sizes(anomaly_events: DataFrame) -> DataFrame:
+    size = F.coalesce(number(F.col("d.count")), F.lit(1.0))
+    return with_parsed(
+        anomaly_events, "metadata", "count string, taker_side string", "d"
+    ).withColumns({"size": size, "dollars": F.col("new_value") * size})
+
+
+def _flow_sums(when: Column) -> list[Column]:
+    dollars = F.when(when, F.col("dollars"))
+    return [
+        F.count_if(when).alias("trade_count"),
         F.sum(dollars).alias("total"),
         F.coalesce(F.sum(F.when(dollars >= fv.WHALE_DOLLARS, dollars)), F.lit(0.0)).alias("whale"),
         F.coalesce(F.sum(F.when(F.col("d.taker_side") == "yes", dollars)), F.lit(0.0)).alias("buys"),
-        F.avg("size").alias("avg_trade_size"),
-    )
+        F.avg(F.when(when, F.col("size"))).alias("avg_trade_size"),
+    ]
+
+
+def _flow_columns() -> dict[str, Column]:
     total = F.when(F.col("total") > 0, F.col("total"))
-    return sums.select(
-        "anomaly_id",
-        "trade_count",
-        (F.col("trade_count") / F.greatest("window_minutes", F.lit(1))).alias("trades_per_minute"),
-        F.coalesce(F.col("whale") / total, F.lit(0.0)).alias("whale_trade_pct"),
-        F.coalesce(F.col("buys") / total, F.lit(0.0)).alias("taker_buy_pct"),
-        "avg_trade_size",
+    return {
+        "trades_per_minute": F.col("trade_count") / F.greatest("window_minutes", F.lit(1)),
+        "whale_trade_pct": F.coalesce(F.col("whale") / total, F.lit(0.0)),
+        "taker_buy_pct": F.coalesce(F.col("buys") / total, F.lit(0.0)),
+    }
+
+
+def trade_flow(anomaly_events: DataFrame) -> DataFrame:
+    """Trade counts, whale share, taker side and mean size per anomaly."""
+    return (
+        _with_sizes(anomaly_events.filter(_is("trade")))
+        .groupBy("anomaly_id", "window_minutes")
+        .agg(*_flow_sums(F.lit(True)))
+        .withColumns(_flow_columns())
+        .select(
+            "anomaly_id", "trade_count", "trades_per_minute", "whale_trade_pct", "taker_buy_pct",
+            "avg_trade_size",
+        )
     )
 
 
-def burst_detection(anomaly_events: DataFrame) -> DataFrame:
-    """Largest share of an anomaly's trades inside one fifth of its window.
+def _with_burst_marks(anomaly_events: DataFrame) -> DataFrame:
+    """Every trade also places a mark one burst width (a fifth of the window) later.
 
-    Every trade also places a marker one burst width later. In time order the trades counted up
-    to the marker, less those before the trade, are the trades of its interval: one sort per
-    anomaly, whatever the width.
+    In time order the trades counted up to the mark (``upto``), less those before the trade
+    (``before``), are the trades of its interval: one sort per anomaly, whatever the width.
     """
     width = F.floor(F.col("window_minutes") * 60_000 * F.lit(fv.BURST_WINDOW_FRACTION)).cast("long")
-    by_start = Window.partitionBy("anomaly_id").orderBy("timestamp")
-    trades = anomaly_events.filter("event_type = 'trade'").select(
-        "anomaly_id", "timestamp", width.alias("width"),
-        (F.rank().over(by_start) - 1).alias("before"),
+    earlier = (
+        Window.partitionBy("anomaly_id").orderBy("timestamp")
+        .rangeBetween(Window.unboundedPreceding, -1)
+    )
+    itself = F.struct(F.col("timestamp").alias("at"), F.lit(0).alias("is_mark"))
+    mark = F.struct((F.col("timestamp") + width).alias("at"), F.lit(1).alias("is_mark"))
+    rows = anomaly_events.withColumn("before", F.count_if(_is("trade")).over(earlier)).withColumn(
+        "m", F.explode(F.when(_is("trade"), F.array(itself, mark)).otherwise(F.array(itself)))
     )
-    marks = trades.select(
-        "anomaly_id",
-        F.col("timestamp").alias("start"),
-        "before",
-        F.explode(
-            F.array(
-                F.struct(F.col("timestamp").alias("at"), F.lit(0).alias("is_end")),
-                F.struct((F.col("timestamp") + F.col("width")).alias("at"), F.lit(1).alias("is_end")),
-            )
-        ).alias("m"),
-    ).select("anomaly_id", "start", "before", "m.at", "m.is_end")
     so_far = (
-        Window.partitionBy("anomaly_id").orderBy("at", "is_end")
+        Window.partitionBy("anomaly_id").orderBy("m.at", "m.is_mark")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    is_trade = F.col("is_end") == 0
-    best = (
-        marks.withColumns(
-            {
-                "n": F.count_if(is_trade).over(so_far) - F.col("before"),
-                "last_at": F.max(F.when(is_trade, F.col("at"))).over(so_far),
-            }
+    counted = _is("trade") & (F.col("m.is_mark") == 0)
+    return rows.withColumns(
+        {
+            "n": F.count_if(counted).over(so_far) - F.col("before"),
+            "last_at": F.max(F.when(counted, F.col("m.at"))).over(so_far),
+        }
+    )
+
+
+def _burst_best(is_mark: Column) -> Column:
+    start = F.col("timestamp")
+    return F.max_by(
+        F.struct("n", start.alias("start"), "last_at"), F.when(is_mark, F.struct("n", -start))
+    ).alias("b")
+
+
+def _burst_columns() -> dict[str, Column]:
+    share = F.col("b.n") / F.nullif(F.col("trade_count"), F.lit(0).cast("long"))
+    hit = (F.col("trade_count") >= fv.BURST_MIN_TRADES) & (share >= fv.BURST_TRADE_SHARE)
+    hit = F.coalesce(hit, F.lit(False))
+    seconds = (F.col("b.last_at") - F.col("b.start")) / 1000.0
+    return {
+        "burst_detected": hit,
+        "burst_trade_pct": F.when(hit, share).otherwise(0.0),
+        "burst_duration_seconds": F.when(hit, seconds).otherwise(0.0),
+    }
+
+
+def burst_detection(anomaly_events: DataFrame) -> DataFrame:
+    """Largest share of an anomaly's trades inside one fifth of its window."""
+    marks = _with_burst_marks(
+        anomaly_events.filter(_is("trade")).select(
+            "anomaly_id", "window_minutes", "event_type", "timestamp"
         )
-        .groupBy("anomaly_id")
+    )
+    is_mark = F.col("m.is_mark") == 1
+    return (
+        marks.groupBy("anomaly_id")
+        .agg(F.count_if(~is_mark).alias("trade_count"), _burst_best(is_mark))
+        .withColumns(_burst_columns())
+        .select("anomaly_id", "burst_detected", "burst_trade_pct", "burst_duration_seconds")
+    )
+
+
+def event_signals(anomaly_events: DataFrame) -> DataFrame:
+    """Price move, trade flow and burst of every anomaly in one pass over its events.
+
+    Sorting and grouping all work on the anomaly key the events are already partitioned by, so
+    nothing is shuffled again and the log is read once for all signals.
+    """
+    marks = _with_burst_marks(_with_sizes(anomaly_events))
+    original = F.col("m.is_mark") == 0
+    return (
+        marks.groupBy("anomaly_id", "window_minutes")
         .agg(
-            F.count_if(is_trade).alias("trades"),
-            F.max_by(
-                F.struct("n", "start", "last_at"),
-                F.when(~is_trade, F.struct("n", -F.col("start"))),
-            ).alias("b"),
+            *_price_ends(original & _is("price_change")),
+            *_flow_sums(original & _is("trade")),
+            _burst_best(~original),
         )
-    )
-    share = F.col("b.n") / F.col("trades")
-    hit = (F.col("trades") >= fv.BURST_MIN_TRADES) & (share >= fv.BURST_TRADE_SHARE)
-    seconds = (F.col("b.last_at") - F.col("b.start")) / 1000.0
-    return best.select(
-        "anomaly_id",
-        hit.alias("burst_detected"),
-        F.when(hit, share).otherwise(0.0).alias("burst_trade_pct"),
-        F.when(hit, seconds).otherwise(0.0).alias("burst_duration_seconds"),
+        .withColumns({**_move_columns(), **_flow_columns(), **_burst_columns()})
+        .drop("window_minutes", "total", "whale", "buys", "b")
     )
 
 
@@ -188,9 +240,7 @@ def catalyst_analysis(
     zero, none = F.lit(0.0), F.lit(0).cast("long")
     return (
         market_context(anomalies, markets, with_expiry)
-        .join(price_move(anomaly_events), "anomaly_id", "left")
-        .join(trade_flow(anomaly_events), "anomaly_id", "left")
-        .join(burst_detection(anomaly_events), "anomaly_id", "left")
+        .join(event_signals(anomaly_events), "anomaly_id", "left")
         .withColumns(
             {
                 "direction": F.coalesce("direction", F.lit("unknown")),

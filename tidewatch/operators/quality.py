@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.functions.keyed import latest, top_k_per_key
+from tidewatch.functions.keyed import latest, top_k_per_key, with_totals
 
 _RUN = 4096  # rows per stitched window: bounds what one task sorts
 
@@ -56,15 +56,7 @@ def store_counts(
         F.count_if(F.col("timestamp").between(since_ms, until_ms)).alias("in_range"),
     )
     market_count = markets.agg(F.count("*").alias("market_count"))
-    return _side_by_side(market_count, per_events)
-
-
-def _side_by_side(*one_row: DataFrame) -> DataFrame:
-    """Columns of several one-row aggregates in one row (an equi-join on a constant)."""
-    out = one_row[0].withColumn("__one", F.lit(1))
-    for other in one_row[1:]:
-        out = out.join(other.withColumn("__one", F.lit(1)), "__one")
-    return out.drop("__one")
+    return with_totals(market_count, per_events)
 
 
 def duplicate_events(

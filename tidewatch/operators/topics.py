@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.functions.keyed import hashed_id, merge_keyed
+from tidewatch.functions.keyed import hashed_id, merge_keyed, with_totals
 from tidewatch.functions.text import strip_code_fence
-from tidewatch.operators.quality import _side_by_side
 
 # ---- FIXED VALUES: prompt and reply formats ----------------------------------------------
 MARKET_LINE = '  [id=%s] "%s"'
@@ -81,7 +80,7 @@ def prompt_batches(
         F.lit(INCREMENTAL_TASK + "\n\nExisting clusters:\n"), F.col("cluster_lines"),
         F.lit("\n\nNew markets:\n"), F.col("market_lines"),
     )
-    return _side_by_side(batches, known).withColumn("prompt", text).drop("cluster_lines")
+    return with_totals(batches, known).withColumn("prompt", text).drop("cluster_lines")
 
 
 def _reply_json(content: Column) -> Column:
@@ -192,6 +191,6 @@ def cluster_stats(markets: DataFrame, memberships: DataFrame, clusters: DataFram
         F.min("members").alias("min_size"),
         F.max("members").alias("max_size"),
     )
-    return _side_by_side(total, open_, sizes).withColumn(
+    return with_totals(total, open_, sizes).withColumn(
         "assigned", F.col("total_markets") - F.col("unassigned")
     )

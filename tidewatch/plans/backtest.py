@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import fixed_values as fv
+from tidewatch.functions.keyed import with_totals
 from tidewatch.operators.detection import DEFAULT_RULES, WindowRule, scored, severity_counts
 from tidewatch.operators.windows import (
     HOUR_MS,
@@ -138,11 +139,8 @@ def backtest_report(
     )
     totals = found.agg(F.count("*").alias("total"), *severity_counts())
     per_day = F.col("total") / F.lit(float(max(days, 1)))
-    one = F.lit(1)
     return (
-        cycles.withColumn("__one", one)
-        .join(totals.withColumn("__one", one), "__one")
-        .drop("__one")
+        with_totals(cycles, totals)
         .withColumn("per_day", per_day)
         .withColumn(
             "gate", F.when(F.col("per_day") < fv.MAX_ALERTS_PER_DAY, "PASS").otherwise("FAIL")

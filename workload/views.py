@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch import configure
+from tidewatch.functions.keyed import with_totals
 
 _NOW: dict[str, int] = {}
 
@@ -212,9 +213,8 @@ class Views:
     @cached_property
     def alerts(self) -> DataFrame:
         """Alerts sent before: one per purchase, newest hour included."""
-        suppliers = self.table("supplier").agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
-        sent = self.raw_events.filter("event_type = 'purchase'").withColumn("one", F.lit(1))
-        return sent.join(F.broadcast(suppliers), "one").selectExpr(
+        suppliers = self.table("supplier").agg(F.count("*").alias("n"))
+        return with_totals(self.raw_events.filter("event_type = 'purchase'"), suppliers).selectExpr(
             "concat('U', event_id % n) as user_id", "'anomaly' as type", "'t' as title",
             "'m' as message", "event_id as anomaly_id", "cast(null as bigint) as market_id",
             "k % 3 = 0 as is_read", "ms as created_at",
