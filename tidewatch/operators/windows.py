@@ -11,6 +11,7 @@ every step is a partial aggregation and a hot market is spread over its panes.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from math import gcd
 
 from pyspark.sql import Column, DataFrame
@@ -100,22 +101,14 @@ def window_panes(events: DataFrame, anchor_ms: int, width_ms: int, start_ms: int
     ts = F.col("timestamp")
     offset = ts - anchor_ms
     on_edge = F.pmod(offset, F.lit(width_ms)) == 0
-    lo = F.when(on_edge, ts).otherwise(
-        F.lit(anchor_ms) + F.floor(offset / F.lit(width_ms)) * width_ms
-    )
+    lo = ts - F.pmod(offset, F.lit(width_ms))
     kept = events.filter(ts.between(start_ms, end_ms) & F.col("event_type").isin(*_TYPES))
     kind, value, at = F.col("event_type"), F.col("new_value"), F.struct("timestamp", "id")
     price = kind == "price_change"
     return (
-        kept.groupBy(
-            "market_id",
-            lo.cast("long").alias("lo"),
-            F.when(on_edge, lo).otherwise(lo + width_ms).cast("long").alias("hi"),
-        )
+        kept.groupBy("market_id", lo.alias("lo"), F.when(on_edge, lo).otherwise(lo + width_ms).alias("hi"))
         .agg(
-            F.min(F.when(price, at)).alias("first_at"),
             F.min_by(value, F.when(price, at)).alias("first_price"),
-            F.max(F.when(price, at)).alias("last_at"),
             F.max_by(value, F.when(price, at)).alias("last_price"),
             F.count_if(price).alias("price_count"),
             F.count_if(kind == "trade").alias("trade_count"),
@@ -125,35 +118,74 @@ def window_panes(events: DataFrame, anchor_ms: int, width_ms: int, start_ms: int
     )
 
 
-def _ends(window_ms: int, anchor_ms: int, stride_ms: int, lo: Column, hi: Column) -> Column:
-    """End times (on the stride grid) of the windows that contain the pane [lo, hi]."""
-    first = F.lit(anchor_ms) + F.ceil((hi - anchor_ms) / F.lit(stride_ms)) * stride_ms
-    last = F.lit(anchor_ms) + F.floor((lo + window_ms - anchor_ms) / F.lit(stride_ms)) * stride_ms
-    first, last = first.cast("long"), last.cast("long")
-    none = F.array().cast("array<bigint>")
-    return F.when(first <= last, F.sequence(first, last, F.lit(stride_ms).cast("long"))).otherwise(none)
+@dataclass(frozen=True)
+class EndGrid:
+    """Which ends the windows of one size have: every ``stride_ms`` from ``anchor_ms``, within
+    [first_ms, last_ms], and optionally one more end off the grid."""
 
+    window_minutes: int
+    anchor_ms: int
+    stride_ms: int
+    first_ms: int
+    last_ms: int
+    extra_ms: int | None = None
+
+    @property
+    def span_ms(self) -> int:
+        return self.window_minutes * MINUTE_MS
 
-def _tagged(window_minutes: int, end_times: Column) -> Column:
-    return F.transform(
-        end_times,
-        lambda e: F.struct(F.lit(window_minutes).alias("window_minutes"), e.alias("window_end")),
-    )
 
+def grid_ends(anchor: Column, stride: Column, span: Column, lo: Column, hi: Column) -> Column:
+    """End times on the grid of the closed windows [end - span, end] that contain [lo, hi]."""
+    first = hi + F.pmod(anchor - hi, stride)
+    last = lo + span - F.pmod(lo + span - anchor, stride)
+    return F.when(first <= last, F.sequence(first, last, stride))
 
-def between(end_times: Column, low: int, high: int) -> Column:
-    """The end times inside [low, high]."""
-    return F.filter(end_times, lambda e: (e >= low) & (e <= high))
 
+def window_samples(panes: DataFrame, grids: Sequence[EndGrid]) -> DataFrame:
+    """Combine panes to the windows of every grid.
 
-def window_samples(panes: DataFrame, ends: dict[int, Column]) -> DataFrame:
-    """Combine panes to windows: ``ends`` maps window minutes to the array of end times."""
-    per_window = [_tagged(w, end_times) for w, end_times in ends.items()]
-    rows = panes.withColumn("x", F.explode(F.flatten(F.array(*per_window))))
+    Panes of a market do not overlap in time, so their order is one number and the second
+    aggregation runs on plain long and double buffers (hash aggregation, no sort).
+    """
+
+    def big(value: int | None) -> Column:
+        return F.lit(value).cast("long")
+
+    sizes = F.array(
+        *[
+            F.struct(
+                F.lit(g.window_minutes).alias("window_minutes"),
+                big(g.span_ms).alias("span"), big(g.anchor_ms).alias("anchor"),
+                big(g.stride_ms).alias("stride"), big(g.first_ms).alias("first_end"),
+                big(g.last_ms).alias("last_end"), big(g.extra_ms).alias("extra"),
+            )
+            for g in grids
+        ]
+    )
+    lo, hi = F.col("lo"), F.col("hi")
+    ends = grid_ends(F.col("g.anchor"), F.col("g.stride"), F.col("g.span"), lo, hi)
+    if any(g.extra_ms is not None for g in grids):
+        nothing = F.array().cast("array<bigint>")
+        inside = (lo >= F.col("g.extra") - F.col("g.span")) & (hi <= F.col("g.extra"))
+        ends = F.concat(
+            F.coalesce(ends, nothing), F.when(inside, F.array("g.extra")).otherwise(nothing)
+        )
+    position = lo * 2 + (hi > lo).cast("int")  # an instant comes before the slice it opens
+    has_price = F.col("price_count") > 0
+    rows = (
+        panes.withColumn("position", F.when(has_price, position))
+        .withColumn("g", F.explode(sizes))
+        .withColumn("window_end", F.explode(ends))
+        .filter(
+            F.col("window_end").between(F.col("g.first_end"), F.col("g.last_end"))
+            | F.coalesce(F.col("window_end") == F.col("g.extra"), F.lit(False))
+        )
+    )
     return _finish(
-        rows.groupBy("market_id", "x.window_minutes", "x.window_end").agg(
-            F.min_by("first_price", "first_at").alias("price_start"),
-            F.max_by("last_price", "last_at").alias("price_end"),
+        rows.groupBy("market_id", "g.window_minutes", "window_end").agg(
+            F.min_by("first_price", "position").alias("price_start"),
+            F.max_by("last_price", "position").alias("price_end"),
             F.sum("price_count").alias("price_count"),
             F.sum("trade_count").alias("trade_count"),
             F.sum("volume_sum").alias("volume_sum"),
@@ -178,22 +210,16 @@ def trailing_samples(
     width = pane_width(lookback, *[w * MINUTE_MS for w in windows])
     oldest = min([start, *[now_ms - w * MINUTE_MS for w in windows]])
     panes = window_panes(events, start, width, oldest, now_ms)
-    lo, hi = F.col("lo"), F.col("hi")
-    ends = {}
-    sampled = F.lit(False)
+    grids, sampled = [], F.lit(False)
     for w in windows:
         span = w * MINUTE_MS
-        grid = _ends(span, start, span, lo, hi)
-        grid = between(grid, start + span, now_ms)
-        if lookback % span or span > lookback:
-            now = F.array(F.lit(now_ms).cast("long"))
-            grid = F.when(lo >= now_ms - span, F.array_union(grid, now)).otherwise(grid)
-        ends[w] = grid
+        apart = lookback % span != 0 or span > lookback  # the current window is no sample then
+        grids.append(EndGrid(w, start, span, start + span, now_ms, now_ms if apart else None))
         on_grid = F.pmod(F.col("window_end") - start, F.lit(span)) == 0
         sampled = sampled | (
             (F.col("window_minutes") == w) & on_grid & (F.col("window_end") >= start + span)
         )
-    return window_samples(panes, ends).withColumns(
+    return window_samples(panes, grids).withColumns(
         {"is_sample": sampled, "is_current": F.col("window_end") == now_ms}
     )
 

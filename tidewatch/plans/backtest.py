@@ -15,8 +15,8 @@ from tidewatch.operators.detection import DEFAULT_RULES, WindowRule, scored, sev
 from tidewatch.operators.windows import (
     HOUR_MS,
     MINUTE_MS,
-    _ends,
-    between,
+    EndGrid,
+    grid_ends,
     pane_width,
     window_panes,
     window_samples,
@@ -48,11 +48,11 @@ def backtest_candidates(
     spans = {r.window_minutes: r.window_minutes * MINUTE_MS for r in rules}
     width = pane_width(step, lookback, *spans.values())
     panes = window_panes(events, first, width, first - lookback, last)
-    ends = {}
-    for minutes, span in spans.items():
-        grid = _ends(span, first, pane_width(step, span), F.col("lo"), F.col("hi"))
-        ends[minutes] = between(grid, first - lookback + span, last)
-    samples = window_samples(panes, ends)
+    grids = [
+        EndGrid(minutes, first, pane_width(step, span), first - lookback + span, last)
+        for minutes, span in spans.items()
+    ]
+    samples = window_samples(panes, grids)
     span = F.col("window_minutes").cast("long") * F.lit(MINUTE_MS)
     phase = F.pmod(F.col("window_end") - F.lit(first), span)
     # samples of one phase are a window apart, so this frame holds exactly those of the lookback
@@ -82,11 +82,11 @@ def backtest_candidates(
 def active_at_cursors(events: DataFrame, first: int, last: int, step: int) -> DataFrame:
     """(market_id, cursor_ms) with an event of any type in [cursor - step, cursor]."""
     ts = F.col("timestamp")
-    grid = _ends(step, first, step, ts, ts)
-    cursors = between(grid, first, last)
+    wide = [F.lit(v).cast("long") for v in (first, step, step)]
     return (
         events.filter(ts.between(first - step, last))
-        .select("market_id", F.explode(cursors).alias("cursor_ms"))
+        .select("market_id", F.explode(grid_ends(*wide, ts, ts)).alias("cursor_ms"))
+        .filter(F.col("cursor_ms").between(first, last))
         .distinct()
     )
 
