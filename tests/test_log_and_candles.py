@@ -160,6 +160,13 @@ def test_snapshot_versions(rows, spark, tmp_path):
     assert store.read_snapshot(spark, root, 2).first().id == 2
 
 
+def test_enums_are_checked_on_write(rows, tmp_path):
+    with pytest.raises(Exception, match="bad platform: mars"):
+        store.write_markets(rows.markets(dict(platform="mars")), str(tmp_path / "m"), 0)
+    with pytest.raises(Exception, match="bad status"):
+        store.write_anomalies(rows.anomalies(dict(status="odd")), rows.links(), str(tmp_path / "a"), 0)
+
+
 def test_archive_and_csv(rows, spark, tmp_path):
     store.archive_events(at(rows, 3_600_000, 2 * 3_600_000, 90_000_000), str(tmp_path / "a"))
     back = spark.read.json(str(tmp_path / "a"))

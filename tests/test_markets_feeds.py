@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schemas
 from tidewatch.functions.pricing import category_from_title, kalshi_yes_price, polymarket_yes_price, standard_category
-from tidewatch.functions.text import iso_millis, title_case
+from tidewatch.functions.text import fixed, iso_millis, percent, title_case
 from tidewatch.operators import markets as m
 from tidewatch.sources import catalogs, feeds, messages, store
 
@@ -26,6 +26,12 @@ def test_text_helpers(spark):
     assert got == [NOW, NOW, NOW, NOW, None, None, None]
 
 
+def test_halves_go_to_even(spark):
+    df = spark.createDataFrame([(0.125, 0.0625), (0.375, -0.1875)], "a double, b double")
+    got = [tuple(r) for r in df.select(percent(F.col("a")), percent(F.col("b"), 1, signed=True), fixed(F.col("a") * 20)).collect()]
+    assert got == [("12%", "+6.2%", "2"), ("38%", "-18.8%", "8")]
+
+
 def test_categories(spark):
     got = values(spark, ["Will Trump win?", "BTC above 100k", "Fed rate cut", "Lakers over 100", "Rain in NYC", "Oscar winner", "NASA launch", "S&P close", "Nothing"],
                  lambda c: category_from_title(c, "kalshi"))

@@ -48,7 +48,7 @@ def test_ingest_stream(rows, spark, tmp_path):
              ("kalshi", json.dumps({"type": "ticker", "msg": {"market_ticker": "UNKNOWN", "yes_ask_dollars": "0.4"}}), 5), ("kalshi", "junk", 6)]
     spark.createDataFrame(msgs, schemas.RAW_MESSAGES).coalesce(1).write.json(str(tmp_path / "raw"))
     mk = rows.markets(dict(id=1, external_id="A"), dict(id=2, external_id="B"))
-    store.write_snapshot(mk, str(tmp_path / "markets"), 0)
+    store.write_markets(mk, str(tmp_path / "markets"), 0)
     tokens = spark.createDataFrame([], "token_id string, condition_id string")
     out = str(tmp_path / "out")
     finish(ingest.start_ingest(sources.message_files(spark, str(tmp_path / "raw")), tokens, str(tmp_path / "markets"), out, str(tmp_path / "cp"), trigger=ONCE))

@@ -110,7 +110,7 @@ def throughput(events: DataFrame, now_ms: int, window_seconds: int = 60) -> Data
     recent = events.filter(F.col("timestamp").between(now_ms - window_seconds * 1000, now_ms))
     return recent.agg(
         F.count("*").alias("window_events"),
-        F.round(F.count("*") / F.lit(float(window_seconds)), 2).alias("events_per_second"),
+        F.bround(F.count("*") / F.lit(float(window_seconds)), 2).alias("events_per_second"),
     )
 
 

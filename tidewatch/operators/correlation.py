@@ -89,7 +89,7 @@ def cluster_anomalies(
         .groupBy("cluster_id")
         .agg(
             F.count("*").cast("int").alias("market_count"),
-            F.round(F.avg("max_severity"), 4).alias("severity"),
+            F.bround(F.avg("max_severity"), 4).alias("severity"),
             F.sum("ups").alias("ups"),
             F.sum("downs").alias("downs"),
         )
@@ -315,7 +315,7 @@ def cross_platform_anomalies(
     return hits.select(
         hashed_id("cross_platform", F.col("market_id_a"), F.col("market_id_b"), F.lit(now_ms)).alias("id"),
         F.lit("cross_platform").alias("anomaly_type"),
-        F.round("boosted", 4).alias("severity"),
+        F.bround("boosted", 4).alias("severity"),
         F.lit(None).cast("long").alias("topic_cluster_id"),
         F.lit(2).alias("market_count"),
         F.lit(now_ms - window_minutes * MINUTE_MS).alias("window_start"),
@@ -329,8 +329,8 @@ def cross_platform_anomalies(
         F.to_json(
             F.struct(
                 "market_id_a", "market_id_b", "link_confidence", "signal_type", "direction",
-                F.round("severity_a", 4).alias("severity_a"),
-                F.round("severity_b", 4).alias("severity_b"),
+                F.bround("severity_a", 4).alias("severity_a"),
+                F.bround("severity_b", 4).alias("severity_b"),
             )
         ).alias("metadata"),
         "market_id_a",
@@ -456,7 +456,7 @@ def series_anomalies(
         F.to_json(
             F.struct(
                 F.lit("series_pattern").alias("source"), "series_prefix", "direction", "movers",
-                "total_markets", F.round(avg, 4).alias("avg_change_pct"), "tickers",
+                "total_markets", F.bround(avg, 4).alias("avg_change_pct"), "tickers",
             )
         ).alias("metadata"),
         "series_prefix",

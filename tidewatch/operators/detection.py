@@ -73,7 +73,7 @@ def scored(stats: DataFrame, rules: Sequence[WindowRule] = DEFAULT_RULES) -> Dat
         }
     ).withColumn(
         "severity",
-        F.round(F.greatest("price_score", "volume_score", "zscore_score"), 4),
+        F.bround(F.greatest("price_score", "volume_score", "zscore_score"), 4),
     )
 
 
@@ -137,7 +137,7 @@ def detect_single(scores: DataFrame, markets: DataFrame) -> DataFrame:
     )
     ratio = F.when(
         (F.col("volume_total") > 0) & (F.col("volume_mean") > 0),
-        F.round(F.col("volume_total") / F.col("volume_mean"), 2),
+        F.bround(F.col("volume_total") / F.col("volume_mean"), 2),
     )
     return hits.join(titles, "market_id", "left").select(
         hashed_id(

@@ -109,7 +109,7 @@ def template_narrative(analysis: DataFrame) -> DataFrame:
             _by_type(fv.HEADLINE_FORMATS, values).alias("headline"),
             _by_type(fv.NARRATIVE_FORMATS, values).alias("narrative"),
             c("catalyst_type").alias("catalyst_type"),
-            F.round("confidence", 2).alias("confidence"),
+            F.bround("confidence", 2).alias("confidence"),
             signals.alias("signals"),
             F.lit("template").alias("source"),
         ),

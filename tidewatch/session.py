@@ -29,12 +29,14 @@ def settle(df: DataFrame) -> DataFrame:
     """Materialize ``df`` in the reliable checkpoint folder and drop its lineage.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir`` (shared storage, so a
-    lost executor does not lose the rows). A private folder is used only when none is named,
-    which is the case for tests on one machine.
+    lost executor does not lose the rows). A private folder is used only in local mode when none
+    is named, as in tests; a cluster without the setting is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewatch-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -20,7 +20,7 @@ def event_day(ts_ms: Column) -> Column:
 
 def storable_events(events: DataFrame, persist_price_change: bool = False) -> DataFrame:
     """The event types kept in the log; price changes only on request."""
-    kept = fv.PERSISTED_EVENT_TYPES + (("price_change",) if persist_price_change else ())
+    kept = schemas.EVENT_TYPES if persist_price_change else fv.PERSISTED_EVENT_TYPES
     return events.filter(F.col("event_type").isin(*kept))
 
 
@@ -84,6 +84,14 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
     return None if wanted is None else spark.read.parquet(f"{root}/version={wanted}")
 
 
+def write_markets(markets: DataFrame, root: str, version: int) -> None:
+    """Publish the market table; an unknown platform fails the write."""
+    rows = schemas.conform(markets, schemas.MARKETS)
+    write_snapshot(
+        rows.withColumn("platform", schemas.checked("platform", schemas.PLATFORMS)), root, version
+    )
+
+
 def write_anomalies(anomalies: DataFrame, links: DataFrame, root: str, version: int) -> None:
     """Publish the anomaly tables; a type or status outside the enums fails the write."""
     rows = schemas.conform(anomalies, schemas.ANOMALIES).withColumns(

@@ -143,7 +143,7 @@ register(
     ),
     f"""WITH {AN} SELECT a.id AS anomaly_id, catalyst_type,
          CASE WHEN catalyst_type IS NULL THEN NULL WHEN severity >= 0.2 THEN 'llm' ELSE 'template' END AS source,
-         CASE WHEN catalyst_type IS NULL THEN NULL WHEN severity >= 0.2 THEN least(1, severity * 2) ELSE round(confidence, 2) END AS confidence
+         CASE WHEN catalyst_type IS NULL THEN NULL WHEN severity >= 0.2 THEN least(1, severity * 2) ELSE round_even(confidence, 2) END AS confidence
        FROM mk_anomalies a LEFT JOIN ct ON ct.anomaly_id = a.id WHERE status = 'active'""",
     "confidence",
 )

@@ -22,7 +22,7 @@ def _dir(u: str, d: str) -> str:
 
 
 CLUSTER_SQL = f"""WITH {PER_MARKET},
-  c AS (SELECT cluster_id, CAST(count(*) AS INTEGER) AS market_count, round(avg(sev), 4) AS severity,
+  c AS (SELECT cluster_id, CAST(count(*) AS INTEGER) AS market_count, round_even(avg(sev), 4) AS severity,
           sum(ups) AS u, sum(downs) AS d FROM mk_memberships m JOIN per USING (market_id) GROUP BY 1 HAVING count(*) >= 2)
   SELECT 'cluster' AS anomaly_type, severity, cluster_id AS topic_cluster_id, market_count, {_dir('u', 'd')} AS direction
   FROM c WHERE cluster_id NOT IN (SELECT topic_cluster_id FROM mk_anomalies, cfg
@@ -109,7 +109,7 @@ register(
         v.anomalies, v.anomaly_markets, v.links, v.now, WEEK_MIN
     ).select("market_id_a", "market_id_b", "severity", "signal_type", "direction"),
     f"""WITH {PER_MARKET}, dd AS (SELECT market_id, sev, {_dir('ups', 'downs')} AS dir FROM per)
-       SELECT market_id_a, market_id_b, round(least(1, (a.sev + b.sev) / 2 * 1.2), 4) AS severity,
+       SELECT market_id_a, market_id_b, round_even(least(1, (a.sev + b.sev) / 2 * 1.2), 4) AS severity,
          CASE WHEN a.dir = b.dir AND a.dir <> 'undetermined' THEN 'convergent'
            WHEN a.dir <> 'undetermined' AND b.dir <> 'undetermined' THEN 'divergent' ELSE 'undetermined' END AS signal_type,
          CASE WHEN a.dir = b.dir AND a.dir <> 'undetermined' THEN a.dir

@@ -48,7 +48,7 @@ scored AS (
     CASE WHEN pct_stddev > 0 AND abs(price_change_pct - pct_mean) / pct_stddev > 2.5
       THEN least(1, abs(price_change_pct - pct_mean) / pct_stddev / 5) ELSE 0 END AS zscore_score
   FROM stats s JOIN base USING (market_id, window_minutes), cfg WHERE window_end = now),
-rated AS (SELECT *, round(greatest(price_score, volume_score, zscore_score), 4) AS severity FROM scored)"""
+rated AS (SELECT *, round_even(greatest(price_score, volume_score, zscore_score), 4) AS severity FROM scored)"""
 STAT_DOUBLES = "price_start price_end price_delta price_change_pct volume_total"
 
 register(
@@ -104,7 +104,7 @@ register(
     lambda v: d.detect_single(scores(v), v.markets).drop("id", "summary"),
     f"""WITH {SCORES} SELECT market_id, window_minutes, 'single_market' AS anomaly_type, severity, window_start,
          window_end AS detected_at, price_delta,
-         CASE WHEN volume_total > 0 AND volume_mean > 0 THEN round(volume_total / volume_mean, 2) END AS volume_ratio
+         CASE WHEN volume_total > 0 AND volume_mean > 0 THEN round_even(volume_total / volume_mean, 2) END AS volume_ratio
        FROM rated WHERE severity > 0""",
     "severity price_delta volume_ratio",
 )
@@ -121,7 +121,7 @@ register(
                 FROM rated WHERE severity > 0 AND market_id NOT IN (SELECT market_id FROM busy))
        SELECT market_id, window_minutes, 'single_market' AS anomaly_type, severity, window_start,
          window_end AS detected_at, price_delta,
-         CASE WHEN volume_total > 0 AND volume_mean > 0 THEN round(volume_total / volume_mean, 2) END AS volume_ratio
+         CASE WHEN volume_total > 0 AND volume_mean > 0 THEN round_even(volume_total / volume_mean, 2) END AS volume_ratio
        FROM best WHERE rn = 1""",
     "severity price_delta volume_ratio",
 )
@@ -244,7 +244,7 @@ per AS (SELECT a.market_id, a.win, c, a.pct, a.volume, avg(b.pct) AS pm, stddev_
         FROM curs JOIN st a ON a.e = c JOIN st b ON b.market_id = a.market_id AND b.win = a.win
           AND b.e <= c AND b.e > c - 864000000 AND (c - b.e) % (a.win * 60000) = 0
         GROUP BY ALL),
-sc AS (SELECT *, round(greatest(
+sc AS (SELECT *, round_even(greatest(
     CASE WHEN abs(pct) > 0.10 THEN least(1, log10(abs(pct) / 0.10 + 1) / log10(101)) ELSE 0 END,
     CASE WHEN volume > 0 AND vm > 0 AND volume / vm > 3 THEN least(1, volume / vm / 6) ELSE 0 END,
     CASE WHEN ps > 0 AND abs(pct - pm) / ps > 2.5 THEN least(1, abs(pct - pm) / ps / 5) ELSE 0 END), 4) AS severity FROM per),

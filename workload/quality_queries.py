@@ -182,7 +182,7 @@ register(
 register(
     "throughput",
     lambda v: act.throughput(v.events, v.now, 3600),
-    """SELECT count(*) AS window_events, round(count(*) / 3600.0, 2) AS events_per_second
+    """SELECT count(*) AS window_events, round_even(count(*) / 3600.0, 2) AS events_per_second
        FROM mk_events, cfg WHERE "timestamp" BETWEEN now - 3600000 AND now""",
     "events_per_second",
 )
