@@ -27,9 +27,9 @@ def test_text_helpers(spark):
 
 
 def test_halves_go_to_even(spark):
-    df = spark.createDataFrame([(0.125, 0.0625), (0.375, -0.1875)], "a double, b double")
+    df = spark.createDataFrame([(0.125, 0.0625), (0.375, -0.1875), (None, None)], "a double, b double")
     got = [tuple(r) for r in df.select(percent(F.col("a")), percent(F.col("b"), 1, signed=True), fixed(F.col("a") * 20)).collect()]
-    assert got == [("12%", "+6.2%", "2"), ("38%", "-18.8%", "8")]
+    assert got == [("12%", "+6.2%", "2"), ("38%", "-18.8%", "8"), (None, None, None)]
 
 
 def test_categories(spark):

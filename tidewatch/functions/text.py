@@ -30,11 +30,16 @@ def title_case(c: Column) -> Column:
 
 def percent(c: Column, digits: int = 0, signed: bool = False) -> Column:
     """0.1234 -> '12.3%'; exact halves go to the even digit."""
-    return F.format_string(f"%{'+' if signed else ''}.{digits}f%%", F.bround(c * 100, digits))
+    return _formatted(f"%{'+' if signed else ''}.{digits}f%%", c * 100, digits)
 
 
 def fixed(c: Column, digits: int = 0) -> Column:
-    return F.format_string(f"%.{digits}f", F.bround(c.cast("double"), digits))
+    return _formatted(f"%.{digits}f", c.cast("double"), digits)
+
+
+def _formatted(pattern: str, c: Column, digits: int) -> Column:
+    """NULL stays NULL (a bare format would print it)."""
+    return F.when(c.isNotNull(), F.format_string(pattern, F.bround(c, digits)))
 
 
 def series_prefix(external_id: Column) -> Column:

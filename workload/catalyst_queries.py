@@ -52,13 +52,52 @@ BD = f"""bc AS (SELECT a.anomaly_id, a."timestamp" AS s, count(DISTINCT b.id) AS
 AN = f"""{EV}, {PM}, {TF}, {BD},
   an AS (SELECT fa.anomaly_id, k.title, k.category, split_part(k.external_id, '-', 1) AS series_prefix, price_from, price_to,
     coalesce(magnitude_pct, 0) AS magnitude_pct, coalesce(direction, 'unknown') AS direction, coalesce(trade_count, 0) AS trade_count,
-    coalesce(trades_per_minute, 0) AS tpm, coalesce(whale_trade_pct, 0) AS w, coalesce(burst_detected, false) AS bd, coalesce(burst_trade_pct, 0) AS bp
+    coalesce(trades_per_minute, 0) AS tpm, coalesce(whale_trade_pct, 0) AS w, coalesce(burst_detected, false) AS bd, coalesce(burst_trade_pct, 0) AS bp,
+    coalesce(taker_buy_pct, 0) AS tb, coalesce(burst_duration_seconds, 0) AS bs, coalesce(avg_trade_size, 0) AS sz
     FROM fa LEFT JOIN mk_markets k ON k.id = fa.market_id LEFT JOIN pr USING (anomaly_id) LEFT JOIN tf USING (anomaly_id) LEFT JOIN bd USING (anomaly_id)),
   ct AS (SELECT *, CASE WHEN w >= 0.5 AND trade_count >= 3 THEN 'whale' WHEN bd AND bp >= 0.7 THEN 'news'
       WHEN trade_count >= 10 AND w < 0.3 AND magnitude_pct >= 0.05 THEN 'momentum' ELSE 'unknown' END AS catalyst_type,
     least(1, CASE WHEN w >= 0.5 AND trade_count >= 3 THEN 0.3 + 0.4 * w WHEN bd AND bp >= 0.7 THEN 0.4 + 0.3 * bp
       WHEN trade_count >= 10 AND w < 0.3 AND magnitude_pct >= 0.05 THEN 0.3 + 0.3 * least(1, tpm / 5) ELSE 0.1 END) AS confidence FROM an)"""
 
+
+
+def _pct(x: str, digits: int = 0) -> str:
+    return f"printf('%.{digits}f%%', round_even({x} * 100, {digits}))"
+
+
+def _num(x: str, digits: int = 0) -> str:
+    return f"printf('%.{digits}f', round_even({x}, {digits}))"
+
+
+TEXT = f"""{AN},
+  tx AS (SELECT *, CASE direction WHEN 'up' THEN 'surged' WHEN 'down' THEN 'dropped' WHEN 'flat' THEN 'held steady' ELSE 'moved' END
+      || ' ' || {_pct('magnitude_pct', 1)} AS moved,
+    CASE WHEN price_from IS NULL THEN '' ELSE ' from ' || {_pct('price_from')} || ' to ' || {_pct('price_to')} END AS rng FROM ct),
+  told AS (SELECT anomaly_id, catalyst_type,
+    CASE catalyst_type WHEN 'whale' THEN 'Large trades drove ' || title || ' ' || moved
+      WHEN 'news' THEN 'Activity burst hit ' || title || ' — ' || moved
+      WHEN 'momentum' THEN 'Sustained pressure pushed ' || title || ' ' || moved ELSE title || ' ' || moved END AS headline,
+    title || ' ' || moved || rng || CASE catalyst_type
+      WHEN 'whale' THEN '. ' || {_pct('w')} || ' of volume came from large trades (over $500 each) across ' || trade_count
+        || ' trades. This pattern suggests a few large participants drove the move rather than broad market sentiment.'
+      WHEN 'news' THEN ' on ' || {_num('tpm', 1)} || ' trades/min' || CASE WHEN bs > 0 THEN ', concentrated in a ' || {_num('bs')} || 's burst' ELSE '' END
+        || '. The concentrated activity pattern is consistent with a news-driven reaction or data release.'
+      WHEN 'momentum' THEN ' over ' || trade_count || ' trades. The move was ' || CASE WHEN tb > 0.5 THEN 'buy-side' ELSE 'sell-side' END
+        || '-driven (' || {_pct('tb')} || ' taker buys) with no whale dominance, suggesting broad directional conviction.'
+      ELSE '.' || CASE WHEN trade_count > 0 THEN ' ' || trade_count || ' trades at ' || {_num('tpm', 1)} || '/min.' ELSE '' END
+        || CASE WHEN category <> '' THEN ' Category: ' || category || '.' ELSE '' END END AS narrative,
+    concat_ws('; ', CASE WHEN magnitude_pct > 0 THEN direction || ' ' || {_pct('magnitude_pct', 1)} END,
+      CASE WHEN trade_count > 0 THEN trade_count || ' trades' END, CASE WHEN w > 0.1 THEN {_pct('w')} || ' whale volume' END,
+      CASE WHEN bd THEN 'burst: ' || {_pct('bp')} || ' of trades in ' || {_num('bs')} || 's' END,
+      CASE WHEN tb > 0 AND trade_count > 0 THEN {_pct('tb')} || ' buy-side' END) AS signals FROM tx)"""
+PROMPT = f"""WITH {AN} SELECT ct.anomaly_id, concat_ws(chr(10), 'Market: ' || title, 'Direction: ' || direction || ' (' || {_pct('magnitude_pct', 1)} || ')',
+    'Trades: ' || trade_count || ', ' || {_num('tpm', 1)} || '/min', 'Whale share: ' || {_pct('w')}, 'Taker buys: ' || {_pct('tb')},
+    'Burst: ' || bd || ', ' || {_num('bs')} || 's, ' || {_pct('bp')}, 'Average trade size: ' || {_num('sz', 1)}, 'News:',
+    '1. [Wire] News ' || market_id || ' 0' || chr(10) || '   snippet', '2. [Wire] News ' || market_id || ' 1',
+    'Category: ' || category, 'Series: ' || series_prefix, 'Hours to expiry: N/A') AS prompt
+  FROM ct JOIN fa USING (anomaly_id)"""
+
 register(
     "anomaly_window_events",
     lambda v: window_events(v).select("anomaly_id", "id"),
@@ -100,6 +139,7 @@ register(
         "anomaly_id", "template.headline", "template.narrative", "template.catalyst_type",
         F.array_join("template.signals", "; ").alias("signals"),
     ),
+    f"WITH {TEXT} SELECT * FROM told",
 )
 
 
@@ -159,7 +199,7 @@ def _news(v):
     )
 
 
-register("narrative_prompts", lambda v: n.narrative_prompts(analysis(v), _news(v)))
+register("narrative_prompts", lambda v: n.narrative_prompts(analysis(v), _news(v)), PROMPT)
 register(
     "parse_narrative_responses",
     # assistant turns are replies: every third is a JSON document, the rest plain text

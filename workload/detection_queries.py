@@ -273,6 +273,15 @@ register(
     lambda v: bt.suppress(
         bt.backtest_candidates(v.events, v.now, BT_RULES, **BT), expiry_ms=3 * DAY
     ).select("market_id", "cursor_ms", "severity"),
+    # the first candidate of a market, then again and again the first one after its expiry
+    f"""WITH RECURSIVE {BT_SQL},
+       kept(market_id, cursor_ms) AS (
+         SELECT market_id, min(cursor_ms) FROM cand GROUP BY 1
+         UNION ALL
+         SELECT c.market_id, min(c.cursor_ms) FROM kept k JOIN cand c
+           ON c.market_id = k.market_id AND c.cursor_ms > k.cursor_ms + 259200000 GROUP BY 1)
+       SELECT market_id, cursor_ms, severity FROM kept JOIN cand USING (market_id, cursor_ms)""",
+    "severity",
 )
 register("detection_cycle", lambda v: cycle.cycle_counts(_cycle(v)))
 
