@@ -6,6 +6,7 @@ from tidewatch.operators import detection as d
 from tidewatch.operators import windows as w
 from tidewatch.plans import backtest as bt
 from tidewatch.plans import cycle
+from workload.correlation_queries import MOVES_SQL
 from workload.registry import register
 
 DAY = 86_400_000
@@ -283,7 +284,37 @@ register(
        SELECT market_id, cursor_ms, severity FROM kept JOIN cand USING (market_id, cursor_ms)""",
     "severity",
 )
-register("detection_cycle", lambda v: cycle.cycle_counts(_cycle(v)))
+
+
+# one cycle: expiry after 24 h, markets active in 5 days, correlation over 7 and series over 20 days
+CYCLE_SQL = f"""WITH {SCORES}, {MOVES_SQL},
+  live AS (SELECT * FROM mk_anomalies, cfg WHERE status = 'active' AND detected_at >= now - 86400000),
+  busy AS (SELECT l.market_id FROM mk_anomaly_markets l JOIN live ON live.id = l.anomaly_id),
+  fresh AS (SELECT market_id, max(severity) AS severity FROM rated WHERE severity > 0
+    AND market_id NOT IN (SELECT market_id FROM busy)
+    AND market_id IN (SELECT market_id FROM mk_events, cfg WHERE "timestamp" >= now - 432000000) GROUP BY 1),
+  per AS (SELECT market_id, max(severity) AS sev FROM (
+    SELECT l.market_id, live.severity FROM mk_anomaly_markets l JOIN live ON live.id = l.anomaly_id WHERE anomaly_type = 'single_market'
+    UNION ALL SELECT * FROM fresh) GROUP BY 1),
+  clu AS (SELECT cluster_id, round_even(avg(sev), 4) AS severity FROM mk_memberships JOIN per USING (market_id)
+    WHERE cluster_id NOT IN (SELECT topic_cluster_id FROM mk_anomalies, cfg WHERE anomaly_type = 'cluster' AND detected_at >= now - 604800000)
+    GROUP BY 1 HAVING count(*) >= 2),
+  ser AS (SELECT series_prefix, count(*) AS n, count(*) FILTER (WHERE change_pct >= 0.03) AS un, count(*) FILTER (WHERE change_pct <= -0.03) AS dn,
+    avg(change_pct) FILTER (WHERE change_pct >= 0.03) AS ua, avg(-change_pct) FILTER (WHERE change_pct <= -0.03) AS da FROM mv GROUP BY 1),
+  srs AS (SELECT least(1, 0.5 * greatest(un, dn) / n + 0.5 * least(1, ln(1 + 100 * CASE WHEN un >= dn THEN ua ELSE da END) / 4)) AS severity
+    FROM ser WHERE greatest(un, dn) >= 3),
+  mem AS (SELECT m.market_id, m.cluster_id, k.platform, sev FROM mk_memberships m JOIN mk_markets k ON k.id = m.market_id
+    JOIN per ON per.market_id = m.market_id WHERE is_active),
+  prs AS (SELECT a.market_id AS ma, b.market_id AS mb FROM mem a JOIN mem b
+      ON a.cluster_id = b.cluster_id AND a.platform <> b.platform AND a.market_id < b.market_id
+    UNION SELECT market_id_a, market_id_b FROM mk_links),
+  xp AS (SELECT round_even(least(1, (a.sev + b.sev) / 2 * 1.2), 4) AS severity
+    FROM prs JOIN per a ON a.market_id = ma JOIN per b ON b.market_id = mb)
+  SELECT 'single' AS stage, count(*) AS found, round(avg(severity), 6) AS mean_severity FROM fresh
+  UNION ALL SELECT 'cluster', count(*), round(avg(severity), 6) FROM clu
+  UNION ALL SELECT 'series', count(*), round(avg(severity), 6) FROM srs
+  UNION ALL SELECT 'cross_platform', count(*), round(avg(severity), 6) FROM xp"""
+register("detection_cycle", lambda v: cycle.cycle_counts(_cycle(v)), CYCLE_SQL, "mean_severity")
 
 
 def _cycle(v):
