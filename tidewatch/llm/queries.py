@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, langid, line_dedup, mixing, toxicity, warc
+from tidewatch.llm import exact_dedup, langid, line_dedup, mixing, simhash, topk_search, toxicity, warc
 from tidewatch.llm.common import shared_folder, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,12 @@ FROM j GROUP BY row_no, doc_id
 """
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.assign(table(spark, sf_dir, "documents")).select(
+        "doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id"
+    )
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.held_out(F.col("doc_id"))
@@ -108,13 +114,31 @@ r AS (SELECT d.doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INTEGER))::BIGINT AS taken FROM r
 """
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+_TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024.0::DOUBLE * x::DOUBLE)::BIGINT) AS ints FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id AS query_id, min(ints) AS asked FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id),
+s AS (SELECT query_id, vec_id,
+             coalesce(list_sum(list_transform(list_zip(asked, ints), lambda p: coalesce(p[1] * p[2], 0))), 0)::BIGINT AS score
+      FROM q JOIN v ON query_id <> vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Run] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
+    "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
+    "op10_topk_search": op10_topk_search,
 }
 
 SQL: dict[str, str] = {
@@ -122,4 +146,5 @@ SQL: dict[str, str] = {
     "op5_exact_dedup": _EXACT,
     "op6_warc": _WARC,
     "op7_mixing": _MIXING,
+    "op10_topk_search": _TOP_K,
 }
