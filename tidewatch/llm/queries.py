@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, langid, line_dedup, mixing, simhash, topk_search, toxicity, warc
+from tidewatch.llm import exact_dedup, langid, line_dedup, mixing, sentencepieces, simhash, topk_search, toxicity, warc
 from tidewatch.llm.common import shared_folder, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +114,12 @@ r AS (SELECT d.doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INTEGER))::BIGINT AS taken FROM r
 """
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sentencepieces.load()
+    decoded = sentencepieces.decode(sentencepieces.encode(table(spark, sf_dir, "documents"), pieces), pieces)
+    return decoded.select("doc_id", "n_tokens", "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -138,6 +144,7 @@ QUERIES: dict[str, Run] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_topk_search": op10_topk_search,
 }
 
