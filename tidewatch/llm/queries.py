@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, langid, line_dedup, mixing, sentencepieces, simhash, topk_search, toxicity, warc
+from tidewatch.llm import exact_dedup, langid, line_dedup, mixing, sentencepieces, simhash, suffix_dedup, topk_search, toxicity, warc
 from tidewatch.llm.common import shared_folder, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -145,6 +151,7 @@ QUERIES: dict[str, Run] = {
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_topk_search": op10_topk_search,
 }
 
