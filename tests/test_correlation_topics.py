@@ -67,13 +67,10 @@ def test_links_equal_brute_force(rows, spark):
                 for x in (a, b):
                     n, best = degree.get((c, x), (0, 0.0))
                     degree[c, x] = (n + 1, max(best, conf))
-    everyone = spark.createDataFrame([(i,) for i in platforms], "market_id long")
-    got = {(r.market_id_a, r.market_id_b): r.confidence for r in k.expand_links(index, everyone, 0, salts=4).collect()}
-    assert got == want
     assert {(r.cluster_id, r.market_id): (r.partners, r.best_confidence) for r in index.collect()} == degree
-    asked = spark.createDataFrame([(b, a) for a, b in list(want)[:20]] + [(1, 1)], "market_id_a long, market_id_b long")
+    asked = spark.createDataFrame([(b, a) for a, b in want] + [(1, 1)], "market_id_a long, market_id_b long")
     some = {(r.market_id_a, r.market_id_b): r.confidence for r in k.links_of_pairs(index, asked, 0).collect()}
-    assert some == {p: want[p] for p in list(want)[:20]}
+    assert some == want
 
 
 def test_cross_platform_signal(rows):

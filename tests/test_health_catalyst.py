@@ -1,9 +1,12 @@
 """Health scores, catalyst attribution, narratives and alerts."""
 
+import bisect
 import json
+import random
 
 import pytest
 
+from tidewatch import schemas
 from tidewatch.operators import alerts as a
 from tidewatch.operators import catalyst as c
 from tidewatch.operators import detection as d
@@ -114,11 +117,31 @@ def test_burst_against_brute_force(rows, spark):
             assert r.burst_duration_seconds == (max(inside) - min(inside)) / 1000
 
 
-def test_only_events_of_the_window_newest_500(rows, spark):
+def test_all_events_of_the_window_and_no_others(rows, spark):
     an = anomaly(spark)
     ev = rows.events(*[trade(0.5, 1 + i * 0.5) for i in range(600)], trade(0.5, 901), trade(0.5, 1, market_id=2))
     kept = c.events_of_anomalies(an, ev)
-    assert kept.count() == 500 and kept.agg({"timestamp": "min"}).first()[0] == NOW - 250_500
+    assert kept.count() == 600 and kept.agg({"timestamp": "min"}).first()[0] == NOW - 300_500
+
+
+def test_signals_of_a_hundred_thousand_events_equal_brute_force(rows, spark):
+    rng = random.Random(11)
+    stamps = [NOW - int(rng.choice([rng.uniform(0, 900_000), rng.gauss(300_000, 20_000)])) for _ in range(100_000)]
+    stamps = [min(NOW, max(NOW - 900_000, t)) for t in stamps]
+    log = spark.createDataFrame(
+        [(i, 1, "trade" if i % 3 else "price_change", None, 0.25 + (i % 512) / 1024, '{"count": "%d"}' % (i % 4096) if i % 3 else None, t)
+         for i, t in enumerate(stamps)], schemas.EVENTS)
+    got = c.event_signals(c.events_of_anomalies(anomaly(spark), log)).first()
+    trades = sorted(t for i, t in enumerate(stamps) if i % 3)
+    width = 900_000 // 5
+    best = max((bisect.bisect_right(trades, t + width) - bisect.bisect_left(trades, t), -t) for t in set(trades))
+    dollars = [(0.25 + (i % 512) / 1024) * (i % 4096) for i in range(100_000) if i % 3]
+    price = {(t, i): 0.25 + (i % 512) / 1024 for i, t in enumerate(stamps) if not i % 3}
+    assert got.trade_count == len(trades) and got.burst_detected == (best[0] / len(trades) >= 0.6)
+    if got.burst_detected:
+        assert got.burst_trade_pct == pytest.approx(best[0] / len(trades))
+    assert got.whale_trade_pct == pytest.approx(sum(d for d in dollars if d >= 500) / sum(dollars))
+    assert (got.price_from, got.price_to) == (price[min(price)], price[max(price)])
 
 
 def test_template_text(rows, spark):
@@ -151,7 +174,7 @@ def test_enrichment_feed_and_pairs(rows, spark):
 
 def test_bad_reply_and_cost(spark):
     r = n.parse_narrative_replies(spark.createDataFrame([(1, "z" * 900)], "anomaly_id long, content string")).first()
-    assert (r.headline, len(r.narrative), r.confidence) == ("Analysis unavailable", 500, 0.5)
+    assert (r.headline, len(r.narrative), r.confidence) == ("Analysis unavailable", 900, 0.5)
     cost = c.reply_cost(spark.createDataFrame([(1_000_000, 100_000), (0, 100_000)], "input_tokens long, output_tokens long")).first()
     assert (cost.total_requests, cost.total_cost_usd) == (2, pytest.approx(6.0))
 
@@ -160,7 +183,7 @@ def test_prompt_lists_news(rows, spark):
     news = spark.createDataFrame([(1, i, f"t{i}", "Wire", "snip" if i == 0 else "") for i in range(7)],
                                  "anomaly_id long, item_pos int, title string, source string, snippet string")
     text = n.narrative_prompts(analyzed(rows, spark, tick(0.5, 4)), news).first().prompt
-    assert "1. [Wire] t0\n   snip" in text and "5. [Wire] t4" in text and "t5" not in text
+    assert "1. [Wire] t0\n   snip" in text and "7. [Wire] t6" in text
     assert "(No recent news found)" in n.narrative_prompts(analyzed(rows, spark, tick(0.5, 4)), news.limit(0)).first().prompt
 
 

@@ -151,6 +151,16 @@ def test_store_round_trip(rows, spark, tmp_path):
     assert "PartitionFilters: [isnotnull(event_date" in plan and "PushedFilters: [IsNotNull(timestamp)" in plan
 
 
+def test_rows_without_ids_get_running_ones_in_order_of_arrival(rows, spark, tmp_path):
+    ev = at(rows, *[5, 4, 9, 8, 7, 10, 1]).repartition(3).drop("id")
+    arrived = [r.timestamp for r in ev.collect()]
+    store.append_events(ev, str(tmp_path / "log"), 3)
+    log = store.read_events(spark, str(tmp_path / "log")).orderBy("id").collect()
+    assert [r.id for r in log] == [(3 << 32) + i for i in range(7)] and [r.timestamp for r in log] == arrived
+    late = sum(b < a for a, b in zip(arrived, arrived[1:]))
+    assert q.ordering_violations(store.read_events(spark, str(tmp_path / "log"))).first()[0] == late
+
+
 def test_snapshot_versions(rows, spark, tmp_path):
     root = str(tmp_path / "markets")
     assert store.read_snapshot(spark, root) is None

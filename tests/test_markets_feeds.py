@@ -1,13 +1,14 @@
 """Feed normalizers and the market dimension."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch import schemas
 from tidewatch.functions.pricing import category_from_title, kalshi_yes_price, polymarket_yes_price, standard_category
-from tidewatch.functions.text import fixed, iso_millis, percent, title_case
+from tidewatch.functions.text import fixed, iso_millis, mean_exact, percent, round_exact, title_case, unescaped
 from tidewatch.operators import markets as m
 from tidewatch.sources import catalogs, feeds, messages, store
 
@@ -66,7 +67,7 @@ def test_polymarket_listing_and_tokens(rows):
                            "outcomePrices": '["0.65", "0.35"]', "clobTokenIds": '["t1", "t2"]', "description": "d" * 600, **kw})
     raw = rows.raw("polymarket", item(), item(closed=True, conditionId="0xb", clobTokenIds="bad"), item(active=None), item(endDate=OFF))
     r = catalogs.normalize_polymarket_listing(raw, NOW).collect()
-    assert len(r) == 1 and (r[0].yes_price, r[0].volume, len(r[0].description), r[0].category) == (0.65, 5.5, 500, "Cryptocurrency")
+    assert len(r) == 1 and (r[0].yes_price, r[0].volume, len(r[0].description), r[0].category) == (0.65, 5.5, 600, "Cryptocurrency")
     tokens = catalogs.token_map(raw)
     assert {(t.token_id, t.condition_id) for t in tokens.collect()} == {("t1", "0xa"), ("t2", "0xa")}
     assert catalogs.tickers_to_tokens(rows.markets(dict(external_id="0xa"), dict(external_id="0xz")), tokens).count() == 2
@@ -140,7 +141,7 @@ def test_rss(spark):
            "<description>&lt;a href='x'&gt;Big&lt;/a&gt; &amp;amp; bold</description></item>" + items + "</channel></rss>")
     raw = spark.createDataFrame([(1, xml), (2, "not xml")], "feed_id long, payload string")
     got = feeds.rss_news_items(raw).orderBy("item_pos").collect()
-    assert len(got) == 5 and (got[0].title, got[0].source, got[0].snippet) == ("Bitcoin surges - past $100k", "CoinDesk", "Big & bold")
+    assert len(got) == 8 and (got[0].title, got[0].source, got[0].snippet) == ("Bitcoin surges - past $100k", "CoinDesk", "Big & bold")
 
 
 def test_upsert_and_count(rows, spark):
@@ -226,3 +227,28 @@ def test_rekeyed_copy(rows):
     assert ids["A"] == 7 and {r.market_id for r in out["events"].collect()} == set(ids.values())
     row = out["memberships"].first()
     assert row.market_id == 7 and row.cluster_id == out["clusters"].first().id
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2, 4])
+def test_rounding_goes_by_the_binary_value(spark, digits):
+    """Against literal values: what correct rounding of the stored number gives."""
+    known = {2: [(2.675, 2.67), (0.125, 0.12), (0.375, 0.38), (-2.675, -2.67)], 4: [(0.12345, 0.1235), (0.00015, 0.0001), (0.00025, 0.0003)],
+             0: [(0.5, 0.0), (1.5, 2.0), (2.5, 2.0)], 1: [(0.25, 0.2), (0.35, 0.3), (0.45, 0.5)]}
+    rng = random.Random(digits)
+    many = [(rng.randint(-10**6, 10**6) * 10 + 5) / 10 ** (digits + 1) for _ in range(2000)]
+    got = spark.createDataFrame([(x,) for x in many + [x for x, _ in known[digits]]], "x double").select("x", round_exact(F.col("x"), digits).alias("r"))
+    rows = {r.x: r.r for r in got.collect()}
+    assert all(rows[x] == want for x, want in known[digits])
+    assert all(rows[x] == round(x, digits) for x in many)
+
+
+def test_exact_mean_of_ties(spark):
+    for values, want in [((0.1234, 0.1235), 0.1234), ((0.1235, 0.1236), 0.1236), ((0.1, 0.2, 0.4), 0.2333), ((0.5,), 0.5)]:
+        for parts in (1, 3):
+            frame = spark.createDataFrame([(v,) for v in values], "x double").repartition(parts)
+            assert frame.agg(mean_exact(F.col("x"), 4)).first()[0] == want
+
+
+def test_character_references(spark):
+    texts = ["a &amp; b", "&lt;p&gt;&eacute;&#233;&#xE9;&#128;&bogus;&", "&#0;&#55296;&#1114112;", "plain", None, "&hellip;&nbsp;x"]
+    assert values(spark, texts, unescaped) == ["a & b", "<p>éé\xe9€&bogus;&".replace("\\xe9", "é"), "\ufffd\ufffd\ufffd", "plain", None, "…\xa0x"]

@@ -105,13 +105,13 @@ def test_cycle(rows, spark, tmp_path):
     t = small_world(rows, now)
     r = cycle.detection_cycle(t, now)
     counts = {x.stage: x.found for x in cycle.cycle_counts(r).collect()}
-    # pairs 1-2 and 2-3 share the cluster, 3-4 is a stored link
-    assert counts == {"single": 4, "cluster": 1, "series": 1, "cross_platform": 3}
+    # 3-4 is a stored link; pairs that only share a cluster are not expanded
+    assert counts == {"single": 4, "cluster": 1, "series": 1, "cross_platform": 1}
     by_id = {x.id: x for x in r.anomalies.collect()}
-    assert by_id[5].status == "expired" and len(by_id) == 10
+    assert by_id[5].status == "expired" and len(by_id) == 8
     single = [x for x in by_id.values() if x.anomaly_type == "single_market" and x.id != 5]
     assert all("template_narrative" in json.loads(x.metadata) for x in single)
-    assert r.anomaly_markets.count() == 1 + 4 + 3 + 4 + 6
+    assert r.anomaly_markets.count() == 1 + 4 + 3 + 4 + 2
     store.write_anomalies(r.anomalies, r.anomaly_markets, str(tmp_path), 1)
     again = cycle.detection_cycle(
         cycle.Tables(t.events, t.markets, store.read_snapshot(spark, str(tmp_path / "anomalies")),
@@ -119,7 +119,7 @@ def test_cycle(rows, spark, tmp_path):
     assert again.new_anomalies.count() == 0
     serving = publish.serving_tables(cycle.Tables(t.events, t.markets, r.anomalies, r.anomaly_markets, t.clusters, t.memberships, t.links), now)
     publish.publish(serving, str(tmp_path / "serving"), 1)
-    assert {n: store.read_snapshot(spark, str(tmp_path / "serving" / n)).count() for n in serving} == {"markets": 4, "anomalies": 9, "topics": 1, "summaries": 4}
+    assert {n: store.read_snapshot(spark, str(tmp_path / "serving" / n)).count() for n in serving} == {"markets": 4, "anomalies": 7, "topics": 1, "summaries": 4}
 
 
 def test_quiet_cycle_only_expires(rows):
@@ -133,4 +133,4 @@ def test_scheduled_cycle(rows, spark, tmp_path):
     now = 100 * 3_600_000
     t = small_world(rows, now)
     stream_cycle.cycle_batch(0, t, now, str(tmp_path), cycle.CycleConfig(retention_days=1))
-    assert store.read_snapshot(spark, str(tmp_path / "anomalies")).filter(F.col("status") == "active").count() == 9
+    assert store.read_snapshot(spark, str(tmp_path / "anomalies")).filter(F.col("status") == "active").count() == 7

@@ -124,7 +124,7 @@ def test_detection_threshold_and_severity(rows):
 def test_long_and_missing_titles(rows):
     now = 10 * HOUR
     ev = rows.prices((0.5, now - 2000), (0.9, now - 1000))
-    assert one(found(rows, ev, now, titles=((1, "x" * 90),))).summary.startswith("x" * 77 + "...:")
+    assert one(found(rows, ev, now, titles=((1, "x" * 90),))).summary.startswith("x" * 90 + ":")
     assert one(found(rows, ev, now, titles=((2, "other"),))).summary.startswith("market_id=1:")
 
 

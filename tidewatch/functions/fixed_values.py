@@ -31,8 +31,6 @@ HEALTH_WEIGHTS = {
 }
 TRADE_WINDOW_SECONDS = 900
 PRICE_WINDOW_SECONDS = 3600
-MAX_TRADES_PER_TICKER = 500
-MAX_PRICES_PER_TICKER = 200
 MAX_TRADES_PER_MINUTE = 10.0
 WHALE_DOLLARS = 500.0
 MAX_SPREAD = 0.10
@@ -43,7 +41,6 @@ FULL_MOMENTUM_MOVE = 0.05
 BURST_TRADE_SHARE = 0.60
 BURST_WINDOW_FRACTION = 0.20
 BURST_MIN_TRADES = 5
-CATALYST_MAX_EVENTS = 500
 
 # ---- FIXED VALUES: model reply costs, dollars per million tokens -------------------------
 INPUT_TOKEN_COST = 3.0
@@ -199,11 +196,4 @@ SIGNAL_FORMATS = {
     "expiry": "{hours}h to expiry",
 }
 UNPARSED_HEADLINE = "Analysis unavailable"
-
-# ---- FIXED VALUES: HTML entities decoded in feed snippets --------------------------------
-HTML_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"),
-    ("&amp;", "&"),
-)
 # ---- end of fixed values -----------------------------------------------------------------

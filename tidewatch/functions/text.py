@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,7 +42,81 @@ def fixed(c: Column, digits: int = 0) -> Column:
 
 def _formatted(pattern: str, c: Column, digits: int) -> Column:
     """NULL stays NULL (a bare format would print it)."""
-    return F.when(c.isNotNull(), F.format_string(pattern, F.bround(c, digits)))
+    return F.when(c.isNotNull(), F.format_string(pattern, round_exact(c, digits)))
+
+
+def _halves(x: Column | float) -> tuple[Column | float, Column | float]:
+    """A double as the sum of two that have half of its digits each (Veltkamp)."""
+    t = x * 134217729.0
+    high = t - (t - x)
+    return high, x - high
+
+
+def round_exact(c: Column, digits: int) -> Column:
+    """Round a double by its exact binary value, exact halves to the even digit.
+
+    ``bround`` goes by the shortest decimal text, which differs only where that text ends in a
+    half: 2.675 is stored as a little less, 0.00015 too, 0.12345 as a little more. There the exact
+    product of the number and the power of ten (Dekker) tells the side.
+    """
+    scale = float(10**digits)
+
+    def rounded(x: Column) -> Column:
+        ten = 10 * scale
+        (xh, xl), (th, tl) = _halves(x), _halves(ten)
+        product = x * ten
+        left_over = ((xh * th - product) + xh * tl + xl * th) + xl * tl
+        whole = F.bround(product, 0)
+        beyond = ((product - whole) + left_over) * F.signum(x)
+        nearer = (whole - 5 * F.signum(x)) / 10
+        farther = nearer + F.signum(x)
+        even = F.when(nearer % 2 == 0, nearer).otherwise(farther)
+        side = F.when(beyond > 0, farther).when(beyond < 0, nearer).otherwise(even)
+        half = (F.bround(x, digits + 1) == x) & (F.abs(whole % 10) == 5)
+        return F.when(half, side / scale).otherwise(F.bround(x, digits))
+
+    return F.element_at(F.transform(F.array(c.cast("double")), rounded), 1)
+
+
+def mean_exact(c: Column, digits: int) -> Column:
+    """Aggregate: mean of numbers with ``digits`` decimals, rounded to as many, halves to even.
+
+    Summed as whole numbers, so the order of the rows cannot matter.
+    """
+    total = F.sum(F.round(c * 10**digits, 0).cast("long"))
+    n = F.count(c)
+    low = (total - F.pmod(total, n)) / n  # exact: a multiple of n
+    rest = 2 * F.pmod(total, n)
+    up = (rest > n) | ((rest == n) & (F.pmod(low, F.lit(2)) == 1))
+    return (low + F.when(up, 1.0).otherwise(0.0)) / float(10**digits)
+
+
+# Character names of the HTML standard (with their closing semicolon), and what numbers of the
+# Windows code page stand for.
+_CHARACTERS = json.dumps(
+    {f"&{name}": text for name, text in html.entities.html5.items() if name.endswith(";")}
+    | {f"&#{n};": bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
+)
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def unescaped(c: Column) -> Column:
+    """Text with its HTML character references replaced, named and numeric ones; unknown ones stay."""
+    names = F.from_json(F.lit(_CHARACTERS), "map<string,string>")
+
+    def replaced(piece: Column) -> Column:
+        code = F.coalesce(
+            F.regexp_extract(piece, "^&#([0-9]+);$", 1).try_cast("long"),
+            F.conv(F.nullif(F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]+);$", 1), F.lit("")), 16, 10).try_cast("long"),
+        )
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        named = F.try_element_at(names, F.when(code.isNull(), piece).otherwise(F.concat(F.lit("&#"), code, F.lit(";"))))
+        known = F.coalesce(named, F.when(code.isNotNull(), char), piece)
+        return F.when(piece.startswith("&") & (F.length(piece) > 1), known).otherwise(piece)
+
+    pieces = F.regexp_extract_all(c, F.lit(f"({_REFERENCE}|[^&]+|&)"), F.lit(1))
+    return F.when(c.contains("&"), F.array_join(F.transform(pieces, replaced), "")).otherwise(c)
 
 
 def series_prefix(external_id: Column) -> Column:

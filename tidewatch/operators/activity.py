@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import round_exact
 from tidewatch.functions.keyed import with_totals
 
 HOUR_MS = 3_600_000
@@ -110,7 +111,7 @@ def throughput(events: DataFrame, now_ms: int, window_seconds: int = 60) -> Data
     recent = events.filter(F.col("timestamp").between(now_ms - window_seconds * 1000, now_ms))
     return recent.agg(
         F.count("*").alias("window_events"),
-        F.bround(F.count("*") / F.lit(float(window_seconds)), 2).alias("events_per_second"),
+        round_exact(F.count("*") / F.lit(float(window_seconds)), 2).alias("events_per_second"),
     )
 
 

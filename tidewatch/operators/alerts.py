@@ -136,8 +136,10 @@ def unread_count(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("user_id").agg(F.count_if(~F.col("is_read")).alias("unread"))
 
 
-def user_alerts(alerts: DataFrame, per_user: int = 50) -> DataFrame:
-    """Each user's newest alerts."""
+def user_alerts(alerts: DataFrame, per_user: int | None = None) -> DataFrame:
+    """Each user's alerts; with ``per_user`` only so many of the newest."""
+    if per_user is None:
+        return alerts
     return top_k_per_key(
         alerts, ["user_id"], [F.col("created_at").desc(), F.col("anomaly_id").desc()], per_user,
         spread_by=["anomaly_id"],

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewatch.functions.keyed import earliest, latest, merge_keyed
 
@@ -126,13 +125,13 @@ def get_candles(
     market_id: int,
     interval: str = "1m",
     since_ms: int | None = None,
-    limit: int = 500,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Newest bars of one market (a top-k report)."""
+    """Bars of one market; with a limit the newest ones (a top-k report)."""
     out = candles.filter((F.col("market_id") == market_id) & (F.col("interval") == interval))
     if since_ms is not None:
         out = out.filter(F.col("open_ts") >= since_ms)
-    return out.orderBy(F.col("open_ts").desc()).limit(limit)
+    return out if limit is None else out.orderBy(F.col("open_ts").desc()).limit(limit)
 
 
 def purge_candles(candles: DataFrame, older_than_ms: int) -> DataFrame:
@@ -171,10 +170,9 @@ def best_source_candles(
         .unionByName(third.withColumn("rank", F.lit(3)))
     )
     names = F.element_at(F.array(F.lit("stored"), F.lit("computed"), F.lit("external")), F.col("rank"))
-    # bars are few per market (bounded by time, not by events), so a per-market window is safe
-    preferred = F.min("rank").over(Window.partitionBy("market_id"))
+    preferred = tagged.groupBy("market_id").agg(F.min("rank").alias("preferred"))
     return (
-        tagged.withColumn("preferred", preferred)
+        tagged.join(preferred, "market_id")
         .filter("rank = preferred")
         .select(*bars, names.alias("source"))
     )

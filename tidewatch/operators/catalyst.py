@@ -1,7 +1,8 @@
 """Why a market moved: price, trade flow, bursts and the catalyst they point to.
 
-All operators take ``anomaly_events``: the events in each anomaly's window, at most the newest
-500 per anomaly (:func:`events_of_anomalies`), so everything keyed by anomaly is bounded.
+All operators take ``anomaly_events``: all events in each anomaly's window
+(:func:`events_of_anomalies`). Whatever is keyed by anomaly is a partial aggregate; bursts are
+swept over the trades per millisecond, in chunks as wide as a burst.
 """
 
 from __future__ import annotations
@@ -12,29 +13,31 @@ from pyspark.sql.window import Window
 
 from tidewatch.functions import fixed_values as fv
 from tidewatch.functions.documents import with_parsed
-from tidewatch.functions.keyed import earliest, latest, top_k_per_key
+from tidewatch.functions.keyed import earliest, latest
 from tidewatch.functions.text import iso_millis, number, series_prefix
 
 ANOMALY_KEYS = ("anomaly_id", "market_id", "window_minutes", "window_start", "detected_at")
+BUCKET_MS = 3_600_000  # the join of events and anomalies meets per market and hour
 
 
-def events_of_anomalies(
-    anomalies: DataFrame, events: DataFrame, max_events: int = fv.CATALYST_MAX_EVENTS
-) -> DataFrame:
-    """Newest events of each anomaly's market inside [window_start, detected_at].
+def events_of_anomalies(anomalies: DataFrame, events: DataFrame) -> DataFrame:
+    """Events of each anomaly's market inside [window_start, detected_at].
 
-    ``anomalies`` has the columns of ANOMALY_KEYS. An equi-join on the market with a time
-    condition; the cut to the newest events is skew-safe.
+    ``anomalies`` has the columns of ANOMALY_KEYS. An equi-join on market and hour, so a busy
+    market meets only the anomalies of the hour at hand and is dealt over its hours.
     """
-    bounds = anomalies.select(*ANOMALY_KEYS)
-    log = events.select("id", "market_id", "event_type", "new_value", "metadata", "timestamp")
-    inside = log.join(bounds, "market_id").filter(
-        F.col("timestamp").between(F.col("window_start"), F.col("detected_at"))
+    hour = lambda ts: F.floor(ts / F.lit(BUCKET_MS)).cast("long")
+    bounds = anomalies.select(
+        *ANOMALY_KEYS,
+        F.explode(F.sequence(hour(F.col("window_start")), hour(F.col("detected_at")))).alias("hour"),
     )
-    return top_k_per_key(
-        inside, ["anomaly_id"], [F.col("timestamp").desc(), F.col("id").desc()], max_events,
-        spread_by=["id"],
+    log = events.select(
+        "id", "market_id", "event_type", "new_value", "metadata", "timestamp",
+        hour(F.col("timestamp")).alias("hour"),
     )
+    return log.join(bounds, ["market_id", "hour"]).filter(
+        F.col("timestamp").between(F.col("window_start"), F.col("detected_at"))
+    ).drop("hour")
 
 
 def _is(kind: str) -> Column:
@@ -109,47 +112,49 @@ def trade_flow(anomaly_events: DataFrame) -> DataFrame:
     )
 
 
-def _with_burst_marks(anomaly_events: DataFrame) -> DataFrame:
-    """Every trade also places a mark one burst width (a fifth of the window) later.
+def _bursts(per_ms: DataFrame) -> DataFrame:
+    """The fullest interval of a fifth of the window that starts at a trade, per anomaly.
 
-    In time order the trades counted up to the mark (``upto``), less those before the trade
-    (``before``), are the trades of its interval: one sort per anomaly, whatever the width.
+    ``per_ms`` has one row per anomaly and millisecond with trades (``n``). An interval from a trade
+    ends in the trade's chunk or the next one, so each chunk is swept together with the rows of
+    the next. In time order the trades up to an interval's end (``upto``), less those before its
+    start, are the trades inside.
     """
     width = F.floor(F.col("window_minutes") * 60_000 * F.lit(fv.BURST_WINDOW_FRACTION)).cast("long")
-    earlier = (
-        Window.partitionBy("anomaly_id").orderBy("timestamp")
-        .rangeBetween(Window.unboundedPreceding, -1)
-    )
-    itself = F.struct(F.col("timestamp").alias("at"), F.lit(0).alias("is_mark"))
-    mark = F.struct((F.col("timestamp") + width).alias("at"), F.lit(1).alias("is_mark"))
-    rows = anomaly_events.withColumn("before", F.count_if(_is("trade")).over(earlier)).withColumn(
-        "m", F.explode(F.when(_is("trade"), F.array(itself, mark)).otherwise(F.array(itself)))
-    )
+    chunk = F.floor((F.col("timestamp") - F.col("window_start")) / F.col("width")).cast("long")
+    own = per_ms.withColumn("width", width).withColumn("chunk", chunk)
+    both = own.select(
+        "*", F.explode(F.array(
+            F.struct(F.col("chunk").alias("sweep"), F.lit(True).alias("own")),
+            F.struct((F.col("chunk") - 1).alias("sweep"), F.lit(False).alias("own")),
+        )).alias("c")
+    ).select("anomaly_id", "timestamp", "n", "width", "c.sweep", "c.own").filter("sweep >= 0")
+    sweep = ["anomaly_id", "sweep"]
+    earlier = Window.partitionBy(*sweep).orderBy("timestamp").rangeBetween(Window.unboundedPreceding, -1)
+    itself = F.struct(F.col("timestamp").alias("at"), F.lit(0).alias("is_end"))
+    end = F.struct((F.col("timestamp") + F.col("width")).alias("at"), F.lit(1).alias("is_end"))
+    rows = both.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select(
+        *sweep, "timestamp", "n", "before",
+        F.explode(F.when(F.col("own"), F.array(itself, end)).otherwise(F.array(itself))).alias("m"),
+    ).select(*sweep, "timestamp", "n", "before", "m.at", "m.is_end")
     so_far = (
-        Window.partitionBy("anomaly_id").orderBy("m.at", "m.is_mark")
+        Window.partitionBy(*sweep).orderBy("at", "is_end")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    counted = _is("trade") & (F.col("m.is_mark") == 0)
-    return rows.withColumns(
-        {
-            "n": F.count_if(counted).over(so_far) - F.col("before"),
-            "last_at": F.max(F.when(counted, F.col("m.at"))).over(so_far),
-        }
-    )
-
-
-def _burst_best(is_mark: Column) -> Column:
-    start = F.col("timestamp")
-    return F.max_by(
-        F.struct("n", start.alias("start"), "last_at"), F.when(is_mark, F.struct("n", -start))
-    ).alias("b")
+    trade = F.col("is_end") == 0
+    ends = rows.withColumns({
+        "inside": F.sum(F.when(trade, F.col("n"))).over(so_far) - F.col("before"),
+        "last_at": F.max(F.when(trade, F.col("at"))).over(so_far),
+    }).filter("is_end = 1")
+    best = F.max(F.struct(F.col("inside").alias("n"), (-F.col("timestamp")).alias("start"), "last_at"))
+    return ends.groupBy("anomaly_id").agg(best.alias("b"))
 
 
 def _burst_columns() -> dict[str, Column]:
     share = F.col("b.n") / F.nullif(F.col("trade_count"), F.lit(0).cast("long"))
     hit = (F.col("trade_count") >= fv.BURST_MIN_TRADES) & (share >= fv.BURST_TRADE_SHARE)
     hit = F.coalesce(hit, F.lit(False))
-    seconds = (F.col("b.last_at") - F.col("b.start")) / 1000.0
+    seconds = (F.col("b.last_at") + F.col("b.start")) / 1000.0
     return {
         "burst_detected": hit,
         "burst_trade_pct": F.when(hit, share).otherwise(0.0),
@@ -157,39 +162,53 @@ def _burst_columns() -> dict[str, Column]:
     }
 
 
+_MS_KEYS = ("anomaly_id", "window_minutes", "window_start", "timestamp")
+
+
 def burst_detection(anomaly_events: DataFrame) -> DataFrame:
     """Largest share of an anomaly's trades inside one fifth of its window."""
-    marks = _with_burst_marks(
-        anomaly_events.filter(_is("trade")).select(
-            "anomaly_id", "window_minutes", "event_type", "timestamp"
-        )
-    )
-    is_mark = F.col("m.is_mark") == 1
+    per_ms = anomaly_events.filter(_is("trade")).groupBy(*_MS_KEYS).agg(F.count("*").alias("n"))
+    counts = per_ms.groupBy("anomaly_id").agg(F.sum("n").alias("trade_count"))
     return (
-        marks.groupBy("anomaly_id")
-        .agg(F.count_if(~is_mark).alias("trade_count"), _burst_best(is_mark))
+        counts.join(_bursts(per_ms), "anomaly_id")
         .withColumns(_burst_columns())
         .select("anomaly_id", "burst_detected", "burst_trade_pct", "burst_duration_seconds")
     )
 
 
 def event_signals(anomaly_events: DataFrame) -> DataFrame:
-    """Price move, trade flow and burst of every anomaly in one pass over its events.
+    """Price move, trade flow and burst of every anomaly from one join with the log.
 
-    Sorting and grouping all work on the anomaly key the events are already partitioned by, so
-    nothing is shuffled again and the log is read once for all signals.
+    Events are first summed up per anomaly and millisecond; the totals and the bursts are both
+    made of that, and Spark reuses its exchange.
     """
-    marks = _with_burst_marks(_with_sizes(anomaly_events))
-    original = F.col("m.is_mark") == 0
+    trade, dollars = _is("trade"), F.when(_is("trade"), F.col("dollars"))
+    price = F.when(_is("price_change"), F.struct("timestamp", "id"))
+    value = F.struct(F.col("new_value").alias("v"))
+    per_ms = _with_sizes(anomaly_events).groupBy(*_MS_KEYS).agg(
+        F.count_if(trade).alias("n"),
+        F.sum(dollars).alias("total"),
+        F.sum(F.when(dollars >= fv.WHALE_DOLLARS, dollars)).alias("whale"),
+        F.sum(F.when(F.col("d.taker_side") == "yes", dollars)).alias("buys"),
+        F.sum(F.when(trade, F.col("size"))).alias("sizes"),
+        F.min_by(value, price).alias("first"),
+        F.max_by(value, price).alias("last"),
+    )
+    at = F.when(F.col("first").isNotNull(), F.col("timestamp"))
+    totals = per_ms.groupBy("anomaly_id", "window_minutes").agg(
+        F.min_by("first.v", at).alias("price_from"),
+        F.max_by("last.v", at).alias("price_to"),
+        F.sum("n").alias("trade_count"),
+        F.sum("total").alias("total"),
+        F.coalesce(F.sum("whale"), F.lit(0.0)).alias("whale"),
+        F.coalesce(F.sum("buys"), F.lit(0.0)).alias("buys"),
+        F.sum("sizes").alias("sizes"),
+    )
     return (
-        marks.groupBy("anomaly_id", "window_minutes")
-        .agg(
-            *_price_ends(original & _is("price_change")),
-            *_flow_sums(original & _is("trade")),
-            _burst_best(~original),
-        )
+        totals.join(_bursts(per_ms.filter("n > 0")), "anomaly_id", "left")
+        .withColumn("avg_trade_size", F.col("sizes") / F.nullif(F.col("trade_count"), F.lit(0).cast("long")))
         .withColumns({**_move_columns(), **_flow_columns(), **_burst_columns()})
-        .drop("window_minutes", "total", "whale", "buys", "b")
+        .drop("window_minutes", "total", "whale", "buys", "sizes", "b")
     )
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed_values as fv
 from tidewatch.functions.documents import with_parsed
-from tidewatch.functions.keyed import earliest, hashed_id, latest, top_k_per_key
-from tidewatch.functions.text import fixed, percent, series_prefix
+from tidewatch.functions.keyed import earliest, hashed_id, latest
+from tidewatch.functions.text import fixed, mean_exact, percent, round_exact, series_prefix
 
 MINUTE_MS = 60_000
 
@@ -89,7 +89,7 @@ def cluster_anomalies(
         .groupBy("cluster_id")
         .agg(
             F.count("*").cast("int").alias("market_count"),
-            F.bround(F.avg("max_severity"), 4).alias("severity"),
+            mean_exact(F.col("max_severity"), 4).alias("severity"),
             F.sum("ups").alias("ups"),
             F.sum("downs").alias("downs"),
         )
@@ -152,7 +152,7 @@ def link_index(memberships: DataFrame, markets: DataFrame, clusters: DataFrame)
 
     Every member is linked with every member of the cluster on another platform, so the pairs
     follow from this table and are expanded only where they are asked for
-    (:func:`expand_links`, :func:`links_of_pairs`). ``partners`` is how many links the member
+    (:func:`links_of_pairs`). ``partners`` is how many links the member
     has in the cluster and ``best_confidence`` the highest confidence among them (the smaller
     of the two memberships' confidences).
     """
@@ -184,42 +184,6 @@ def link_index(memberships: DataFrame, markets: DataFrame, clusters: DataFrame)
     )
 
 
-def expand_links(index: DataFrame, focus: DataFrame, now_ms: int, salts: int = 32) -> DataFrame:
-    """Link pairs with both ends in ``focus`` (market_id), e.g. the markets with an anomaly.
-
-    The result has as many rows as there are such pairs; a big cluster is split over ``salts``
-    tasks. A pair sharing several clusters keeps the confidence of the last cluster by name.
-    """
-    side = index.join(focus.select("market_id").distinct(), "market_id", "left_semi").select(
-        "cluster_id", "cluster_name", "platform", "market_id", "confidence"
-    )
-    a = side.withColumn("salt", F.pmod(F.xxhash64("market_id"), F.lit(salts)).cast("int"))
-    b = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    a, b = a.alias("a"), b.alias("b")
-    pairs = a.join(
-        b,
-        (F.col("a.cluster_id") == F.col("b.cluster_id"))
-        & (F.col("a.salt") == F.col("b.salt"))
-        & (F.col("a.platform") != F.col("b.platform"))
-        & (F.col("a.market_id") < F.col("b.market_id")),
-    )
-    return (
-        pairs.groupBy(
-            F.col("a.market_id").alias("market_id_a"), F.col("b.market_id").alias("market_id_b")
-        )
-        .agg(
-            F.max_by(
-                F.least("a.confidence", "b.confidence"),
-                F.struct("a.cluster_name", "a.cluster_id"),
-            ).alias("confidence")
-        )
-        .select(
-            "market_id_a", "market_id_b", "confidence", F.lit("cluster").alias("method"),
-            F.lit(now_ms).cast("long").alias("created_at"),
-        )
-    )
-
-
 def links_of_pairs(index: DataFrame, pairs: DataFrame, now_ms: int) -> DataFrame:
     """The links among the asked-for market pairs (market_id_a, market_id_b, either order)."""
     wanted = pairs.select(
@@ -315,7 +279,7 @@ def cross_platform_anomalies(
     return hits.select(
         hashed_id("cross_platform", F.col("market_id_a"), F.col("market_id_b"), F.lit(now_ms)).alias("id"),
         F.lit("cross_platform").alias("anomaly_type"),
-        F.bround("boosted", 4).alias("severity"),
+        round_exact(F.col("boosted"), 4).alias("severity"),
         F.lit(None).cast("long").alias("topic_cluster_id"),
         F.lit(2).alias("market_count"),
         F.lit(now_ms - window_minutes * MINUTE_MS).alias("window_start"),
@@ -329,8 +293,8 @@ def cross_platform_anomalies(
         F.to_json(
             F.struct(
                 "market_id_a", "market_id_b", "link_confidence", "signal_type", "direction",
-                F.bround("severity_a", 4).alias("severity_a"),
-                F.bround("severity_b", 4).alias("severity_b"),
+                round_exact(F.col("severity_a"), 4).alias("severity_a"),
+                round_exact(F.col("severity_b"), 4).alias("severity_b"),
             )
         ).alias("metadata"),
         "market_id_a",
@@ -394,7 +358,6 @@ def series_anomalies(
     window_minutes: int = fv.SERIES_WINDOW_MINUTES,
     min_movers: int = fv.SERIES_MIN_MOVERS,
     threshold: float = fv.SERIES_PRICE_THRESHOLD,
-    max_tickers: int = 10,
 ) -> DataFrame:
     """Series in which enough markets moved the same way; severity is not rounded."""
     change = F.col("change_pct")
@@ -425,11 +388,7 @@ def series_anomalies(
     )
     fresh = picked.join(emitted, "series_prefix", "left_anti")
     tickers = (
-        top_k_per_key(
-            series_movers(moves, threshold),
-            ["series_prefix", "direction"], [F.col("market_id")], max_tickers,
-            spread_by=["market_id"],
-        )
+        series_movers(moves, threshold)
         .groupBy("series_prefix", "direction")
         .agg(F.sort_array(F.collect_list(F.struct("market_id", "external_id"))).alias("t"))
         .select("series_prefix", "direction", F.col("t.external_id").alias("tickers"))
@@ -456,7 +415,7 @@ def series_anomalies(
         F.to_json(
             F.struct(
                 F.lit("series_pattern").alias("source"), "series_prefix", "direction", "movers",
-                "total_markets", F.bround(avg, 4).alias("avg_change_pct"), "tickers",
+                "total_markets", round_exact(avg, 4).alias("avg_change_pct"), "tickers",
             )
         ).alias("metadata"),
         "series_prefix",

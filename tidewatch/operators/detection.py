@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed_values as fv
 from tidewatch.functions.keyed import apply_changes, hashed_id
-from tidewatch.functions.text import fixed, percent
+from tidewatch.functions.text import fixed, percent, round_exact
 from tidewatch.operators.windows import baseline_columns, trailing_samples
 
 
@@ -73,7 +73,7 @@ def scored(stats: DataFrame, rules: Sequence[WindowRule] = DEFAULT_RULES) -> Dat
         }
     ).withColumn(
         "severity",
-        F.bround(F.greatest("price_score", "volume_score", "zscore_score"), 4),
+        round_exact(F.greatest("price_score", "volume_score", "zscore_score"), 4),
     )
 
 
@@ -110,11 +110,8 @@ def window_scores(
 
 
 def display_title(title: Column, market_id: Column) -> Column:
-    """Title for summaries: long ones are shortened, unknown markets show their id."""
-    named = F.coalesce(title, F.concat(F.lit("market_id="), market_id.cast("string")))
-    return F.when(F.length(named) > 80, F.concat(F.substring(named, 1, 77), F.lit("..."))).otherwise(
-        named
-    )
+    """Title for summaries, whole; unknown markets show their id."""
+    return F.coalesce(title, F.concat(F.lit("market_id="), market_id.cast("string")))
 
 
 def detect_single(scores: DataFrame, markets: DataFrame) -> DataFrame:
@@ -137,7 +134,7 @@ def detect_single(scores: DataFrame, markets: DataFrame) -> DataFrame:
     )
     ratio = F.when(
         (F.col("volume_total") > 0) & (F.col("volume_mean") > 0),
-        F.bround(F.col("volume_total") / F.col("volume_mean"), 2),
+        round_exact(F.col("volume_total") / F.col("volume_mean"), 2),
     )
     return hits.join(titles, "market_id", "left").select(
         hashed_id(
@@ -217,9 +214,9 @@ def query_anomalies(
     anomaly_type: str | None = None,
     min_severity: float | None = None,
     market_id: int | None = None,
-    limit: int | None = 100,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Filtered anomalies, newest first; ``limit=None`` returns them all."""
+    """Filtered anomalies; with a limit the newest ones (a top-k report)."""
     out = anomalies
     for column, value in (("status", status), ("anomaly_type", anomaly_type)):
         if value is not None:

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewatch.functions import fixed_values as fv
 from tidewatch.functions.documents import with_parsed
-from tidewatch.functions.keyed import top_k_per_key
+from tidewatch.functions.keyed import previous_by_chunk
 from tidewatch.functions.text import number
 
-def _newest() -> list[Column]:
-    return [F.col("timestamp").desc(), F.col("id").desc()]
-
 
 def trades_enriched(events: DataFrame) -> DataFrame:
     """Trades and price changes that name a ticker, as price points; trades get a size.
@@ -39,12 +35,11 @@ def trades_enriched(events: DataFrame) -> DataFrame:
 
 
 def recent_trades(points: DataFrame, now_ms: int) -> DataFrame:
-    """Trades of the trailing 15 minutes, the newest 500 of each ticker."""
-    fresh = points.filter(
+    """Trades of the trailing 15 minutes."""
+    return points.filter(
         F.col("is_trade")
         & F.col("timestamp").between(now_ms - fv.TRADE_WINDOW_SECONDS * 1000, now_ms)
     )
-    return top_k_per_key(fresh, ["ticker"], _newest(), fv.MAX_TRADES_PER_TICKER, spread_by=["id"])
 
 
 def trade_flow_scores(trades: DataFrame) -> DataFrame:
@@ -89,13 +84,13 @@ def orderbook_scores(books: DataFrame) -> DataFrame:
 
 
 def momentum(points: DataFrame, now_ms: int) -> DataFrame:
-    """One-sidedness of the price moves of the last hour (newest 200 points), scaled by size."""
+    """One-sidedness of the price moves of the last hour, scaled by size."""
     fresh = points.filter(
         F.col("timestamp").between(now_ms - fv.PRICE_WINDOW_SECONDS * 1000, now_ms)
     ).select("ticker", "id", "timestamp", "price")
-    kept = top_k_per_key(fresh, ["ticker"], _newest(), fv.MAX_PRICES_PER_TICKER, spread_by=["id"])
-    in_order = Window.partitionBy("ticker").orderBy("timestamp", "id")
-    delta = F.col("price") - F.lag("price").over(in_order)
+    # one minute of a ticker is sorted at a time; what joins the minutes is a row per minute
+    kept = previous_by_chunk(fresh, ["ticker"], "timestamp", "id", "price", 60_000, "before")
+    delta = F.col("price") - F.col("before")
     at = F.struct("timestamp", "id")
     per_ticker = kept.withColumn("delta", delta).groupBy("ticker").agg(
         F.count("*").alias("points"),

@@ -168,13 +168,12 @@ def series_markets(markets: DataFrame, prefix: str) -> DataFrame:
     ).orderBy("external_id")
 
 
-def tracked_universe(markets: DataFrame, limit: int = 200) -> DataFrame:
-    """The most recently refreshed active markets (a top-k report)."""
-    return (
-        markets.filter("is_active")
-        .orderBy(F.col("last_updated_at").desc(), F.col("id"))
-        .limit(limit)
-    )
+def tracked_universe(markets: DataFrame, limit: int | None = None) -> DataFrame:
+    """Active markets; with a limit the most recently refreshed ones (a top-k report)."""
+    active = markets.filter("is_active")
+    if limit is None:
+        return active
+    return active.orderBy(F.col("last_updated_at").desc(), F.col("id")).limit(limit)
 
 
 def universe_diff(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -312,9 +311,9 @@ def market_search(
     search: str | None = None,
     sort: str = "rank_score",
     offset: int = 0,
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
-    """One page of the market list."""
+    """The market list in order, or the page that is asked for."""
     column = {"rank_score": "rank_score", "price": "last_price", "volume": "volume"}[sort]
     out = state
     if platform:
@@ -322,7 +321,8 @@ def market_search(
     if search:
         out = out.filter(F.lower("title").contains(search.lower()))
     ordered = out.orderBy(F.coalesce(F.col(column), F.lit(0.0)).desc(), F.col("market_id"))
-    return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
+    ordered = ordered.offset(offset) if offset else ordered
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def _stat(stat: str, name: Column, n: Column) -> Column:

@@ -11,7 +11,7 @@ from tidewatch import schemas
 from tidewatch.functions import fixed_values as fv
 from tidewatch.functions.documents import with_parsed
 from tidewatch.functions.keyed import apply_changes
-from tidewatch.functions.text import fixed, number, percent, strip_code_fence
+from tidewatch.functions.text import fixed, number, percent, round_exact, strip_code_fence
 from tidewatch.operators.catalyst import catalyst_analysis, events_of_anomalies
 
 CATALYST_FIELDS = [part.split()[0] for part in schemas.CATALYST_DOC.split(",")]
@@ -109,7 +109,7 @@ def template_narrative(analysis: DataFrame) -> DataFrame:
             _by_type(fv.HEADLINE_FORMATS, values).alias("headline"),
             _by_type(fv.NARRATIVE_FORMATS, values).alias("narrative"),
             c("catalyst_type").alias("catalyst_type"),
-            F.bround("confidence", 2).alias("confidence"),
+            round_exact(F.col("confidence"), 2).alias("confidence"),
             signals.alias("signals"),
             F.lit("template").alias("source"),
         ),
@@ -208,17 +208,16 @@ def anomaly_feed(active: DataFrame) -> DataFrame:
     return told.select(*active.columns, catalyst.alias("catalyst"))
 
 
-def narrative_prompts(analysis: DataFrame, news: DataFrame, max_news: int = 5) -> DataFrame:
-    """Prompt text per anomaly from its signals and its first news items (anomaly_id, item_pos)."""
+def narrative_prompts(analysis: DataFrame, news: DataFrame) -> DataFrame:
+    """Prompt text per anomaly from its signals and its news items (anomaly_id, item_pos)."""
     line = F.concat(
         F.lit("["), F.col("source"), F.lit("] "), F.col("title"),
         F.when(
-            F.col("snippet") != "", F.concat(F.lit("\n   "), F.substring("snippet", 1, 150))
+            F.col("snippet") != "", F.concat(F.lit("\n   "), F.col("snippet"))
         ).otherwise(""),
     )
     items = (
-        news.filter(F.col("item_pos") < max_news)
-        .groupBy("anomaly_id")
+        news.groupBy("anomaly_id")
         .agg(F.sort_array(F.collect_list(F.struct("item_pos", line.alias("line")))).alias("items"))
     )
     block = F.array_join(
@@ -247,14 +246,14 @@ def narrative_prompts(analysis: DataFrame, news: DataFrame, max_news: int = 5) -
 def parse_narrative_replies(replies: DataFrame) -> DataFrame:
     """(anomaly_id, content) -> headline, narrative, attributed catalyst, confidence in [0, 1].
 
-    A reply that is not JSON keeps its first 500 characters as the narrative.
+    A reply that is not JSON is the narrative itself.
     """
     doc = "headline string, narrative string, attributed_catalyst string, confidence string"
     confidence = F.coalesce(number(F.col("d.confidence")), F.lit(0.5))
     return with_parsed(replies, strip_code_fence(F.col("content")), doc, "d").select(
         "anomaly_id",
         F.coalesce("d.headline", F.lit(fv.UNPARSED_HEADLINE)).alias("headline"),
-        F.coalesce("d.narrative", F.substring("content", 1, 500)).alias("narrative"),
+        F.coalesce("d.narrative", "content").alias("narrative"),
         F.coalesce("d.attributed_catalyst", F.lit("unknown")).alias("attributed_catalyst"),
         F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence)).alias("confidence"),
     )

@@ -20,20 +20,28 @@ def in_range(since_ms: int | None, until_ms: int | None) -> Column:
     return cond
 
 
+def since(events: DataFrame, since_ms: int) -> DataFrame:
+    """Events from a time on; a log that is partitioned by date also skips the earlier folders."""
+    out = events.filter(F.col("timestamp") >= since_ms)
+    if "event_date" in events.columns:
+        out = out.filter(F.col("event_date") >= F.to_date(F.timestamp_millis(F.lit(since_ms))))
+    return out
+
+
 def get_events(
     events: DataFrame,
     market_id: int | None = None,
     event_type: str | None = None,
     since_ms: int | None = None,
-    limit: int = 1000,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Newest events first (a top-k report)."""
+    """Matching events; with a limit the newest ones (a top-k report)."""
     out = events.filter(in_range(since_ms, None))
     if market_id is not None:
         out = out.filter(F.col("market_id") == market_id)
     if event_type is not None:
         out = out.filter(F.col("event_type") == event_type)
-    return out.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(limit)
+    return out if limit is None else out.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(limit)
 
 
 def events_in_window(
@@ -264,19 +272,21 @@ def recent_buffer(
     events: DataFrame,
     now_ms: int,
     max_age_ms: int = 86_400_000,
-    per_market: int = 2000,
+    per_market: int | None = None,
     event_type: str | None = None,
     since_ms: int | None = None,
 ) -> DataFrame:
-    """Each market's newest events of the trailing day, at most ``per_market`` of them."""
+    """Each market's events of the trailing day; with ``per_market`` only so many of the newest."""
     fresh = events.filter(F.col("timestamp").between(now_ms - max_age_ms, now_ms))
-    kept = top_k_per_key(
-        fresh,
-        ["market_id"],
-        [F.col("timestamp").desc(), F.col("id").desc()],
-        per_market,
-        spread_by=["id"],
-    )
+    kept = fresh
+    if per_market is not None:
+        kept = top_k_per_key(
+            fresh,
+            ["market_id"],
+            [F.col("timestamp").desc(), F.col("id").desc()],
+            per_market,
+            spread_by=["id"],
+        )
     if event_type is not None:
         kept = kept.filter(F.col("event_type") == event_type)
     return kept.filter(in_range(since_ms, None))

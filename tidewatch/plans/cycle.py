@@ -73,13 +73,6 @@ def detection_cycle(t: Tables, now_ms: int, config: CycleConfig = CycleConfig())
     windows = [r.window_minutes for r in config.rules]
 
     recent = markets.recently_active_markets(upto, since)
-    active = recent.limit(fv.SERIES_MIN_MOVERS).count()  # at most 3 rows are looked at
-    if active == 0:
-        none = stored.limit(0)
-        return CycleResult(
-            stored, stored_links, none, t.events,
-            dict.fromkeys(("single", "cluster", "series", "cross_platform"), none),
-        )
     scores = detection.window_scores(upto, now_ms, config.rules, config.baseline_hours)
     found = detection.detect_single(
         scores.filter("severity > 0").join(recent, "market_id", "left_semi"), t.markets
@@ -87,9 +80,11 @@ def detection_cycle(t: Tables, now_ms: int, config: CycleConfig = CycleConfig())
     fresh = settle(detection.detect_new(found, stored, stored_links, windows))
     named = fresh.withColumn("anomaly_id", F.col("id"))
     metadata = catalyst.ANOMALY_KEYS
+    # no new anomaly began longer ago than the longest window, so no more of the log is read
+    lately = quality.since(upto, now_ms - max(windows) * 60_000)
     singles = _rows(
         detection.as_anomaly_rows(fresh).drop("metadata").join(
-            narrative.catalyst_metadata(named.select(*metadata), upto, t.markets), "id", "left"
+            narrative.catalyst_metadata(named.select(*metadata), lately, t.markets), "id", "left"
         )
     )
     singles = settle(singles)
@@ -110,8 +105,6 @@ def detection_cycle(t: Tables, now_ms: int, config: CycleConfig = CycleConfig())
     moves = settle(
         correlation.series_moves(upto, t.markets, now_ms, since, config.series_minutes)
     )
-    if active < fv.SERIES_MIN_MOVERS:
-        moves = moves.limit(0)
     series = settle(
         correlation.series_anomalies(
             moves, after_clusters, now_ms, config.series_minutes,
@@ -120,18 +113,11 @@ def detection_cycle(t: Tables, now_ms: int, config: CycleConfig = CycleConfig())
     )
     series_links = correlation.series_links(series, moves)
 
-    index = correlation.link_index(t.memberships, t.markets, t.clusters)
-    focus = correlation.recent_single_by_market(
-        after, after_links, now_ms, config.correlation_minutes
-    ).select("market_id")
-    by_cluster = correlation.expand_links(index, focus, now_ms)
-    known = schemas.conform(t.links.withColumn("method", F.lit("stored")), schemas.LINKS)
-    pairs = by_cluster.unionByName(
-        known.join(by_cluster, ["market_id_a", "market_id_b"], "left_anti").select(by_cluster.columns)
-    )
+    # stored pairs only: a cluster's pairs stay in the factored index, from which pairs that are
+    # asked for are stored (correlation.link_index and links_of_pairs)
     crossed = settle(
         correlation.cross_platform_anomalies(
-            after_clusters, after_links, pairs, now_ms, config.correlation_minutes,
+            after_clusters, after_links, t.links, now_ms, config.correlation_minutes,
             config.direction_mode,
         )
     )

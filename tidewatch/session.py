@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,8 +15,8 @@ _SQL_OPTIONS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # top-k-per-key windows keep their map-side limit up to this k (recent_buffer uses 2000)
-    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
+    # top-k-per-key windows keep their map-side limit for every k
+    "spark.sql.optimizer.windowGroupLimitThreshold": str(2**31 - 1),
 }
 
 
@@ -25,18 +27,27 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the reliable checkpoint folder and drop its lineage.
+def shared_root(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which the driver and all executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir`` (shared storage, so a
-    lost executor does not lose the rows). A private folder is used only in local mode when none
-    is named, as in tests; a cluster without the setting is an error.
+    Where it is unset, as in tests, a folder of our own is set, but only when the driver runs all
+    tasks itself; a cluster without the setting is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewatch-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Materialize ``df`` in the shared folder (a lost executor does not lose the rows) and drop its lineage."""
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)

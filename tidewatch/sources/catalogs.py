@@ -83,7 +83,7 @@ def normalize_kalshi_listing(raw: DataFrame, now_ms: int) -> DataFrame:
 
 
 def normalize_polymarket_listing(raw: DataFrame, now_ms: int) -> DataFrame:
-    """Raw listing JSON -> open market snapshots; descriptions are stored up to 500 chars."""
+    """Raw listing JSON -> open market snapshots."""
     m = with_parsed(raw, "payload", _POLYMARKET_LISTING, "m").select("received_ms", "m.*")
     kept = m.filter(
         (F.col("conditionId") != "")
@@ -100,7 +100,7 @@ def normalize_polymarket_listing(raw: DataFrame, now_ms: int) -> DataFrame:
         ),
         external_id=F.col("conditionId"),
         title=F.col("question"),
-        description=F.substring(F.coalesce(F.col("description"), F.lit("")), 1, 500),
+        description=F.coalesce(F.col("description"), F.lit("")),
         category=standard_category(F.col("category"), F.col("question"), "polymarket"),
         volume=F.coalesce(number(F.col("volume")), F.lit(0.0)),
         end_date=F.col("endDate"),

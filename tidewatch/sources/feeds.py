@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import fixed_values as fv
 from tidewatch.functions.documents import with_parsed
 from tidewatch.functions.pricing import first_truthy
-from tidewatch.functions.text import number
+from tidewatch.functions.text import number, unescaped
 
 _BOOK = "orderbook struct<yes:array<array<double>>, no:array<array<double>>>"
 _RSS = (
@@ -59,21 +59,19 @@ def orderbook_summary(raw: DataFrame) -> DataFrame:
     )
 
 
-def rss_news_items(raw: DataFrame, max_items: int = 5, snippet_chars: int = 200) -> DataFrame:
-    """(feed_id, payload) RSS documents -> the first items of each feed.
+def rss_news_items(raw: DataFrame) -> DataFrame:
+    """(feed_id, payload) RSS documents -> the items of each feed.
 
     "Headline - Source" is split on the last " - "; snippets lose entities and tags.
     """
     items = F.from_xml(F.col("payload"), _RSS)["channel"]["item"]
-    df = raw.select("feed_id", F.posexplode(F.slice(items, 1, max_items)).alias("pos", "i"))
+    df = raw.select("feed_id", F.posexplode(items).alias("pos", "i"))
     full_title = F.coalesce(F.col("i.title"), F.lit(""))
     has_source = full_title.contains(" - ")
     title = F.when(has_source, F.regexp_extract(full_title, r"(?s)^(.*) - ", 1)).otherwise(full_title)
     source = F.when(has_source, F.substring_index(full_title, " - ", -1)).otherwise("")
     text = F.coalesce(F.col("i.description"), F.lit(""))
-    for entity, char in fv.HTML_ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.regexp_replace(text, r"<[^>]*>", "")
+    text = F.regexp_replace(unescaped(text), r"<[^>]*>", "")
     return df.select(
         "feed_id",
         F.col("pos").alias("item_pos"),
@@ -81,7 +79,7 @@ def rss_news_items(raw: DataFrame, max_items: int = 5, snippet_chars: int = 200)
         F.trim(source).alias("source"),
         F.trim(F.coalesce(F.col("i.pubDate"), F.lit(""))).alias("published_at"),
         F.trim(F.coalesce(F.col("i.link"), F.lit(""))).alias("url"),
-        F.trim(F.substring(text, 1, snippet_chars)).alias("snippet"),
+        F.trim(text).alias("snippet"),
     )
 
 

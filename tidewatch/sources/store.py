@@ -7,10 +7,12 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidewatch import schemas
 from tidewatch.functions import fixed_values as fv
 from tidewatch.functions.keyed import hashed_id
+from tidewatch.session import settle
 
 
 def event_day(ts_ms: Column) -> Column:
@@ -34,19 +36,36 @@ def by_day(df: DataFrame, *folders: str) -> DataFrame:
     return rebalanced.sortWithinPartitions(*folders, "market_id", "timestamp")
 
 
+def with_arrival_ids(events: DataFrame, batch: int) -> DataFrame:
+    """Running ids in order of arrival: the batch in the upper bits, then 0, 1, 2, ... without a gap.
+
+    Rows are numbered inside their partitions; only the number of rows of each partition is put
+    in order to give the partitions their first numbers.
+    """
+    place = settle(events.withColumn("__at", F.monotonically_increasing_id())).withColumn(
+        "__part", F.shiftright("__at", 33)
+    )
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = place.groupBy("__part").agg(F.count("*").alias("__n")).select(
+        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
+    )
+    number = F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)
+    return place.join(starts, "__part").withColumn("id", number + (batch << 32)).select(*events.columns)
+
+
 def append_events(
-    events: DataFrame, root: str, batch: int | str, persist_price_change: bool = True
+    events: DataFrame, root: str, batch: int, persist_price_change: bool = True
 ) -> None:
-    """Write one batch under its own folder, so a retried batch replaces itself."""
+    """Write one batch under its own folder, so a retried batch replaces itself.
+
+    Rows without ids get running ones in order of arrival. A key made of the content is stored
+    beside it, by which re-delivered rows are recognized.
+    """
     df = schemas.conform(storable_events(events, persist_price_change), schemas.EVENTS)
-    # a natural-key id keeps re-delivered rows recognizable
-    df = df.withColumn(
-        "id",
-        F.coalesce(
-            "id", hashed_id(*[F.col(c) for c in ("market_id", "event_type", "timestamp", "new_value")],
-                            F.coalesce("metadata", F.lit("")))
-        ),
-    )
+    if "id" not in events.columns:
+        df = with_arrival_ids(df, batch)
+    content = [F.col(c) for c in ("market_id", "event_type", "timestamp", "new_value")]
+    df = df.withColumn("content_key", hashed_id(*content, F.coalesce("metadata", F.lit(""))))
     (
         by_day(df.withColumn("event_date", event_day(F.col("timestamp"))), "event_date")
         .write.mode("overwrite")
@@ -56,9 +75,13 @@ def append_events(
 
 
 def read_events(
-    spark: SparkSession, root: str, since_ms: int | None = None, until_ms: int | None = None
+    spark: SparkSession, root: str, since_ms: int | None = None, until_ms: int | None = None,
+    with_date: bool = False,
 ) -> DataFrame:
-    """The event log, pruned to the days and row groups of [since_ms, until_ms]."""
+    """The event log, pruned to the days and row groups of [since_ms, until_ms].
+
+    ``with_date`` keeps event_date, by which ``quality.since`` skips the folders of earlier days.
+    """
     schema = T.StructType(
         [*schemas.EVENTS.fields, T.StructField("event_date", T.DateType()),
          T.StructField("ingest_batch", T.StringType())]
@@ -69,7 +92,7 @@ def read_events(
         df = df.filter((ts >= since_ms) & (F.col("event_date") >= event_day(F.lit(since_ms))))
     if until_ms is not None:
         df = df.filter((ts <= until_ms) & (F.col("event_date") <= event_day(F.lit(until_ms))))
-    return df.drop("event_date", "ingest_batch")
+    return df.drop("ingest_batch") if with_date else df.drop("event_date", "ingest_batch")
 
 
 def write_snapshot(df: DataFrame, root: str, version: int) -> None:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.operators.markets import market_changes
 from tidewatch.session import settle
 from tidewatch.sources.messages import normalize_messages, resolve_tickers
-from tidewatch.sources.store import append_events, read_snapshot
+from tidewatch.sources.store import append_events, read_snapshot, with_arrival_ids
 
 
 def ingest_batch(
@@ -28,10 +29,8 @@ def ingest_batch(
     markets = read_snapshot(raw.sparkSession, markets_root)
     resolved = resolve_tickers(normalize_messages(raw, tokens), markets)
     # both writes read the same rows; the running id keeps arrival order within a millisecond
-    events = settle(
-        resolved.selectExpr("monotonically_increasing_id() as id", *resolved.columns)
-    )
-    append_events(events.drop("id"), f"{out_root}/events", batch_id, persist_price_change)
+    events = settle(with_arrival_ids(resolved.withColumn("id", F.lit(0).cast("long")), batch_id))
+    append_events(events, f"{out_root}/events", batch_id, persist_price_change)
     market_changes(events).write.mode("overwrite").parquet(
         f"{out_root}/market_changes/ingest_batch={batch_id}"
     )

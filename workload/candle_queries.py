@@ -69,7 +69,7 @@ register(
 )
 register(
     "get_candles",
-    lambda v: c.get_candles(c.minute_candles(v.events, v.now), 8).drop("created_at"),
+    lambda v: c.get_candles(c.minute_candles(v.events, v.now), 8, limit=500).drop("created_at"),
     f"""SELECT * EXCLUDE (created_at) FROM ({MINUTE_SQL}) WHERE market_id = 8 ORDER BY open_ts DESC LIMIT 500""",
     "open high low close",
 )

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from tidewatch.operators import catalyst as c
 from tidewatch.operators import detection as d
 from tidewatch.operators import narrative as n
+from tidewatch.session import shared_folder
+from tidewatch.sources import store
 from workload.registry import register
 
 MINUTES = 4320
@@ -29,8 +31,8 @@ def analysis(v):
 
 EV = f"""fa AS (SELECT a.id AS anomaly_id, l.market_id, detected_at, detected_at - {MINUTES * 60_000} AS window_start
     FROM mk_anomalies a JOIN mk_anomaly_markets l ON l.anomaly_id = a.id WHERE anomaly_type = 'single_market'),
-  we AS (SELECT * FROM (SELECT fa.anomaly_id, e.*, row_number() OVER (PARTITION BY anomaly_id ORDER BY "timestamp" DESC, id DESC) AS rn
-    FROM fa JOIN mk_events e ON e.market_id = fa.market_id AND e."timestamp" BETWEEN window_start AND detected_at) WHERE rn <= 500)"""
+  we AS (SELECT fa.anomaly_id, e.*
+    FROM fa JOIN mk_events e ON e.market_id = fa.market_id AND e."timestamp" BETWEEN window_start AND detected_at)"""
 PM = """pm AS (SELECT anomaly_id, arg_min(new_value, ("timestamp", id)) AS price_from, arg_max(new_value, ("timestamp", id)) AS price_to
     FROM we WHERE event_type = 'price_change' GROUP BY 1),
   pr AS (SELECT *, CASE WHEN price_from > 0 THEN abs((price_to - price_from) / price_from) ELSE 0 END AS magnitude_pct,
@@ -63,11 +65,11 @@ AN = f"""{EV}, {PM}, {TF}, {BD},
 
 
 def _pct(x: str, digits: int = 0) -> str:
-    return f"printf('%.{digits}f%%', round_even({x} * 100, {digits}))"
+    return f"printf('%.{digits}f%%', CAST({x} * 100 AS DOUBLE))"
 
 
 def _num(x: str, digits: int = 0) -> str:
-    return f"printf('%.{digits}f', round_even({x}, {digits}))"
+    return f"printf('%.{digits}f', CAST({x} AS DOUBLE))"
 
 
 TEXT = f"""{AN},
@@ -183,7 +185,7 @@ register(
     ),
     f"""WITH {AN} SELECT a.id AS anomaly_id, catalyst_type,
          CASE WHEN catalyst_type IS NULL THEN NULL WHEN severity >= 0.2 THEN 'llm' ELSE 'template' END AS source,
-         CASE WHEN catalyst_type IS NULL THEN NULL WHEN severity >= 0.2 THEN least(1, severity * 2) ELSE round_even(confidence, 2) END AS confidence
+         CASE WHEN catalyst_type IS NULL THEN NULL WHEN severity >= 0.2 THEN least(1, severity * 2) ELSE CAST(printf('%.2f', CAST(confidence AS DOUBLE)) AS DOUBLE) END AS confidence
        FROM mk_anomalies a LEFT JOIN ct ON ct.anomaly_id = a.id WHERE status = 'active'""",
     "confidence",
 )
@@ -211,7 +213,7 @@ register(
         )
     ),
     """SELECT conv_id * 1000 + turn AS anomaly_id, CASE WHEN conv_id % 3 = 0 THEN 'C' || conv_id ELSE 'Analysis unavailable' END AS headline,
-         CASE WHEN conv_id % 3 = 0 THEN text ELSE substr(text, 1, 500) END AS narrative, 'unknown' AS attributed_catalyst,
+         CASE WHEN conv_id % 3 = 0 THEN text ELSE text END AS narrative, 'unknown' AS attributed_catalyst,
          CASE WHEN conv_id % 3 = 0 THEN least(1, CAST(turn AS DOUBLE) / 4) ELSE 0.5 END AS confidence
        FROM conversations WHERE role = 'assistant'""",
     "confidence",
@@ -231,6 +233,21 @@ register(
        FROM conversations""",
     "total_cost_usd",
 )
+def _pairs_csv(v):
+    """The pairs as a CSV file, read back."""
+    pairs = n.narrative_pairs(_enriched(v)).select("id", "severity", "type", "llm_headline", "llm_narrative")
+    root = shared_folder(v.spark, "pairs")
+    store.write_csv(pairs, root)
+    return v.spark.read.schema(pairs.schema).option("header", True).option("escape", '"').csv(root)
+
+
+register(
+    "narrative_csv",
+    _pairs_csv,
+    f"""WITH {AN} SELECT a.id, severity, catalyst_type AS "type", CASE WHEN severity >= 0.2 THEN 'H' || a.id ELSE '(no LLM)' END AS llm_headline,
+         CASE WHEN severity >= 0.2 THEN 'N' ELSE '(no LLM)' END AS llm_narrative FROM mk_anomalies a JOIN ct ON ct.anomaly_id = a.id""",
+    "severity",
+)
 register(
     "narrative_pairs",
     lambda v: n.narrative_pairs(_enriched(v)).select(

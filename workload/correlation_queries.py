@@ -22,7 +22,7 @@ def _dir(u: str, d: str) -> str:
 
 
 CLUSTER_SQL = f"""WITH {PER_MARKET},
-  c AS (SELECT cluster_id, CAST(count(*) AS INTEGER) AS market_count, round_even(avg(sev), 4) AS severity,
+  c AS (SELECT cluster_id, CAST(count(*) AS INTEGER) AS market_count, (CAST(sum(round(sev * 10000)) AS BIGINT) // count(*) + CASE WHEN 2 * (CAST(sum(round(sev * 10000)) AS BIGINT) % count(*)) > count(*) OR (2 * (CAST(sum(round(sev * 10000)) AS BIGINT) % count(*)) = count(*) AND (CAST(sum(round(sev * 10000)) AS BIGINT) // count(*)) % 2 = 1) THEN 1 ELSE 0 END) / 10000.0::DOUBLE AS severity,
           sum(ups) AS u, sum(downs) AS d FROM mk_memberships m JOIN per USING (market_id) GROUP BY 1 HAVING count(*) >= 2)
   SELECT 'cluster' AS anomaly_type, severity, cluster_id AS topic_cluster_id, market_count, {_dir('u', 'd')} AS direction
   FROM c WHERE cluster_id NOT IN (SELECT topic_cluster_id FROM mk_anomalies, cfg
@@ -109,7 +109,7 @@ register(
         v.anomalies, v.anomaly_markets, v.links, v.now, WEEK_MIN
     ).select("market_id_a", "market_id_b", "severity", "signal_type", "direction"),
     f"""WITH {PER_MARKET}, dd AS (SELECT market_id, sev, {_dir('ups', 'downs')} AS dir FROM per)
-       SELECT market_id_a, market_id_b, round_even(least(1, (a.sev + b.sev) / 2 * 1.2), 4) AS severity,
+       SELECT market_id_a, market_id_b, CAST(printf('%.4f', CAST(least(1, (a.sev + b.sev) / 2 * 1.2) AS DOUBLE)) AS DOUBLE) AS severity,
          CASE WHEN a.dir = b.dir AND a.dir <> 'undetermined' THEN 'convergent'
            WHEN a.dir <> 'undetermined' AND b.dir <> 'undetermined' THEN 'divergent' ELSE 'undetermined' END AS signal_type,
          CASE WHEN a.dir = b.dir AND a.dir <> 'undetermined' THEN a.dir
@@ -149,7 +149,7 @@ register(
        tk AS (SELECT series_prefix, direction, string_agg(external_id, ' ' ORDER BY market_id) AS tickers FROM (
            SELECT *, CASE WHEN change_pct > 0 THEN 'up' ELSE 'down' END AS direction,
              row_number() OVER (PARTITION BY series_prefix, change_pct > 0 ORDER BY market_id) AS rn
-           FROM mv WHERE abs(change_pct) >= 0.03) WHERE rn <= 10 GROUP BY 1, 2)
+           FROM mv WHERE abs(change_pct) >= 0.03) GROUP BY 1, 2)
        SELECT q.series_prefix, q.direction, movers, total_markets, avg_change_pct, CAST(movers AS INTEGER) AS market_count, tickers,
          least(1, 0.5 * movers / total_markets + 0.5 * least(1, ln(1 + 100 * avg_change_pct) / 4)) AS severity
        FROM q LEFT JOIN tk USING (series_prefix, direction) WHERE movers >= 2 AND total_markets >= 2""",

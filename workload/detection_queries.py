@@ -49,7 +49,7 @@ scored AS (
     CASE WHEN pct_stddev > 0 AND abs(price_change_pct - pct_mean) / pct_stddev > 2.5
       THEN least(1, abs(price_change_pct - pct_mean) / pct_stddev / 5) ELSE 0 END AS zscore_score
   FROM stats s JOIN base USING (market_id, window_minutes), cfg WHERE window_end = now),
-rated AS (SELECT *, round_even(greatest(price_score, volume_score, zscore_score), 4) AS severity FROM scored)"""
+rated AS (SELECT *, CAST(printf('%.4f', CAST(greatest(price_score, volume_score, zscore_score) AS DOUBLE)) AS DOUBLE) AS severity FROM scored)"""
 STAT_DOUBLES = "price_start price_end price_delta price_change_pct volume_total"
 
 register(
@@ -105,7 +105,7 @@ register(
     lambda v: d.detect_single(scores(v), v.markets).drop("id", "summary"),
     f"""WITH {SCORES} SELECT market_id, window_minutes, 'single_market' AS anomaly_type, severity, window_start,
          window_end AS detected_at, price_delta,
-         CASE WHEN volume_total > 0 AND volume_mean > 0 THEN round_even(volume_total / volume_mean, 2) END AS volume_ratio
+         CASE WHEN volume_total > 0 AND volume_mean > 0 THEN CAST(printf('%.2f', CAST(volume_total / volume_mean AS DOUBLE)) AS DOUBLE) END AS volume_ratio
        FROM rated WHERE severity > 0""",
     "severity price_delta volume_ratio",
 )
@@ -113,7 +113,7 @@ register(
     "detect_new",
     lambda v: d.detect_new(
         d.detect_single(scores(v), v.markets),
-        v.anomalies.filter(F.col("detected_at") >= v.now - 2 * DAY), v.anomaly_markets, WINDOWS,
+        d.expire_anomalies(v.anomalies, v.now - 2 * DAY), v.anomaly_markets, WINDOWS,
     ).drop("id", "summary"),
     f"""WITH {SCORES},
        busy AS (SELECT l.market_id FROM mk_anomaly_markets l JOIN mk_anomalies a ON a.id = l.anomaly_id, cfg
@@ -122,7 +122,7 @@ register(
                 FROM rated WHERE severity > 0 AND market_id NOT IN (SELECT market_id FROM busy))
        SELECT market_id, window_minutes, 'single_market' AS anomaly_type, severity, window_start,
          window_end AS detected_at, price_delta,
-         CASE WHEN volume_total > 0 AND volume_mean > 0 THEN round_even(volume_total / volume_mean, 2) END AS volume_ratio
+         CASE WHEN volume_total > 0 AND volume_mean > 0 THEN CAST(printf('%.2f', CAST(volume_total / volume_mean AS DOUBLE)) AS DOUBLE) END AS volume_ratio
        FROM best WHERE rn = 1""",
     "severity price_delta volume_ratio",
 )
@@ -138,7 +138,7 @@ register(
     "query_anomalies",
     lambda v: d.query_anomalies(
         v.anomalies, since_ms=v.now - 20 * DAY, until_ms=v.now, status="active",
-        anomaly_type="single_market", min_severity=0.3,
+        anomaly_type="single_market", min_severity=0.3, limit=100,
     ).select(*_A),
     """SELECT id, anomaly_type, severity, detected_at, status FROM mk_anomalies, cfg
        WHERE detected_at BETWEEN now - 20 * 86400000 AND now AND status = 'active'
@@ -147,7 +147,7 @@ register(
 )
 register(
     "query_anomalies_of_market",
-    lambda v: d.query_anomalies(v.anomalies, v.anomaly_markets, market_id=8, limit=None).select(*_A),
+    lambda v: d.query_anomalies(v.anomalies, v.anomaly_markets, market_id=8).select(*_A),
     """SELECT id, anomaly_type, severity, detected_at, status FROM mk_anomalies
        WHERE id IN (SELECT anomaly_id FROM mk_anomaly_markets WHERE market_id = 8)""",
     "severity",
@@ -245,10 +245,10 @@ per AS (SELECT a.market_id, a.win, c, a.pct, a.volume, avg(b.pct) AS pm, stddev_
         FROM curs JOIN st a ON a.e = c JOIN st b ON b.market_id = a.market_id AND b.win = a.win
           AND b.e <= c AND b.e > c - 864000000 AND (c - b.e) % (a.win * 60000) = 0
         GROUP BY ALL),
-sc AS (SELECT *, round_even(greatest(
+sc AS (SELECT *, CAST(printf('%.4f', CAST(greatest(
     CASE WHEN abs(pct) > 0.10 THEN least(1, log10(abs(pct) / 0.10 + 1) / log10(101)) ELSE 0 END,
     CASE WHEN volume > 0 AND vm > 0 AND volume / vm > 3 THEN least(1, volume / vm / 6) ELSE 0 END,
-    CASE WHEN ps > 0 AND abs(pct - pm) / ps > 2.5 THEN least(1, abs(pct - pm) / ps / 5) ELSE 0 END), 4) AS severity FROM per),
+    CASE WHEN ps > 0 AND abs(pct - pm) / ps > 2.5 THEN least(1, abs(pct - pm) / ps / 5) ELSE 0 END) AS DOUBLE)) AS DOUBLE) AS severity FROM per),
 seen AS (SELECT DISTINCT market_id, c FROM mk_events JOIN curs ON "timestamp" BETWEEN c - 43200000 AND c),
 cand AS (SELECT s.market_id, c AS cursor_ms, max(severity) AS severity,
            arg_max(win, (severity, -win)) AS window_minutes
@@ -296,19 +296,15 @@ CYCLE_SQL = f"""WITH {SCORES}, {MOVES_SQL},
   per AS (SELECT market_id, max(severity) AS sev FROM (
     SELECT l.market_id, live.severity FROM mk_anomaly_markets l JOIN live ON live.id = l.anomaly_id WHERE anomaly_type = 'single_market'
     UNION ALL SELECT * FROM fresh) GROUP BY 1),
-  clu AS (SELECT cluster_id, round_even(avg(sev), 4) AS severity FROM mk_memberships JOIN per USING (market_id)
+  clu AS (SELECT cluster_id, (CAST(sum(round(sev * 10000)) AS BIGINT) // count(*) + CASE WHEN 2 * (CAST(sum(round(sev * 10000)) AS BIGINT) % count(*)) > count(*) OR (2 * (CAST(sum(round(sev * 10000)) AS BIGINT) % count(*)) = count(*) AND (CAST(sum(round(sev * 10000)) AS BIGINT) // count(*)) % 2 = 1) THEN 1 ELSE 0 END) / 10000.0::DOUBLE AS severity FROM mk_memberships JOIN per USING (market_id)
     WHERE cluster_id NOT IN (SELECT topic_cluster_id FROM mk_anomalies, cfg WHERE anomaly_type = 'cluster' AND detected_at >= now - 604800000)
     GROUP BY 1 HAVING count(*) >= 2),
   ser AS (SELECT series_prefix, count(*) AS n, count(*) FILTER (WHERE change_pct >= 0.03) AS un, count(*) FILTER (WHERE change_pct <= -0.03) AS dn,
     avg(change_pct) FILTER (WHERE change_pct >= 0.03) AS ua, avg(-change_pct) FILTER (WHERE change_pct <= -0.03) AS da FROM mv GROUP BY 1),
   srs AS (SELECT least(1, 0.5 * greatest(un, dn) / n + 0.5 * least(1, ln(1 + 100 * CASE WHEN un >= dn THEN ua ELSE da END) / 4)) AS severity
     FROM ser WHERE greatest(un, dn) >= 3),
-  mem AS (SELECT m.market_id, m.cluster_id, k.platform, sev FROM mk_memberships m JOIN mk_markets k ON k.id = m.market_id
-    JOIN per ON per.market_id = m.market_id WHERE is_active),
-  prs AS (SELECT a.market_id AS ma, b.market_id AS mb FROM mem a JOIN mem b
-      ON a.cluster_id = b.cluster_id AND a.platform <> b.platform AND a.market_id < b.market_id
-    UNION SELECT market_id_a, market_id_b FROM mk_links),
-  xp AS (SELECT round_even(least(1, (a.sev + b.sev) / 2 * 1.2), 4) AS severity
+  prs AS (SELECT market_id_a AS ma, market_id_b AS mb FROM mk_links),
+  xp AS (SELECT CAST(printf('%.4f', CAST(least(1, (a.sev + b.sev) / 2 * 1.2) AS DOUBLE)) AS DOUBLE) AS severity
     FROM prs JOIN per a ON a.market_id = ma JOIN per b ON b.market_id = mb)
   SELECT 'single' AS stage, count(*) AS found, round(avg(severity), 6) AS mean_severity FROM fresh
   UNION ALL SELECT 'cluster', count(*), round(avg(severity), 6) FROM clu

@@ -7,6 +7,7 @@ from tidewatch.functions.pricing import category_from_title, kalshi_yes_price, p
 from tidewatch.operators import detection, markets as mk
 from tidewatch.operators import correlation as k
 from tidewatch.plans import publish as p
+from tidewatch.session import shared_folder
 from tidewatch.sources import catalogs, feeds, messages, store
 from workload.market_queries import STATE_SQL
 from workload.registry import register
@@ -50,7 +51,7 @@ register(
     "norm_polymarket_market",
     lambda v: catalogs.normalize_polymarket_listing(v.polymarket_listings, v.now).drop("snapshot_ts"),
     f"""SELECT 'polymarket' AS platform, {TICKER} AS external_id, c_name AS title,
-         substr(repeat(c_mktsegment, 70), 1, 500) AS description,
+         repeat(c_mktsegment, 70) AS description,
          CASE c_mktsegment WHEN 'BUILDING' THEN 'Entertainment' WHEN 'MACHINERY' THEN 'Cryptocurrency' ELSE {P_CASE} END AS category,
          true AS is_active, {P_PRICE} AS yes_price, 1 - ({P_PRICE}) AS no_price, c_acctbal AS volume, {END_TEXT} AS end_date
        FROM (SELECT *, c_name AS t FROM customer), cfg WHERE c_acctbal >= 0 AND c_nationkey <> 3 AND (c_custkey % 60 - 10) > 0""",
@@ -210,7 +211,7 @@ register(
     "rss_news_items",
     lambda v: feeds.rss_news_items(v.rss),
     """SELECT doc_id AS feed_id, 0 AS item_pos, 'Doc ' || doc_id || ' - part' AS title, source, 'day' AS published_at,
-         'http://x/' || doc_id AS url, rtrim(substr(text, 1, 200), ' ') AS snippet FROM documents
+         'http://x/' || doc_id AS url, trim(text, ' ') AS snippet FROM documents
        UNION ALL SELECT doc_id, 1, 'Plain ' || doc_id, '', '', '', 'a & b' FROM documents""",
 )
 register(
@@ -243,12 +244,23 @@ def _rekeyed(v):
     return out["memberships"].join(names, "cluster_id").select("market_id", "cluster_name", "confidence")
 
 
+
+
+def _archived(v):
+    """The hourly archive, written and read back."""
+    root = shared_folder(v.spark, "archive")
+    store.archive_events(v.events, root)
+    return v.spark.read.schema(f"{_schema(v.events)}, date date, hour int").json(root)
+
+
+def _schema(df):
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 register(
     "event_archive",
-    lambda v: v.events.groupBy(
-        store.event_day(F.col("timestamp")).cast("string").alias("date"),
-        F.pmod(F.floor(F.col("timestamp") / F.lit(3_600_000)), F.lit(24)).cast("int").alias("hour"),
-    ).agg(F.count("*").alias("archived")),
+    lambda v: _archived(v).groupBy(F.col("date").cast("string").alias("date"), F.col("hour").cast("int").alias("hour"))
+    .agg(F.count("*").alias("archived")),
     """SELECT strftime(make_timestamp("timestamp" * 1000), '%Y-%m-%d') AS date,
          CAST(hour(make_timestamp("timestamp" * 1000)) AS INTEGER) AS hour, count(*) AS archived FROM mk_events GROUP BY 1, 2""",
 )
@@ -259,7 +271,7 @@ register(
     ).drop("lastVolume", "lastVolumeTs", "endDate"),
     f"""SELECT market_id AS marketId, platform, external_id AS externalId, title, coalesce(description, '') AS eventTitle,
          coalesce(category, '') AS category, is_active AS isActive, last_price AS lastPrice, last_price_ts AS lastPriceTs,
-         volume, rank_score AS rankScore, CASE WHEN c_acctbal >= 5000 THEN CAST(c_custkey % 15 AS DOUBLE) / 100 END AS healthScore, now AS syncedAt
+         volume, rank_score AS rankScore, CAST(c_custkey % 15 AS DOUBLE) / 100 AS healthScore, now AS syncedAt
        FROM ({STATE_SQL}) s JOIN customer ON c_custkey = market_id, cfg""",
     "lastPrice volume rankScore healthScore",
 )

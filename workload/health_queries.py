@@ -19,17 +19,15 @@ def events(v):
 PTS = f"""pts AS (SELECT ticker, id, now - (now - "timestamp") // {SPEED} AS ts, new_value AS price, event_type = 'trade' AS is_trade,
     cnt AS size, taker, new_value * cnt AS dollars FROM mk_events, cfg WHERE event_type IN ('trade', 'price_change'))"""
 FLOW = f"""{PTS},
- tr AS (SELECT * FROM (SELECT pts.*, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, id DESC) AS rn FROM pts, cfg
-   WHERE is_trade AND ts >= now - 900000) WHERE rn <= 500),
+ tr AS (SELECT pts.* FROM pts, cfg WHERE is_trade AND ts >= now - 900000),
  flow AS (SELECT ticker, count(*) AS trade_count, least(1, count(*) / 15.0 / 10.0) AS trade_velocity,
    coalesce(least(1, coalesce(sum(dollars) FILTER (WHERE dollars >= 500), 0) / nullif(sum(dollars), 0)), 0) AS whale_activity
    FROM tr GROUP BY 1)"""
 BOOK = """book AS (SELECT 'S' || (c_custkey % 25) || '-' || c_custkey AS ticker,
    least(1, abs(c_acctbal - (10000 - c_acctbal)) / 10000) AS orderbook_imbalance,
    greatest(0, least(1, 1 - (CAST(c_custkey % 15 AS DOUBLE) / 100) / 0.10)) AS spread_tightness
-   FROM customer WHERE c_acctbal >= 5000)"""
-MOM = """pp AS (SELECT * FROM (SELECT pts.*, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, id DESC) AS rn FROM pts, cfg
-   WHERE ts >= now - 3600000) WHERE rn <= 200),
+   FROM customer)"""
+MOM = """pp AS (SELECT pts.* FROM pts, cfg WHERE ts >= now - 3600000),
  dl AS (SELECT *, price - lag(price) OVER (PARTITION BY ticker ORDER BY ts, id) AS dp FROM pp),
  mg AS (SELECT ticker, count(*) AS n, count(*) FILTER (WHERE dp > 0) AS u, count(*) FILTER (WHERE dp < 0) AS d,
    arg_min(price, (ts, id)) AS p0, arg_max(price, (ts, id)) AS p1 FROM dl GROUP BY 1),

@@ -94,7 +94,7 @@ register(
 )
 register(
     "tracked_universe",
-    lambda v: m.tracked_universe(v.markets).select("id", "external_id", "last_updated_at"),
+    lambda v: m.tracked_universe(v.markets, 200).select("id", "external_id", "last_updated_at"),
     """SELECT id, external_id, last_updated_at FROM mk_markets WHERE is_active
        ORDER BY last_updated_at DESC, id LIMIT 200""",
 )

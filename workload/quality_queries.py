@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import activity as act
 from tidewatch.operators import quality as q
+from tidewatch.session import shared_folder
 from tidewatch.sources import store
 from workload.registry import register
 
@@ -14,7 +15,7 @@ _COLS = 'id, market_id, event_type, new_value, "timestamp"'
 
 register(
     "get_events",
-    lambda v: q.get_events(v.events, event_type="trade", since_ms=v.now - 20 * DAY).select(*EVENT_COLS),
+    lambda v: q.get_events(v.events, event_type="trade", since_ms=v.now - 20 * DAY, limit=1000).select(*EVENT_COLS),
     f"""SELECT {_COLS} FROM mk_events, cfg WHERE event_type = 'trade' AND "timestamp" >= now - 20 * 86400000
         ORDER BY "timestamp" DESC, id DESC LIMIT 1000""",
     "new_value",
@@ -117,16 +118,16 @@ register(
        UNION ALL SELECT 'event_type', event_type, count(*) FROM mk_events GROUP BY event_type""",
 )
 _BUFFER = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY "timestamp" DESC, id DESC) AS rn
-  FROM mk_events, cfg WHERE "timestamp" BETWEEN now - 1296000000 AND now) WHERE rn <= 20"""
+  FROM mk_events, cfg WHERE "timestamp" BETWEEN now - 1296000000 AND now)"""
 register(
     "recent_buffer",
-    lambda v: q.recent_buffer(v.events, v.now, max_age_ms=15 * DAY, per_market=20).select(*EVENT_COLS),
+    lambda v: q.recent_buffer(v.events, v.now, max_age_ms=15 * DAY).select(*EVENT_COLS),
     f"SELECT {_COLS} FROM ({_BUFFER})",
     "new_value",
 )
 register(
     "buffer_stats",
-    lambda v: q.buffer_stats(q.recent_buffer(v.events, v.now, max_age_ms=15 * DAY, per_market=20), v.now),
+    lambda v: q.buffer_stats(q.recent_buffer(v.events, v.now, max_age_ms=15 * DAY), v.now),
     f"""SELECT CAST(count(*) AS BIGINT) AS total_events, count(DISTINCT market_id) AS markets,
          max(now - "timestamp") AS oldest_age_ms, min(now - "timestamp") AS newest_age_ms,
          (SELECT max(c) FROM (SELECT count(*) AS c FROM ({_BUFFER}) GROUP BY market_id)) AS largest_market
@@ -182,7 +183,7 @@ register(
 register(
     "throughput",
     lambda v: act.throughput(v.events, v.now, 3600),
-    """SELECT count(*) AS window_events, round_even(count(*) / 3600.0, 2) AS events_per_second
+    """SELECT count(*) AS window_events, CAST(printf('%.2f', CAST(count(*) / 3600.0 AS DOUBLE)) AS DOUBLE) AS events_per_second
        FROM mk_events, cfg WHERE "timestamp" BETWEEN now - 3600000 AND now""",
     "events_per_second",
 )
@@ -200,9 +201,23 @@ register(
     ),
     "SELECT 'code' || (k % 5) AS category, count(*) AS errors FROM raw_ev WHERE event_type = 'error' GROUP BY 1",
 )
+
+
+def _stored(events, prices=True):
+    """The log after it was written in order of the ids, without them, and read back."""
+    root = shared_folder(events.sparkSession, "log")
+    store.append_events(events.orderBy("id").drop("id"), root, 1, prices)
+    return store.read_events(events.sparkSession, root, with_date=True)
+
+
+register(
+    "appended_ordering_violations",
+    lambda v: q.ordering_violations(_stored(v.events)),
+    """SELECT count(*) AS violations FROM (SELECT "timestamp" AS t, lag("timestamp") OVER (ORDER BY id) AS p FROM mk_events) WHERE t < p""",
+)
 register(
     "append_events",
-    lambda v: store.storable_events(v.events).groupBy("event_type", store.event_day(F.col("timestamp")).cast("string").alias("event_date"))
+    lambda v: _stored(v.events, False).groupBy("event_type", F.col("event_date").cast("string").alias("event_date"))
     .agg(F.count("*").alias("stored")),
     """SELECT event_type, strftime(make_timestamp("timestamp" * 1000), '%Y-%m-%d') AS event_date, count(*) AS stored
        FROM mk_events WHERE event_type <> 'price_change' GROUP BY 1, 2""",
