@@ -222,6 +222,7 @@ def market_context(
     hours = (iso_millis(F.col("end_date")) - F.col("detected_at")) / 3_600_000.0
     return anomalies.join(dim, "market_id", "left").select(
         "anomaly_id",
+        "window_minutes",
         F.coalesce("title", F.concat(F.lit("market "), F.col("market_id"))).alias("title"),
         F.coalesce("category", F.lit("")).alias("category"),
         F.coalesce(series_prefix(F.col("external_id")), F.lit("")).alias("series_prefix"),

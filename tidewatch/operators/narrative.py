@@ -208,6 +208,11 @@ def anomaly_feed(active: DataFrame) -> DataFrame:
     return told.select(*active.columns, catalyst.alias("catalyst"))
 
 
+REPLY_FORMAT = (
+    'Answer in JSON only: {"headline": "...", "narrative": "...", "attributed_catalyst": "...", "confidence": 0.0}'
+)
+
+
 def narrative_prompts(analysis: DataFrame, news: DataFrame) -> DataFrame:
     """Prompt text per anomaly from its signals and its news items (anomaly_id, item_pos)."""
     line = F.concat(
@@ -229,6 +234,7 @@ def narrative_prompts(analysis: DataFrame, news: DataFrame) -> DataFrame:
         "\n",
         F.concat(F.lit("Market: "), c("title")),
         F.concat(F.lit("Direction: "), c("direction"), F.lit(" ("), percent(c("magnitude_pct"), 1), F.lit(")")),
+        F.concat(F.lit("Window: "), c("window_minutes"), F.lit(" minutes")),
         F.concat(F.lit("Trades: "), c("trade_count"), F.lit(", "), fixed(c("trades_per_minute"), 1), F.lit("/min")),
         F.concat(F.lit("Whale share: "), percent(c("whale_trade_pct"))),
         F.concat(F.lit("Taker buys: "), percent(c("taker_buy_pct"))),
@@ -237,8 +243,10 @@ def narrative_prompts(analysis: DataFrame, news: DataFrame) -> DataFrame:
         F.lit("News:"),
         F.coalesce(block, F.lit("(No recent news found)")),
         F.concat(F.lit("Category: "), F.coalesce(F.nullif(c("category"), F.lit("")), F.lit("Unknown"))),
-        F.concat(F.lit("Series: "), F.coalesce(F.nullif(c("series_prefix"), F.lit("")), F.lit("N/A"))),
+        F.concat(F.lit("Series: "), F.coalesce(F.nullif(c("series_prefix"), F.lit("")), F.lit("N/A")),
+                 F.lit(" ("), c("markets_in_series"), F.lit(" markets)")),
         F.concat(F.lit("Hours to expiry: "), F.coalesce(fixed(c("hours_to_expiry"), 1), F.lit("N/A"))),
+        F.lit(REPLY_FORMAT),
     )
     return analysis.join(items, "anomaly_id", "left").select("anomaly_id", text.alias("prompt"))
 

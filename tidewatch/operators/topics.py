@@ -26,6 +26,15 @@ MIN_CONFIDENCE = 0.6
 BATCH_SIZE = 30
 # ---- end of fixed values -----------------------------------------------------------------
 
+BATCH_FORMAT = (
+    'Answer with this JSON structure:\n'
+    '{"clusters": [{"name": "...", "description": "...", "markets": [{"market_id": 0, "confidence": 0.0}]}]}'
+)
+INCREMENTAL_FORMAT = (
+    'Answer with this JSON structure:\n'
+    '{"assignments": [{"market_id": 0, "cluster_name": "...", "cluster_description": "...", '
+    '"is_new_cluster": false, "confidence": 0.0}]}'
+)
 BATCH_TASK = "Sort these prediction markets into topic clusters. Answer with JSON only."
 INCREMENTAL_TASK = (
     "Put each new market into one of the existing clusters, or name a new one. "
@@ -68,7 +77,9 @@ def prompt_batches(
         ).alias("market_lines"),
     )
     if clusters is None:
-        text = F.concat(F.lit(BATCH_TASK + "\n\nMarkets:\n"), F.col("market_lines"))
+        text = F.concat(
+            F.lit(BATCH_TASK + "\n\nMarkets:\n"), F.col("market_lines"), F.lit("\n\n" + BATCH_FORMAT)
+        )
         return batches.withColumn("prompt", text)
     description = F.when(
         F.col("description") != "", F.concat(F.lit(": "), F.col("description"))
@@ -78,7 +89,7 @@ def prompt_batches(
     ).agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list("c")), lambda x: x["line"])).alias("cluster_lines"))
     text = F.concat(
         F.lit(INCREMENTAL_TASK + "\n\nExisting clusters:\n"), F.col("cluster_lines"),
-        F.lit("\n\nNew markets:\n"), F.col("market_lines"),
+        F.lit("\n\nNew markets:\n"), F.col("market_lines"), F.lit("\n\n" + INCREMENTAL_FORMAT),
     )
     return with_totals(batches, known).withColumn("prompt", text).drop("cluster_lines")
 

@@ -94,10 +94,10 @@ TEXT = f"""{AN},
       CASE WHEN bd THEN 'burst: ' || {_pct('bp')} || ' of trades in ' || {_num('bs')} || 's' END,
       CASE WHEN tb > 0 AND trade_count > 0 THEN {_pct('tb')} || ' buy-side' END) AS signals FROM tx)"""
 PROMPT = f"""WITH {AN} SELECT ct.anomaly_id, concat_ws(chr(10), 'Market: ' || title, 'Direction: ' || direction || ' (' || {_pct('magnitude_pct', 1)} || ')',
-    'Trades: ' || trade_count || ', ' || {_num('tpm', 1)} || '/min', 'Whale share: ' || {_pct('w')}, 'Taker buys: ' || {_pct('tb')},
+    'Window: {MINUTES} minutes', 'Trades: ' || trade_count || ', ' || {_num('tpm', 1)} || '/min', 'Whale share: ' || {_pct('w')}, 'Taker buys: ' || {_pct('tb')},
     'Burst: ' || bd || ', ' || {_num('bs')} || 's, ' || {_pct('bp')}, 'Average trade size: ' || {_num('sz', 1)}, 'News:',
     '1. [Wire] News ' || market_id || ' 0' || chr(10) || '   snippet', '2. [Wire] News ' || market_id || ' 1',
-    'Category: ' || category, 'Series: ' || series_prefix, 'Hours to expiry: N/A') AS prompt
+    'Category: ' || category, 'Series: ' || series_prefix || ' (0 markets)', 'Hours to expiry: N/A', '{n.REPLY_FORMAT}') AS prompt
   FROM ct JOIN fa USING (anomaly_id)"""
 
 register(
@@ -125,7 +125,7 @@ register(
 )
 register(
     "market_context",
-    lambda v: c.market_context(found(v), v.markets).drop("hours_to_expiry", "markets_in_series"),
+    lambda v: c.market_context(found(v), v.markets).drop("hours_to_expiry", "markets_in_series", "window_minutes"),
     f"""WITH {EV} SELECT anomaly_id, k.title, coalesce(k.category, '') AS category,
          split_part(k.external_id, '-', 1) AS series_prefix FROM fa JOIN mk_markets k ON k.id = fa.market_id""",
 )

@@ -22,18 +22,20 @@ _LINES = """SELECT id, '  [id=' || id || '] "' || title || '"' ||
   FROM mk_markets WHERE is_active AND id NOT IN (SELECT market_id FROM mk_memberships)"""
 register(
     "cluster_prompt_batches",
-    lambda v: t.prompt_batches(t.unassigned_markets(v.markets, v.memberships), buckets=8).drop("prompt"),
-    f"""SELECT bucket, batch, count(*) AS markets, string_agg(line, chr(10) ORDER BY id) AS market_lines
-        FROM ({_LINES}) GROUP BY 1, 2""",
+    lambda v: t.prompt_batches(t.unassigned_markets(v.markets, v.memberships), buckets=8),
+    f"""SELECT *, '{t.BATCH_TASK}' || chr(10) || chr(10) || 'Markets:' || chr(10) || market_lines || chr(10) || chr(10) || '{t.BATCH_FORMAT}' AS prompt
+        FROM (SELECT bucket, batch, count(*) AS markets, string_agg(line, chr(10) ORDER BY id) AS market_lines
+              FROM ({_LINES}) GROUP BY 1, 2)""",
 )
 register(
     "incremental_prompt_batches",
     lambda v: t.prompt_batches(
         t.unassigned_markets(v.markets, v.memberships), buckets=8, clusters=v.clusters
-    ).select("bucket", "batch", F.length("prompt").cast("long").alias("chars")),
-    f"""SELECT bucket, batch, length(string_agg(line, chr(10) ORDER BY id)) + length('{t.INCREMENTAL_TASK}')
-         + length('..Existing clusters:.') + length('..New markets:.')
-         + (SELECT length(string_agg('- "' || name || '": ' || description, chr(10))) FROM mk_clusters) AS chars
+    ).select("bucket", "batch", "prompt"),
+    f"""SELECT bucket, batch, '{t.INCREMENTAL_TASK}' || chr(10) || chr(10) || 'Existing clusters:' || chr(10)
+         || (SELECT string_agg('- "' || name || '": ' || description, chr(10) ORDER BY name) FROM mk_clusters)
+         || chr(10) || chr(10) || 'New markets:' || chr(10) || string_agg(line, chr(10) ORDER BY id)
+         || chr(10) || chr(10) || '{t.INCREMENTAL_FORMAT}' AS prompt
         FROM ({_LINES}) GROUP BY 1, 2""",
 )
 
