@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import slices, text_arrow
+from tidewatch.llm.common import settle, slices, text_arrow
 
 DIMENSIONS = 1024
 SAMPLE_PER_LANG = 2000
+MAX_SENT_LABELS = 10_000
 UNKNOWN = "und"
 _UNIT = 1 << 16
 _WORD = (1 << 64) - 1
@@ -105,8 +106,9 @@ def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
 def learn(labelled: DataFrame, dimensions: int = DIMENSIONS, sample_per_lang: int = SAMPLE_PER_LANG) -> dict[str, np.ndarray]:
     """(doc_id, text, lang) -> prototype vectors. Languages are a bounded set of labels."""
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    chosen = labelled.join(counts, "lang").where(
+    counts = settle(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    few = counts.count() <= MAX_SENT_LABELS  # then their counts go to all tasks, and no text is shuffled
+    chosen = labelled.join(F.broadcast(counts) if few else counts, "lang").where(
         F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) < F.lit(float(sample_per_lang << 20)) / F.col("n")
     ).select("text", "lang")
 
