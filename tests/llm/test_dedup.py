@@ -4,7 +4,6 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import strip_white
@@ -93,10 +92,7 @@ def with_repeats(chance, n=60):
     return rows
 
 
-@pytest.mark.parametrize("send", [True, False])
-def test_repeats_match_brute_force(documents, chance, monkeypatch, send):
-    if not send:  # lists of positions are then joined by a shuffle
-        monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", -1)
+def test_repeats_match_brute_force(documents, chance):
     rows = with_repeats(chance)
     rows += [(100, None), (101, ""), (102, "x" * 49), (103, "q" * 50), (104, "q" * 50), (9, rows[3][1]), (9, rows[3][1]), (None, rows[3][1])]
     got = suffix_dedup.remove_repeats(documents(rows)).withColumn("sha", F.sha2("kept", 256)).drop("kept").collect()
@@ -133,6 +129,16 @@ def test_long_groups_come_in_parts(monkeypatch):
 
     key = np.repeat([1, 2], [600_000, 3])
     row = np.concatenate([np.arange(600_000), [5, 5, 5]])
-    batches = [pa.RecordBatch.from_arrays([pa.array(key[i:i + 9000]), pa.array(row[i:i + 9000]), pa.array(np.ones(len(key[i:i + 9000]), np.int32))],
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[i:i + 9000]), pa.array(row[i:i + 9000]), pa.array(np.ones(len(key[i:i + 9000]), np.int64))],
                                           ["key", "row_key", "pos"]) for i in range(0, len(key), 9000)]
     assert sum(b.num_rows for b in suffix_dedup._keep_shared(iter(batches))) == 600_000
+
+
+def test_windows_hold_what_their_quarter_shares():
+    for window, gram in [(50, 20), (50, 26), (20, 8), (12, 8), (9, 8)]:
+        parts = suffix_dedup.quarters(window, gram)
+        step = parts[1][0] if len(parts) > 1 else window
+        assert len(parts) <= 4
+        for begins in range(window - gram + 1):  # bytes between a window's start and its anchor
+            before, after = parts[begins // step]
+            assert before <= begins and after <= window - begins

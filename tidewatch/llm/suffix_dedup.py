@@ -10,10 +10,12 @@ missed, and about one position in sixteen is one. In rounds of growing length
 2. What is left is ranked by all bytes of the windows around the anchor. In all documents but
    the first of such a class the whole stretch is repeated: past the threshold, done.
 3. Only first documents of classes whose gram has other classes too (the ends of repeated passages)
-   go on to the single windows of full length, which Spark sorts by (rank, document).
+   go on. The windows around an anchor are taken in four quarters; Spark sorts the quarters by the
+   rank of the 43 or so bytes that all windows of one share, and drops those in one row only.
+4. The windows left are ranked by their full length and sorted by (rank, document).
 
-Ranks are hashes: 64 bits in round 1, where a clash only keeps an anchor too many, 128 bits in rounds
-2 and 3. Before each sort, tasks settle what their own rows decide, so a hot string adds a row per
+Ranks are hashes: 64 bits in rounds 1 and 3, where a clash only keeps an anchor too many, 128 bits in
+rounds 2 and 4. Before each sort, tasks settle what their own rows decide, so a hot string adds a row per
 task to its key and not a row per document. Each round is parked as Parquet in the shared folder.
 
 Defined results: a null or empty text has nothing to remove; texts shorter than the window neither;
@@ -36,7 +38,6 @@ from tidewatch.llm.common import shared_folder, slices
 
 WINDOW = 50
 GRAM = 20
-BROADCAST_BYTES = 32 << 20  # positions of up to so many bytes are sent to all tasks, more are joined by a shuffle
 _PIECE = 1 << 20  # bytes hashed at a time
 _FLUSH = 1 << 20  # anchors gathered by a task before it sends them on
 _FRONT, _BACK = 64, 160  # zeros around a buffer, so that reads past a text's ends are harmless
@@ -168,12 +169,13 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
-# --- round 1 ---------------------------------------------------------------------------------
+# --- keys found in several rows: rounds 1 and 3 ------------------------------------------------
 
-_ENTRY = "key long, row_key long, pos int"  # pos < 0: -1 the key is shared, else surely kept at -2 - pos
+_ENTRY = "key long, row_key long, pos long"  # pos < 0: -1 the key is shared, else surely kept at -2 - pos
 
 
-def _entries(window: int, gram: int):
+def _entries(keys_of):
+    """Entries (key, row, position) of texts; what a task knows to be shared is said with the entry."""
     def flush(held: list) -> pa.RecordBatch:
         key, row, pos = (np.concatenate(c) for c in zip(*held))
         order, starts, group = _groups(key)
@@ -186,17 +188,16 @@ def _entries(window: int, gram: int):
         key = np.where(sure, _signed(_mix(row.view(np.uint64) + pos.astype(np.uint64))), key)
         pos = np.where(sure, -2 - pos, pos)
         none = np.zeros(len(tokens), np.int64)
-        return _batch([np.concatenate([key, tokens]), np.concatenate([row, none]),
-                       np.concatenate([pos, none - 1]).astype(np.int32)], ["key", "row_key", "pos"])
+        return _batch([np.concatenate([key, tokens]), np.concatenate([row, none]), np.concatenate([pos, none - 1])],
+                      ["key", "row_key", "pos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in slices(batches, 2000, 1, 2):
-            rows, buffer = batch.column(0).to_numpy(), buffer_of(batch.column(1))
-            owner, place = anchors(buffer, window, gram)
-            if len(place):
-                held.append((_signed(buffer.hash(place, gram, 1)), rows[owner], place - buffer.starts[owner]))
-                size += len(place)
+            found = keys_of(batch)
+            if len(found[0]):
+                held.append(found)
+                size += len(found[0])
             if size >= _FLUSH:
                 yield flush(held)
                 held, size = [], 0
@@ -206,6 +207,43 @@ def _entries(window: int, gram: int):
     return run
 
 
+def _gram_keys(window: int, gram: int):
+    """Of (row_key, bytes): the bytes at every anchor."""
+    def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, buffer = batch.column(0).to_numpy(), buffer_of(batch.column(1))
+        owner, place = anchors(buffer, window, gram)
+        return _signed(buffer.hash(place, gram, 1)), rows[owner], place - buffer.starts[owner]
+
+    return keys
+
+
+def quarters(window: int, gram: int) -> list[tuple[int, int]]:
+    """(bytes before, bytes from the anchor on) that all windows of a quarter hold, by how far before it they begin."""
+    step = -(-(window - gram + 1) // 4)
+    return [(first, window - min(first + step - 1, window - gram)) for first in range(0, window - gram + 1, step)]
+
+
+def _quarter_keys(window: int, gram: int):
+    """Of (row_key, bytes, wanted): what the windows of each quarter of a wanted anchor share; pos is 4 x place + quarter."""
+    def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, buffer = batch.column(0).to_numpy(), buffer_of(batch.column(1))
+        owner, pos = _positions(batch.column(2))
+        at = pos + buffer.starts[owner]
+        out = []
+        for j, (before, after) in enumerate(quarters(window, gram)):
+            fits = (pos >= before) & (at + after <= buffer.ends[owner])
+            out.append((_signed(buffer.hash(at[fits] - before, before + after, 5 + j)), rows[owner[fits]], 4 * pos[fits] + j))
+        return tuple(map(np.concatenate, zip(*out)))
+
+    return keys
+
+
+def _in_several_rows(texts: DataFrame, keys_of) -> DataFrame:
+    """(row_key, pos) of the entries whose key is in several rows: Spark sorts by key, tokens first."""
+    entries = texts.mapInArrow(_entries(keys_of), _ENTRY)
+    return entries.repartition("key").sortWithinPartitions("key", "pos", "row_key").mapInArrow(_keep_shared, "row_key long, pos long")
+
+
 def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[list[np.ndarray], bool, bool]]:
     """Columns of sorted batches cut at changes of the first ``n_keys`` columns, but a long group comes in parts.
 
@@ -243,7 +281,7 @@ def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shared[0] |= known
         known = bool(shared[-1])
         keep = (pos <= -2) | ((pos >= 0) & shared[group])
-        yield _batch([row[keep], np.where(pos < 0, -2 - pos, pos)[keep].astype(np.int32)], ["row_key", "pos"])
+        yield _batch([row[keep], np.where(pos < 0, -2 - pos, pos)[keep]], ["row_key", "pos"])
 
 
 # --- round 2 ---------------------------------------------------------------------------------
@@ -270,7 +308,7 @@ def _positions(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lengths)), lengths), column.flatten().to_numpy().astype(np.int64)
 
 
-# --- round 3 ---------------------------------------------------------------------------------
+# --- round 4 ---------------------------------------------------------------------------------
 
 _WINDOW_ROW = "key long, check long, doc_id long, row_key long, pos int"  # pos < 0: surely repeated, at -1 - pos
 
@@ -289,11 +327,12 @@ def _windows(window: int, gram: int):
         held, size = [], 0
         for batch in slices(batches, 2000, 2, 2):
             doc, row, buffer = batch.column(0).to_numpy(), batch.column(1).to_numpy(), buffer_of(batch.column(2))
-            owner, pos = _positions(batch.column(3))
-            wanted = np.zeros(buffer.n, bool)
-            wanted[pos + buffer.starts[owner]] = True
+            owner, code = _positions(batch.column(3))
+            open_quarters, step = np.zeros(buffer.n, np.uint8), quarters(window, gram)[1:2]
+            np.bitwise_or.at(open_quarters, code // 4 + buffer.starts[owner], (1 << (code % 4)).astype(np.uint8))
+            width = step[0][0] if step else window
             for owner, start, at in buffer.window_anchors(window, gram):
-                good = wanted[at]
+                good = (open_quarters[at] >> ((at - start) // width).astype(np.uint8)) & 1 > 0
                 owner, start = owner[good], start[good]
                 if len(start):
                     held.append((_signed(buffer.hash(start, window, 3)), _signed(buffer.hash(start, window, 4)),
@@ -357,13 +396,6 @@ def _removal(window: int, gram: int):
     return run
 
 
-def _with_lists(texts: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
-    """Texts joined with lists of positions per row; small lists are sent to the texts, others shuffled."""
-    names = [c for c in lists.columns if c != "row_key"]
-    size = lists.agg(F.sum(sum(F.coalesce(F.size(c), F.lit(0)) * 4 + 24 for c in names))).first()[0] or 0
-    return texts.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, "row_key", how)
-
-
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """The texts with their row_key, and per row_key anchors of repeated stretches and repeated single windows."""
     if not 8 <= gram < window:
@@ -374,13 +406,11 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[D
                         body.cast("binary").alias("bytes"))
     known = texts.where("doc_id is not null").where(F.length("bytes") >= window)
 
-    entries = known.select("row_key", "bytes").mapInArrow(_entries(window, gram), _ENTRY)
-    shared = entries.repartition("key").sortWithinPartitions("key", "pos", "row_key").mapInArrow(_keep_shared, "row_key long, pos int")
+    shared = _in_several_rows(known.select("row_key", "bytes"), _gram_keys(window, gram))
     alive = park(shared.groupBy("row_key").agg(F.collect_set("pos").alias("alive")))
 
-    classes = park(_with_lists(known, alive).select("doc_id", "row_key", "bytes", "alive").mapInArrow(_classes(window, gram), _CLASS))
-    first = classes.groupBy("gram_key", "class_key").agg(F.min("doc_id").alias("first_id"))
-    first = park(first)
+    classes = park(known.join(alive, "row_key").select("doc_id", "row_key", "bytes", "alive").mapInArrow(_classes(window, gram), _CLASS))
+    first = park(classes.groupBy("gram_key", "class_key").agg(F.min("doc_id").alias("first_id")))
     several = first.groupBy("gram_key").agg((F.min("class_key") != F.max("class_key")).alias("several")).where("several")
     first = first.join(several, "gram_key", "left")
     placed = park(classes.join(first, ["gram_key", "class_key"]).where("doc_id > first_id or several").select(
@@ -390,8 +420,9 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[D
             F.collect_set(F.when(~F.col("later"), F.col("pos"))).alias("wanted")))
 
     wanted = placed.where(F.size("wanted") > 0).select("row_key", "wanted")
-    rows = _with_lists(known, wanted).select("doc_id", "row_key", "bytes", "wanted").mapInArrow(
-        _windows(window, gram), _WINDOW_ROW)
+    open_parts = _in_several_rows(known.join(wanted, "row_key").select("row_key", "bytes", "wanted"), _quarter_keys(window, gram))
+    open_parts = park(open_parts.groupBy("row_key").agg(F.collect_set("pos").alias("open")))
+    rows = known.join(open_parts, "row_key").select("doc_id", "row_key", "bytes", "open").mapInArrow(_windows(window, gram), _WINDOW_ROW)
     later = rows.repartition("key").sortWithinPartitions("key", "check", "doc_id").mapInArrow(_keep_later, "row_key long, pos int")
     single = park(later.groupBy("row_key").agg(F.collect_set("pos").alias("single")))
     spans = placed.where(F.size("whole") > 0).select("row_key", "whole").join(single, "row_key", "full")
@@ -401,7 +432,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[D
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left) of every row."""
     texts, spans = repeated(docs, window, gram)
-    joined = _with_lists(texts, spans, "left").select("doc_id", "bytes", "whole", "single")
+    joined = texts.join(spans, "row_key", "left").select("doc_id", "bytes", "whole", "single")
     return joined.mapInArrow(_removal(window, gram), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
