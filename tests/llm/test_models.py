@@ -144,6 +144,11 @@ def test_round_trip(pieces):
         assert sentencepieces.decode_ids(ids, pieces) == text
 
 
+def test_ids_that_are_no_text(pieces):
+    assert sentencepieces.decode_ids([-1, 10**6, 0, pieces.byte_ids[0xC3], pieces.byte_ids[0x41]], pieces) == "\ufffdA"
+    assert sentencepieces.decode_ids([], pieces) == ""
+
+
 def test_best_of_all_segmentations(pieces):
     def score(piece):
         node = pieces.trie
@@ -161,8 +166,8 @@ def test_best_of_all_segmentations(pieces):
         return most[-1]
 
     words = sorted({"▁the", "▁then", "▁thence", "▁other", "▁▁▁", "▁qwxz", "▁日本", "▁a", "▁antidisestablishment", "▁🎉x"})
-    for word, ids in sentencepieces.encode_sorted(words, pieces):
-        by_id = {}
+    for word, packed in sentencepieces.encode_sorted(words, pieces):
+        by_id, ids = {}, np.frombuffer(packed, np.int32).tolist()
         stack = [(pieces.trie, "")]
         total, text, i = 0.0, word, 0
         names = {i: None for i in ids}
