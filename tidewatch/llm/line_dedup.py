@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WHITE_CHARS, ascii_lower
+from tidewatch.llm.common import WHITE_CHARS, ascii_lower, settle
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -54,7 +54,8 @@ def frequent_keys(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, kept_text, n_lines, n_dropped, one row per input row."""
     lines = keyed_lines(docs, min_chars)
-    frequent = frequent_keys(lines, min_docs)
+    # Written once: the join then has an exchange on either side, and Spark can split a hot line's.
+    frequent = settle(frequent_keys(lines, min_docs))
     drops = (
         lines.join(frequent, ["h1", "h2"])
         .where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last_id")))
