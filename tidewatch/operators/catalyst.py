@@ -17,27 +17,27 @@ from tidewatch.functions.keyed import earliest, latest
 from tidewatch.functions.text import iso_millis, number, series_prefix
 
 ANOMALY_KEYS = ("anomaly_id", "market_id", "window_minutes", "window_start", "detected_at")
-BUCKET_MS = 3_600_000  # the join of events and anomalies meets per market and hour
+BUCKET_MS = 21_600_000  # the join of events and anomalies meets per market and six hours
 
 
 def events_of_anomalies(anomalies: DataFrame, events: DataFrame) -> DataFrame:
     """Events of each anomaly's market inside [window_start, detected_at].
 
-    ``anomalies`` has the columns of ANOMALY_KEYS. An equi-join on market and hour, so a busy
-    market meets only the anomalies of the hour at hand and is dealt over its hours.
+    ``anomalies`` has the columns of ANOMALY_KEYS. An equi-join on market and span of time, so a
+    busy market meets only the anomalies of the span at hand and is dealt over its spans.
     """
-    hour = lambda ts: F.floor(ts / F.lit(BUCKET_MS)).cast("long")
+    span = lambda ts: F.floor(ts / F.lit(BUCKET_MS)).cast("long")
     bounds = anomalies.select(
         *ANOMALY_KEYS,
-        F.explode(F.sequence(hour(F.col("window_start")), hour(F.col("detected_at")))).alias("hour"),
+        F.explode(F.sequence(span(F.col("window_start")), span(F.col("detected_at")))).alias("span"),
     )
     log = events.select(
         "id", "market_id", "event_type", "new_value", "metadata", "timestamp",
-        hour(F.col("timestamp")).alias("hour"),
+        span(F.col("timestamp")).alias("span"),
     )
-    return log.join(bounds, ["market_id", "hour"]).filter(
+    return log.join(bounds, ["market_id", "span"]).filter(
         F.col("timestamp").between(F.col("window_start"), F.col("detected_at"))
-    ).drop("hour")
+    ).drop("span")
 
 
 def _is(kind: str) -> Column:
