@@ -106,6 +106,21 @@ def test_spaced_and_hidden_words_count(lexicon):
         assert toxicity.total_evidence(text, lexicon) == 0, text
 
 
+@pytest.mark.parametrize("text", [
+    "an !diot", "(an |oser)", "you are a m o r o n", "m o r o n l o s e r", "i\td\ti\to\tt", "m\no\nr\no\nn",
+    "so m,  o,  r,  o,  n", "m" + "-" * 90 + "o.r.o.n", "m " + "r " * 200 + "  i d i o t", ("a." * 40)[:-1] + " 1" + "." * 80 + "diot"])
+def test_marks_at_ends_spacing_and_long_tokens_are_read(lexicon, text):
+    assert toxicity.total_evidence(text, lexicon) >= 4, text
+
+
+def test_long_lattices_are_read_in_pieces(lexicon, monkeypatch):
+    token = "1d10t m0r.on b00ttle tit1e cla$$ " * 20
+    got = toxicity.read_token(token, lexicon)
+    monkeypatch.setattr(toxicity, "_AGREE", 10**9)
+    assert got == toxicity.read_token(token, lexicon) and len(got) > 400
+    assert toxicity.total_evidence("idiot idiot! (idiot", lexicon) == 5
+
+
 def test_toxicity_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     labels = spark.read.parquet(f"{DATA}/sf0.01/labels.parquet")

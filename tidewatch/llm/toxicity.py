@@ -4,7 +4,10 @@ Writers hide words by leetspeak (``1d10t``), spacing (``i d i o t``, ``i.d.i.o.t
 (``idiooot``). A token that shows such marks becomes a lattice: every observed character may stand for
 its letters, marks between letters for nothing, and a run for one or two letters, at a price. Viterbi
 search under a trigram language model of letters finds the cheapest reading (states are the last two
-letters, so the search is exact), and the reading is scored beside the token itself.
+letters, so the search is exact), and the reading is scored beside the token itself. Marks at a token's
+ends that may stand for letters (``$tupid``) are read too. Three or more short pieces in a row become one
+lattice in which any white space is skipped at a price or ends a word; what all paths agree on is written
+out, so lattices have no largest size.
 
 Evidence: whole words and word beginnings of four to six letters, learned from labelled documents as
 the lower bound of their log odds; a document has the sum over its distinct tokens' strongest
@@ -26,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +51,14 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 SUBSTITUTE, SKIP, COLLAPSE = 0.7, 0.5, 0.3
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+JOINS = (0.5, 1.5, 3.0)  # prices of a skipped white space; spaced pieces are read at each of them
+MARKS = "".join(c for c in PUNCTUATION if c not in LEET)  # stand for nothing, so none is needed at the ends
+_PIECE = r"(?:(\S)\{0}*+[^\w\s]*+|\S\S)(?!\S)"  # one character with repetitions and marks, or any two
+_SPACED = re.compile(rf"(?<!\S){_PIECE.format(1)}(?:\s+{_PIECE.format(2)}){{2,}}")
 _TRIPLE = re.compile(r"(.)\1\1")
 _CACHE = 300_000
-MAX_LATTICE = 64  # longer tokens are no hidden words; they are read as they stand
+_AGREE = 64  # letters gathered before those that all paths share are written out
+_REMEMBER = 128  # longer tokens hardly come again
 
 
 @dataclass
@@ -78,14 +86,19 @@ class Model:
         return math.log((self.trigrams.get(before + letter, 0) + 2 * backed) / (self.pairs.get(before, 0) + 2))
 
 
-def read_token(token: str, model: Model) -> str:
-    """The most likely reading of an observed token: exact Viterbi over its lattice."""
-    states = {"^^": (0.0, "")}
-    for char, run in groupby(token):
-        n = len(list(run))
+def read_token(token: str, model: Model, join: float = SKIP) -> str:
+    """The most likely reading of an observed token: exact Viterbi over its lattice.
+
+    White space is skipped at the price ``join`` or ends a word, which the reading shows as a space.
+    """
+    states, agreed = {"^^": (0.0, "")}, []
+    for char, run in groupby(token, lambda c: " " if c.isspace() else c):
+        n = sum(1 for _ in run)
         readings = [(char, 0.0)] if char.isalpha() else []
         readings += [(x, SUBSTITUTE) for x in LEET.get(char, "")]
-        if not char.isalpha():
+        if char == " ":
+            readings.append(("", join))
+        elif not char.isalpha():
             readings.append(("", SKIP if char not in LEET or not char.isdigit() else 4 * SKIP))
         fresh: dict[str, tuple[float, str]] = {}
         for before, (cost, said) in states.items():
@@ -97,28 +110,50 @@ def read_token(token: str, model: Model) -> str:
                         last = last[1] + letter
                     if last not in fresh or (total, said) < fresh[last]:
                         fresh[last] = (total, said + letter * times)
+            if char == " " and before != "^^":
+                total = cost - model.log_p(before, "$")
+                if "^^" not in fresh or (total, said) < fresh["^^"]:
+                    fresh["^^"] = (total, said + " ")
         states = fresh
-    return min((cost - model.log_p(last, "$"), said) for last, (cost, said) in states.items())[1]
+        if max(len(said) for _, said in states.values()) > _AGREE:
+            shared = commonprefix([said for _, said in states.values()])
+            agreed.append(shared)
+            states = {last: (cost, said[len(shared):]) for last, (cost, said) in states.items()}
+    return "".join(agreed) + min((cost - model.log_p(last, "$"), said) for last, (cost, said) in states.items())[1]
 
 
 def suspicious(core: str) -> bool:
-    return len(core) > 3 and len(core) <= MAX_LATTICE and (not core.isalpha() or bool(_TRIPLE.search(core))) and any(
-        c.isalpha() for c in core
-    )
+    return len(core) > 3 and (not core.isalpha() or bool(_TRIPLE.search(core))) and any(c.isalpha() for c in core)
 
 
 def features_of(word: str) -> list[str]:
     return ["=" + word, *[word[:n] for n in (4, 5, 6) if len(word) >= n]]
 
 
-def tokens_of(text: str) -> set[str]:
+def words_of(text: str) -> set[str]:
+    """Words without marks at their ends, and spaced pieces glued: what is learned from."""
     lowered = text.lower()
     found = {t.strip(PUNCTUATION) for t in set(lowered.split())}
-    found.update(m[0].replace(" ", "") for m in _SPACED.finditer(lowered) if len(m[0]) <= 2 * MAX_LATTICE)
+    found.update("".join(m[0].split()) for m in _SPACED.finditer(lowered))
     found.discard("")
     return found
 
 
+def tokens_of(text: str) -> dict[str, set[str]]:
+    """Distinct tokens with the forms they are read in: without marks at their ends, and with those that may be letters."""
+    lowered = text.lower()
+    found: dict[str, set[str]] = {}
+    for t in set(lowered.split()):
+        core = t.strip(PUNCTUATION)
+        forms = found.setdefault(core or t, {core} if core else set())
+        if len(core) != len(t):
+            forms.add(t.strip(MARKS))
+    for m in _SPACED.finditer(lowered):
+        pieces = m[0].split()
+        found.setdefault("".join(pieces), set()).update(("".join(pieces), " ".join(pieces)))
+    return found
+
+
 def plain(token: str) -> bool:
     return token.isalpha() and not _TRIPLE.search(token)
 
@@ -126,16 +161,22 @@ def plain(token: str) -> bool:
 def evidence(token: str, model: Model) -> float:
     if (value := model.known.get(token)) is not None:
         return value
-    words = [token] if not suspicious(token) else [token, read_token(token, model)]
+    words = {token}
+    if " " in token:
+        words.update(w for join in JOINS for w in read_token(token, model, join).split())
+    elif suspicious(token):
+        words.add(read_token(token, model))
     value = max((model.features.get(f, 0.0) for w in words for f in features_of(w)), default=0.0)
-    if len(model.known) >= _CACHE:
-        model.known.clear()
-    model.known[token] = value
+    if len(token) <= _REMEMBER:
+        if len(model.known) >= _CACHE:
+            model.known.clear()
+        model.known[token] = value
     return value
 
 
 def total_evidence(text: str, model: Model) -> float:
-    return min(SATURATION, math.fsum(evidence(t, model) for t in tokens_of(text)))
+    each = (max((evidence(f, model) for f in forms), default=0.0) for forms in tokens_of(text).values())
+    return min(SATURATION, math.fsum(each))
 
 
 def held_out(doc_id: Column, modulus: int = 3, remainder: int = 1) -> Column:
@@ -154,7 +195,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 1000, 0):
         texts, toxic, fold = text_arrow(batch.column(0)).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for text, t, f in zip(texts, toxic, fold):
-            tokens = tokens_of(text)
+            tokens = words_of(text)
             at = 2 * f + t
             for key in {"f" + x for w in tokens for x in features_of(w)}:
                 counts.setdefault(key, [0, 0, 0, 0])[at] += 1
