@@ -132,6 +132,13 @@ def test_toxicity_of_held_out_documents(spark):
     assert np.mean(caught) > 0.6 and np.mean(wrong) < 0.03
 
 
+def test_language_model_counts_all_rows(spark, documents):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    rows = [(i, "bad word" if i % 2 else "fine word") for i in range(400)] + [(1000 + i, "žluť") for i in range(7)] + [(None, "žluť")]
+    got = toxicity.learn(documents(rows), labels, sample=5).trigrams
+    assert got["wor"] == 400 and got["bad"] == 200 and got["^^f"] == 200 and got["žlu"] == 8
+
+
 def test_toxicity_edge_cases(spark, documents):
     labels = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (2, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.learn(documents([(1, "bad"), (2, None)]), labels)

@@ -13,8 +13,9 @@ Evidence: whole words and word beginnings of four to six letters, learned from l
 the lower bound of their log odds; a document has the sum over its distinct tokens' strongest
 evidence, turned into a probability by a logistic curve fitted on documents not used for that evidence.
 
-Learning takes at most about ``sample`` documents of each label, chosen by a hash of the id; the model
-keeps at most ``MODEL_FEATURES`` features and ``MODEL_TRIGRAMS`` trigrams, the strongest ones.
+Evidence and curve are learned from at most about ``sample`` documents of each label, chosen by a hash of
+the id; the model keeps at most ``MODEL_FEATURES`` features, the strongest ones. The language model counts
+the trigrams of all rows, labelled or not, and keeps all of them.
 
 Defined results: null and empty texts have no evidence and get the curve's value at zero; with no
 learning documents of one of the labels every score is 0.5; repeated labels count once (toxic if any
@@ -40,7 +41,6 @@ from tidewatch.llm.common import settle, slices, text_arrow
 
 SAMPLE = 10_000
 MODEL_FEATURES = 50_000
-MODEL_TRIGRAMS = 200_000
 MIN_GAIN = 16.0  # likelihood ratio statistic of a feature
 CUT = 0.7
 SATURATION = 12.0
@@ -53,8 +53,7 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SUBSTITUTE, SKIP, COLLAPSE = 0.7, 0.5, 0.3
 JOINS = (0.5, 1.5, 3.0)  # prices of a skipped white space; spaced pieces are read at each of them
 MARKS = "".join(c for c in PUNCTUATION if c not in LEET)  # stand for nothing, so none is needed at the ends
-_PIECE = r"(?:(\S)\{0}*+[^\w\s]*+|\S\S)(?!\S)"  # one character with repetitions and marks, or any two
-_SPACED = re.compile(rf"(?<!\S){_PIECE.format(1)}(?:\s+{_PIECE.format(2)}){{2,}}")
+_PIECE = re.compile(r"(\S)\1*+[^\w\s]*+|\S\S")  # one character with repetitions and marks, or any two
 _TRIPLE = re.compile(r"(.)\1\1")
 _CACHE = 300_000
 _AGREE = 64  # letters gathered before those that all paths share are written out
@@ -130,42 +129,60 @@ def features_of(word: str) -> list[str]:
     return ["=" + word, *[word[:n] for n in (4, 5, 6) if len(word) >= n]]
 
 
+def is_piece(token: str) -> bool:
+    return len(token) < 3 or (token[1] == token[0] or not token[1].isalnum()) and _PIECE.fullmatch(token) is not None
+
+
+def spaced(tokens: list[str], distinct: set[str]) -> list[list[str]]:
+    """All longest runs of three or more pieces, in the order of the tokens."""
+    short = set(filter(is_piece, distinct))
+    marks = bytes(map(short.__contains__, tokens))
+    runs, start = [], marks.find(b"\1\1\1")
+    while start >= 0:
+        end = marks.find(b"\0", start)
+        end = len(marks) if end < 0 else end
+        runs.append(tokens[start:end])
+        start = marks.find(b"\1\1\1", end)
+    return runs
+
+
 def words_of(text: str) -> set[str]:
     """Words without marks at their ends, and spaced pieces glued: what is learned from."""
-    lowered = text.lower()
-    found = {t.strip(PUNCTUATION) for t in set(lowered.split())}
-    found.update("".join(m[0].split()) for m in _SPACED.finditer(lowered))
+    tokens = text.lower().split()
+    distinct = set(tokens)
+    found = {t.strip(PUNCTUATION) for t in distinct}
+    found.update(map("".join, spaced(tokens, distinct)))
     found.discard("")
     return found
 
 
-def tokens_of(text: str) -> dict[str, set[str]]:
-    """Distinct tokens with the forms they are read in: without marks at their ends, and with those that may be letters."""
-    lowered = text.lower()
-    found: dict[str, set[str]] = {}
-    for t in set(lowered.split()):
-        core = t.strip(PUNCTUATION)
-        forms = found.setdefault(core or t, {core} if core else set())
-        if len(core) != len(t):
-            forms.add(t.strip(MARKS))
-    for m in _SPACED.finditer(lowered):
-        pieces = m[0].split()
-        found.setdefault("".join(pieces), set()).update(("".join(pieces), " ".join(pieces)))
-    return found
-
-
 def plain(token: str) -> bool:
     return token.isalpha() and not _TRIPLE.search(token)
 
 
 def evidence(token: str, model: Model) -> float:
+    """Of a token as it stands: the strongest of its forms without marks at the ends and with those that may be letters."""
     if (value := model.known.get(token)) is not None:
         return value
-    words = {token}
-    if " " in token:
+    words = {core} if (core := token.strip(PUNCTUATION)) else set()
+    for form in {core, token.strip(MARKS)}:
+        if suspicious(form):
+            words.add(read_token(form, model))
+    return _remember(token, words, model)
+
+
+def run_evidence(pieces: list[str], model: Model) -> float:
+    """Of spaced pieces: the strongest word of their readings, or all of them glued."""
+    token = " ".join(pieces)
+    if (value := model.known.get(token)) is not None:
+        return value
+    words = {"".join(pieces)}
+    if suspicious(token):
         words.update(w for join in JOINS for w in read_token(token, model, join).split())
-    elif suspicious(token):
-        words.add(read_token(token, model))
+    return _remember(token, words, model)
+
+
+def _remember(token: str, words: set[str], model: Model) -> float:
     value = max((model.features.get(f, 0.0) for w in words for f in features_of(w)), default=0.0)
     if len(token) <= _REMEMBER:
         if len(model.known) >= _CACHE:
@@ -175,8 +192,20 @@ def evidence(token: str, model: Model) -> float:
 
 
 def total_evidence(text: str, model: Model) -> float:
-    each = (max((evidence(f, model) for f in forms), default=0.0) for forms in tokens_of(text).values())
-    return min(SATURATION, math.fsum(each))
+    tokens = text.lower().split()
+    distinct, best = set(tokens), {}
+    known = model.known.get
+    for token in distinct:
+        value = known(token)
+        if value is None:
+            value = evidence(token, model)
+        if value:
+            core = token.strip(PUNCTUATION) or token
+            best[core] = max(value, best.get(core, 0.0))
+    for pieces in spaced(tokens, distinct):
+        core = "".join(pieces)
+        best[core] = max(run_evidence(pieces, model), best.get(core, 0.0))
+    return min(SATURATION, math.fsum(best.values()))
 
 
 def held_out(doc_id: Column, modulus: int = 3, remainder: int = 1) -> Column:
@@ -184,7 +213,7 @@ def held_out(doc_id: Column, modulus: int = 3, remainder: int = 1) -> Column:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic, fold) -> documents with a feature by label and fold; trigrams by documents' words."""
+    """(text, toxic, fold) -> documents with a feature by label and fold."""
     counts: dict[str, list[int]] = {}
 
     def out():
@@ -195,14 +224,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 1000, 0):
         texts, toxic, fold = text_arrow(batch.column(0)).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for text, t, f in zip(texts, toxic, fold):
-            tokens = words_of(text)
             at = 2 * f + t
-            for key in {"f" + x for w in tokens for x in features_of(w)}:
+            for key in {x for w in words_of(text) for x in features_of(w)}:
                 counts.setdefault(key, [0, 0, 0, 0])[at] += 1
-            for w in filter(plain, tokens):
-                padded = f"^^{w}$"
-                for i in range(len(padded) - 2):
-                    counts.setdefault("t" + padded[i:i + 3], [0, 0, 0, 0])[at] += 1
             if len(counts) > 200_000:
                 yield out()
                 counts = {}
@@ -210,6 +234,30 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> partial sums of trigrams; a token, marks included, counts once for each row that has it."""
+    tokens: Counter[str] = Counter()
+
+    def out():
+        counts: Counter[str] = Counter()
+        for t, n in tokens.items():
+            w = t.strip(PUNCTUATION)
+            if plain(w):
+                padded = f"^^{w}$"
+                for i in range(len(padded) - 2):
+                    counts[padded[i:i + 3]] += n
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["key", "n"])
+
+    for batch in slices(batches, 1000, 0):
+        for text in text_arrow(batch.column(0)).to_pylist():
+            tokens.update(set(text.lower().split()))
+            if len(tokens) > 200_000:
+                yield out()
+                tokens.clear()
+    if tokens:
+        yield out()
+
+
 def _strength(a: int, b: int, toxic: int, clean: int) -> float:
     """Lower bound of the log odds of a feature, 0 if it is too weak."""
     lift = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
@@ -254,17 +302,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             for f in (0, 1) for t in (0, 1)]
     counted = settle(
         chosen.mapInArrow(_counts, "key string, c0 long, c1 long, c2 long, c3 long").groupBy("key")
-        .agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)]).where("c1 + c3 >= 3 or key like 't%'")
+        .agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)]).where("c1 + c3 >= 3")
     )
     both = F.col("c0") + F.col("c1") + F.col("c2") + F.col("c3")
-    trigrams = {r.key[1:]: r.n for r in counted.where("key like 't%'").select("key", both.alias("n")).orderBy(
-        F.desc("n"), "key").limit(MODEL_TRIGRAMS).collect()}
+    # one row a distinct trigram: as many as the alphabets in use allow, however many rows there are
+    trigrams = {r.key: r.n for r in docs.select("text").mapInArrow(_trigrams, "key string, n long").groupBy("key").agg(
+        F.sum("n").alias("n")).collect()}
     share = (F.col("c1") + F.col("c3")) / both  # only features toxic documents have more often
-    rows = counted.where("key like 'f%'").where(share > (each[1] + each[3]) / max(1, sum(each))).orderBy(
+    rows = counted.where(share > (each[1] + each[3]) / max(1, sum(each))).orderBy(
         F.desc(F.col("c1") + F.col("c3") - F.col("c0") - F.col("c2")), "key").limit(MODEL_FEATURES).collect()
 
     def strengths(count, toxic, clean):
-        found = ((r.key[1:], _strength(*count(r), toxic, clean)) for r in rows)
+        found = ((r.key, _strength(*count(r), toxic, clean)) for r in rows)
         return {k: v for k, v in found if v > 0}
 
     trial = Model(strengths(lambda r: (r.c1, r.c0), each[1], each[0]), trigrams)
