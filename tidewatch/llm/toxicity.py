@@ -69,6 +69,7 @@ class Model:
     pairs: Counter = field(default_factory=Counter)
     ones: Counter = field(default_factory=Counter)
     known: dict[str, float] = field(default_factory=dict)
+    logs: dict[str, float] = field(default_factory=dict)
 
     def prepare(self) -> Model:
         self.pairs, self.ones, middle = Counter(), Counter(), Counter()
@@ -80,6 +81,14 @@ class Model:
         return self
 
     def log_p(self, before: str, letter: str) -> float:
+        if (value := self.logs.get(before + letter)) is not None:
+            return value
+        if len(self.logs) >= _CACHE:
+            self.logs.clear()
+        value = self.logs[before + letter] = self._log_p(before, letter)
+        return value
+
+    def _log_p(self, before: str, letter: str) -> float:
         b = before[1]
         backed = (self.suffix_pairs.get(b + letter, 0) + 0.1) / (self.ones.get(b, 0) + 0.1 * self.letters)
         return math.log((self.trigrams.get(before + letter, 0) + 2 * backed) / (self.pairs.get(before, 0) + 2))
