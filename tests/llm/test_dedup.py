@@ -4,6 +4,8 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import strip_white
@@ -142,3 +144,15 @@ def test_windows_hold_what_their_quarter_shares():
         for begins in range(window - gram + 1):  # bytes between a window's start and its anchor
             before, after = parts[begins // step]
             assert before <= begins and after <= window - begins
+
+
+@pytest.mark.parametrize("later", [[7], [5] * 700_000 + [7], [7] * 700_000, [5] * 700_000])
+def test_long_groups_are_judged_as_a_whole(later):
+    rows = np.array([3, 9] + [5] * 1_200_000 + later + [4, 8, 8])
+    keys = np.array([0, 0] + [1] * (1_200_000 + len(later)) + [2, 3, 3])
+    places = np.arange(len(rows))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[at:at + 10_000]) for c in (keys, rows, places)], ["key", "row_key", "pos"])
+               for at in range(0, len(rows), 10_000)]
+    got = pa.Table.from_batches(list(suffix_dedup._keep_shared(iter(batches)))).to_pydict()
+    want = (keys == 0) | ((keys == 1) & (7 in later))
+    assert sorted(got["pos"]) == places[want].tolist() and set(zip(got["pos"], got["row_key"])) == set(zip(places[want], rows[want]))

@@ -271,15 +271,28 @@ def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[list
 
 
 def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (key, pos, row_key), so tokens come first -> (row_key, pos) of keys in several rows."""
-    known = False  # whether the group in progress is known to be shared
-    for (key, row, pos), going, _ in _runs(batches, 1):
+    """Rows in order of (key, pos, row_key), so tokens come first -> (row_key, pos) of keys in several rows.
+
+    A long group comes in parts. While all of it is of one row, its positions are held, since another row may
+    follow; they are one text's anchors, which were in memory at once when that text was read.
+    """
+    known, lone, held = False, None, []  # of the group in progress: whether it is shared, else its one row and positions
+    for (key, row, pos), going, goes_on in _runs(batches, 1):
         new = np.concatenate([[True], key[1:] != key[:-1]])
         starts, group = np.flatnonzero(new), np.cumsum(new) - 1
-        shared = (np.minimum.reduceat(pos, starts) == -1) | (np.minimum.reduceat(row, starts) != np.maximum.reduceat(row, starts))
+        low = np.minimum.reduceat(row, starts)
+        shared = (np.minimum.reduceat(pos, starts) == -1) | (low != np.maximum.reduceat(row, starts))
         if going:
-            shared[0] |= known
-        known = bool(shared[-1])
+            shared[0] |= known or low[0] != lone
+            if shared[0] and held:
+                before = np.concatenate(held)
+                yield _batch([np.full(len(before), lone, np.int64), before], ["row_key", "pos"])
+        if not going or len(starts) > 1 or shared[0]:
+            held = []
+        known, lone = bool(shared[-1]), low[-1]
+        if goes_on and not known:
+            last = pos[starts[-1]:]
+            held.append(last[last >= 0])
         keep = (pos <= -2) | ((pos >= 0) & shared[group])
         yield _batch([row[keep], np.where(pos < 0, -2 - pos, pos)[keep]], ["row_key", "pos"])
 
