@@ -42,6 +42,28 @@ def test_stream_candles_equal_batch(rows, spark, tmp_path):
     assert sorted(got.select(want.columns).collect()) == sorted(want.collect()) and want.count() > 20
 
 
+def test_late_rows_are_brought_into_the_bars(rows, spark, tmp_path):
+    first = [dict(id=i, market_id=1, new_value=i / 100, timestamp=i * 20_000) for i in range(1, 40)]
+    late = [dict(id=100, market_id=1, new_value=0.9, timestamp=60_001), dict(id=101, market_id=1, new_value=0.001, timestamp=59_999),
+            dict(id=102, market_id=1, event_type="trade", new_value=7.0, timestamp=130_000), dict(id=103, market_id=2, new_value=0.4, timestamp=5),
+            dict(id=104, market_id=1, new_value=0.95, timestamp=60_000 - 60_000)]
+    for i, part in enumerate((first, [dict(id=99, market_id=9, new_value=0.5, timestamp=10**8)], late)):
+        rows.events(*part).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    root = str(tmp_path / "candles")
+    for i in (1, 2, 3):  # one run a file, so that the watermark has passed before the late rows come
+        names = str(tmp_path / "in") + "/{" + ",".join(map(str, range(i))) + "}"
+        stream = sc.stream_candles(spark.readStream.schema(schemas.EVENTS).parquet(names), "1 minute")
+        finish(stream.writeStream.foreachBatch(lambda df, b: sc.append_batch(df, b, root)).option("checkpointLocation", str(tmp_path / "cp"))
+               .outputMode("append").trigger(**ONCE).start())
+    stored, log = spark.read.parquet(root).drop("ingest_batch"), rows.events(*first, *late)
+    want = sorted(c.minute_candles(log, 10**7).drop("created_at").collect())
+    assert sorted(stored.drop("created_at").select(want[0].__fields__).collect()) != want
+    for arrived in (rows.events(*late), log):
+        got = sc.repaired_candles(stored, log, arrived, 10**7)
+        assert got.columns == stored.columns
+        assert sorted(got.drop("created_at").select(want[0].__fields__).collect()) == want
+
+
 def test_ingest_stream(rows, spark, tmp_path):
     msgs = [("kalshi", json.dumps({"type": "ticker", "msg": {"market_ticker": "A", "yes_ask_dollars": p}}), t) for p, t in (("0.40", 1), ("0.70", 3), ("0.60", 2))]
     msgs += [("kalshi", json.dumps({"type": "market_lifecycle", "msg": {"market_ticker": "B", "status": "settled"}}), 4),

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.candles import MINUTE_MS, minute_bar_columns
+from tidewatch.operators.candles import MINUTE_MS, minute_bar_columns, minute_candles
 
 
 def stream_candles(events: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Bars of minutes the watermark has passed; rows later than ``delay`` are dropped.
+    """Bars of minutes the watermark has passed; rows later than ``delay`` miss their bars here.
 
-    Append mode: every bar comes out once. Aggregates are the ones of the batch operator.
+    Append mode: every bar comes out once. Aggregates are the ones of the batch operator. The log
+    has the late rows; ``repaired_candles`` brings them into the bars as a batch job.
     """
     timed = (
         events.filter(F.col("event_type").isin("price_change", "trade"))
@@ -35,7 +36,31 @@ def stream_candles(events: DataFrame, delay: str = "1 minute") -> DataFrame:
 def append_batch(bars: DataFrame, batch_id: int, candles_root: str) -> None:
     """foreachBatch sink: each micro-batch has its own folder, so a retry replaces itself.
 
-    In append mode a bar is emitted once, so nothing has to be merged here; ``merge_candles``
-    is for recomputed bars of a batch job.
+    In append mode a bar is emitted once, so nothing has to be merged here.
     """
     bars.write.mode("overwrite").parquet(f"{candles_root}/ingest_batch={batch_id}")
+
+
+def repaired_candles(
+    stored: DataFrame, events: DataFrame, arrived: DataFrame, now_ms: int
+) -> DataFrame:
+    """Stored bars, with those of every minute touched by ``arrived`` computed anew.
+
+    ``events`` is the whole log and ``arrived`` the rows of it that came since the last repair (or
+    all of them). A bar made from the whole log takes the place of the stored one: merging would keep
+    an open that an earlier late row has to change. Only bars the stream has passed are touched, so
+    ``now_ms`` must not be ahead of its watermark: the stream writes later bars itself.
+    """
+    key = ["market_id", "open_ts"]
+    open_ts = (F.floor(F.col("timestamp") / F.lit(MINUTE_MS)) * MINUTE_MS).cast("long")
+    touched = (
+        arrived.filter(F.col("event_type").isin("price_change", "trade"))
+        .select("market_id", open_ts.alias("open_ts"))
+        .distinct()
+    )
+    again = minute_candles(
+        events.withColumn("open_ts", open_ts).join(touched, key, "left_semi").drop("open_ts"), now_ms
+    )
+    ours = F.lit("1m").alias("interval")
+    kept = stored.join(again.select(*key, ours), [*key, "interval"], "left_anti")
+    return kept.select(stored.columns).unionByName(again.select(stored.columns))
