@@ -1,5 +1,6 @@
 """Streaming jobs against their batch operators, and the detection cycle."""
 
+import dataclasses
 import json
 
 from pyspark.sql import functions as F
@@ -144,6 +145,16 @@ def test_cycle(rows, spark, tmp_path):
     assert {n: store.read_snapshot(spark, str(tmp_path / "serving" / n)).count() for n in serving} == {"markets": 4, "anomalies": 7, "topics": 1, "summaries": 4}
 
 
+def test_cycle_links_asked_pairs(rows):
+    now = 100 * 3_600_000
+    t = small_world(rows, now)
+    # 2-1 share a cluster on two platforms, 1-3 are on one, 4 is in no cluster, 3-4 is stored
+    asked = rows.pairs((2, 1, 0.1), (1, 3, 0.1), (1, 4, 0.1), (3, 4, 0.1)).select("market_id_a", "market_id_b")
+    found = cycle.detection_cycle(dataclasses.replace(t, asked=asked), now).stages["cross_platform"].collect()
+    assert {(r.market_id_a, r.market_id_b, json.loads(r.metadata)["link_confidence"]) for r in found} == {(1, 2, 0.8), (3, 4, 0.95)}
+    assert len(found) == 2
+
+
 def test_quiet_cycle_only_expires(rows):
     now = 100 * 3_600_000
     t = small_world(rows, now)

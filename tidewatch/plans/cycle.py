@@ -25,6 +25,7 @@ class Tables:
     clusters: DataFrame
     memberships: DataFrame
     links: DataFrame
+    asked: DataFrame | None = None  # further pairs (market_id_a, market_id_b), linked if a cluster has both
 
 
 @dataclass(frozen=True)
@@ -113,11 +114,15 @@ def detection_cycle(t: Tables, now_ms: int, config: CycleConfig = CycleConfig())
     )
     series_links = correlation.series_links(series, moves)
 
-    # stored pairs only: a cluster's pairs stay in the factored index, from which pairs that are
-    # asked for are stored (correlation.link_index and links_of_pairs)
+    # stored and asked pairs: the other pairs of a cluster stay in the factored index
+    pairs = t.links.select("market_id_a", "market_id_b", "confidence")
+    if t.asked is not None:
+        index = correlation.link_index(t.memberships, t.markets, t.clusters)
+        asked = correlation.links_of_pairs(index, t.asked, now_ms).select(pairs.columns)
+        pairs = pairs.unionByName(asked.join(t.links, ["market_id_a", "market_id_b"], "left_anti"))
     crossed = settle(
         correlation.cross_platform_anomalies(
-            after_clusters, after_links, t.links, now_ms, config.correlation_minutes,
+            after_clusters, after_links, pairs, now_ms, config.correlation_minutes,
             config.direction_mode,
         )
     )
