@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, langid, line_dedup, mixing, sentencepieces, simhash, suffix_dedup, topk_search, toxicity, warc
+from tidewatch.llm import (
+    exact_dedup, langid, line_dedup, mixing, periodic_runs, sentencepieces, simhash, suffix_dedup, token_alignment, topk_search, toxicity, url_filter,
+    warc,
+)
 from tidewatch.llm.common import shared_folder, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -142,6 +145,43 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    planted = docs.select("doc_id", periodic_runs.repeat_tail(F.col("text"), F.col("doc_id")).alias("text"))
+    best = periodic_runs.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return periodic_runs.collapse(planted).withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = token_alignment.align(table(spark, sf_dir, "documents"), token_alignment.load())
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit("")).alias("groups_sha256")
+    held = token_alignment.stored(aligned.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times", "block"))
+    return token_alignment.with_counts(held).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+URL_RULES = [
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.learn(url_filter.labelled_table(spark))
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 QUERIES: dict[str, Run] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -153,6 +193,9 @@ QUERIES: dict[str, Run] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_topk_search": op10_topk_search,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_url_filter": op13_url_filter,
 }
 
 SQL: dict[str, str] = {
