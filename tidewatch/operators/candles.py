@@ -127,11 +127,12 @@ def get_candles(
     since_ms: int | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """Bars of one market; with a limit the newest ones (a top-k report)."""
+    """Bars of one market, newest first; a limit cuts the list."""
     out = candles.filter((F.col("market_id") == market_id) & (F.col("interval") == interval))
     if since_ms is not None:
         out = out.filter(F.col("open_ts") >= since_ms)
-    return out if limit is None else out.orderBy(F.col("open_ts").desc()).limit(limit)
+    out = out.orderBy(F.col("open_ts").desc())
+    return out if limit is None else out.limit(limit)
 
 
 def purge_candles(candles: DataFrame, older_than_ms: int) -> DataFrame:

@@ -216,7 +216,7 @@ def query_anomalies(
     market_id: int | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """Filtered anomalies; with a limit the newest ones (a top-k report)."""
+    """Filtered anomalies, newest first; a limit cuts the list."""
     out = anomalies
     for column, value in (("status", status), ("anomaly_type", anomaly_type)):
         if value is not None:
@@ -232,9 +232,8 @@ def query_anomalies(
             F.col("anomaly_id").alias("id")
         )
         out = out.join(of_market, "id", "left_semi")
-    if limit is None:
-        return out
-    return out.orderBy(F.col("detected_at").desc(), F.col("id").desc()).limit(limit)
+    out = out.orderBy(F.col("detected_at").desc(), F.col("id").desc())
+    return out if limit is None else out.limit(limit)
 
 
 def anomaly_links(links: DataFrame, anomalies: DataFrame) -> DataFrame:

@@ -35,13 +35,14 @@ def get_events(
     since_ms: int | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """Matching events; with a limit the newest ones (a top-k report)."""
+    """Matching events, newest first; a limit cuts the list."""
     out = events.filter(in_range(since_ms, None))
     if market_id is not None:
         out = out.filter(F.col("market_id") == market_id)
     if event_type is not None:
         out = out.filter(F.col("event_type") == event_type)
-    return out if limit is None else out.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(limit)
+    out = out.orderBy(F.col("timestamp").desc(), F.col("id").desc())
+    return out if limit is None else out.limit(limit)
 
 
 def events_in_window(
