@@ -208,6 +208,42 @@ def links_of_pairs(index: DataFrame, pairs: DataFrame, now_ms: int) -> DataFrame
     )
 
 
+def anomalous_partners(
+    anomalies: DataFrame, links: DataFrame, memberships: DataFrame, markets: DataFrame, now_ms: int,
+    window_minutes: int = fv.CORRELATION_WINDOW_MINUTES,
+) -> DataFrame:
+    """Links among the anomalous markets of clusters in factored form: (market_id, partner_id, n_links).
+
+    An active member that is anomalous in the window is linked with every such member of its
+    clusters on another platform. The pairs grow with the square of a cluster, so each member gets
+    one row: its best partner (highest severity, then smallest id) and how many links it has,
+    counted per cluster. A side of a cluster is reduced to its size and its best member first.
+    """
+    per_market = recent_single_by_market(anomalies, links, now_ms, window_minutes).select("market_id", "max_severity")
+    members = (
+        memberships.select("market_id", "cluster_id")
+        .distinct()
+        .join(per_market, "market_id")
+        .join(markets.filter("is_active").select(F.col("id").alias("market_id"), "platform"), "market_id")
+    )
+    rank = F.struct("max_severity", (-F.col("market_id")).alias("minus_id"))
+    per_side = members.groupBy("cluster_id", "platform").agg(F.count("*").alias("n"), F.max(rank).alias("best"))
+    other = per_side.select("cluster_id", F.col("platform").alias("other"), F.col("n").alias("other_n"), F.col("best").alias("other_best"))
+    # a few platforms per cluster: this self-join has (clusters x platforms^2) rows
+    facing = (
+        per_side.join(other, "cluster_id")
+        .filter("platform <> other")
+        .groupBy("cluster_id", "platform")
+        .agg(F.sum("other_n").alias("other_n"), F.max("other_best").alias("other_best"))
+    )
+    return (
+        members.join(facing, ["cluster_id", "platform"])
+        .groupBy("market_id")
+        .agg(F.sum("other_n").alias("n_links"), F.max("other_best").alias("best"))
+        .select("market_id", (-F.col("best.minus_id")).alias("partner_id"), "n_links")
+    )
+
+
 def query_links(links: DataFrame, market_id: int) -> DataFrame:
     """Stored links touching a market, most confident first."""
     return links.filter(

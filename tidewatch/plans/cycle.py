@@ -25,7 +25,7 @@ class Tables:
     clusters: DataFrame
     memberships: DataFrame
     links: DataFrame
-    asked: DataFrame | None = None  # further pairs (market_id_a, market_id_b), linked if a cluster has both
+    asked: DataFrame | None = None  # pairs (market_id_a, market_id_b) beside those of best partners, linked if a cluster has both
 
 
 @dataclass(frozen=True)
@@ -114,12 +114,16 @@ def detection_cycle(t: Tables, now_ms: int, config: CycleConfig = CycleConfig())
     )
     series_links = correlation.series_links(series, moves)
 
-    # stored and asked pairs: the other pairs of a cluster stay in the factored index
+    # links are refreshed from the clusters: stored pairs, asked pairs, and each anomalous member with its best partner
     pairs = t.links.select("market_id_a", "market_id_b", "confidence")
+    wanted = correlation.anomalous_partners(
+        after_clusters, after_links, t.memberships, t.markets, now_ms, config.correlation_minutes
+    ).select(F.col("market_id").alias("market_id_a"), F.col("partner_id").alias("market_id_b"))
     if t.asked is not None:
-        index = correlation.link_index(t.memberships, t.markets, t.clusters)
-        asked = correlation.links_of_pairs(index, t.asked, now_ms).select(pairs.columns)
-        pairs = pairs.unionByName(asked.join(t.links, ["market_id_a", "market_id_b"], "left_anti"))
+        wanted = wanted.unionByName(t.asked.select("market_id_a", "market_id_b"))
+    index = correlation.link_index(t.memberships, t.markets, t.clusters)
+    linked = correlation.links_of_pairs(index, wanted, now_ms).select(pairs.columns)
+    pairs = pairs.unionByName(linked.join(t.links, ["market_id_a", "market_id_b"], "left_anti"))
     crossed = settle(
         correlation.cross_platform_anomalies(
             after_clusters, after_links, pairs, now_ms, config.correlation_minutes,

@@ -103,6 +103,15 @@ register(
     "SELECT * FROM mk_links WHERE market_id_a = 8 AND market_id_b = 9",
     "confidence",
 )
+register(
+    "anomalous_partners",
+    lambda v: k.anomalous_partners(v.anomalies, v.anomaly_markets, v.memberships, v.markets, v.now, WEEK_MIN),
+    f"""WITH {PER_MARKET},
+       mem AS (SELECT m.market_id, cluster_id, platform, sev FROM mk_memberships m
+         JOIN mk_markets k ON k.id = m.market_id JOIN per USING (market_id) WHERE is_active),
+       pr AS (SELECT a.market_id, b.market_id AS partner_id, b.sev FROM mem a JOIN mem b USING (cluster_id) WHERE a.platform <> b.platform)
+       SELECT market_id, arg_max(partner_id, (sev, -partner_id)) AS partner_id, count(*) AS n_links FROM pr GROUP BY 1""",
+)
 register(
     "cross_platform_anomalies",
     lambda v: k.cross_platform_anomalies(

@@ -303,7 +303,12 @@ CYCLE_SQL = f"""WITH {SCORES}, {MOVES_SQL},
     avg(change_pct) FILTER (WHERE change_pct >= 0.03) AS ua, avg(-change_pct) FILTER (WHERE change_pct <= -0.03) AS da FROM mv GROUP BY 1),
   srs AS (SELECT least(1, 0.5 * greatest(un, dn) / n + 0.5 * least(1, ln(1 + 100 * CASE WHEN un >= dn THEN ua ELSE da END) / 4)) AS severity
     FROM ser WHERE greatest(un, dn) >= 3),
-  prs AS (SELECT market_id_a AS ma, market_id_b AS mb FROM mk_links),
+  mem AS (SELECT m.market_id, cluster_id, platform, sev FROM mk_memberships m
+    JOIN mk_markets k ON k.id = m.market_id JOIN per USING (market_id) WHERE is_active),
+  pr AS (SELECT a.market_id, arg_max(b.market_id, (b.sev, -b.market_id)) AS partner_id
+    FROM mem a JOIN mem b ON a.cluster_id = b.cluster_id AND a.platform <> b.platform GROUP BY 1),
+  prs AS (SELECT market_id_a AS ma, market_id_b AS mb FROM mk_links
+    UNION SELECT least(market_id, partner_id), greatest(market_id, partner_id) FROM pr),
   xp AS (SELECT CAST(printf('%.4f', CAST(least(1, (a.sev + b.sev) / 2 * 1.2) AS DOUBLE)) AS DOUBLE) AS severity
     FROM prs JOIN per a ON a.market_id = ma JOIN per b ON b.market_id = mb)
   SELECT 'single' AS stage, count(*) AS found, round(avg(severity), 6) AS mean_severity FROM fresh
