@@ -1,5 +1,6 @@
 """Event log checks, retention, activity and candles."""
 
+import json
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import activity as act
 from tidewatch.operators import candles as c
 from tidewatch.operators import quality as q
-from tidewatch.sources import store
+from tidewatch.sources import manifest, messages, store, upkeep
 
 MIN = 60_000
 
@@ -156,7 +157,7 @@ def test_rows_without_ids_get_running_ones_in_order_of_arrival(rows, spark, tmp_
     arrived = [r.timestamp for r in ev.collect()]
     store.append_events(ev, str(tmp_path / "log"), 3)
     log = store.read_events(spark, str(tmp_path / "log")).orderBy("id").collect()
-    assert [r.id for r in log] == [(3 << 32) + i for i in range(7)] and [r.timestamp for r in log] == arrived
+    assert [r.id for r in log] == [(3 << store.BATCH_BITS) + i for i in range(7)] and [r.timestamp for r in log] == arrived
     late = sum(b < a for a, b in zip(arrived, arrived[1:]))
     assert q.ordering_violations(store.read_events(spark, str(tmp_path / "log"))).first()[0] == late
 
@@ -183,3 +184,107 @@ def test_archive_and_csv(rows, spark, tmp_path):
     assert sorted((str(r.date), r.hour) for r in back.collect()) == [("1970-01-01", 1), ("1970-01-01", 2), ("1970-01-02", 1)]
     store.write_csv(spark.createDataFrame([(1, 'say "x", y')], "id long, t string"), str(tmp_path / "c"))
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).first().t == 'say "x", y'
+
+
+# --- the log's manifest: retention and compaction ---------------------------------------------
+
+
+def _batches(spark, rows, root, n, per=4):
+    made = []
+    for batch in range(n):
+        part = [dict(market_id=i, event_type="trade", new_value=1.0, timestamp=day * 86_400_000 + batch * 1000 + i) for day in (1, 2, 3) for i in range(per)]
+        store.append_events(rows.events(*part).drop("id"), root, batch)
+        made += [(d["market_id"], d["timestamp"]) for d in part]
+    return sorted(made)
+
+
+def _read(spark, root):
+    return sorted((r.market_id, r.timestamp) for r in store.read_events(spark, root).collect())
+
+
+def _data_files(root):
+    return sorted(str(p.relative_to(root)) for p in root.glob("ingest_batch=*/event_date=*/part-*.parquet"))
+
+
+def test_many_small_batches_become_a_few_files(spark, rows, tmp_path):
+    made = _batches(spark, rows, str(tmp_path), 12)
+    before = store.read_events(spark, str(tmp_path))
+    first = upkeep.compact(spark, str(tmp_path))
+    assert _read(spark, str(tmp_path)) == made and len(first.folders) == 3 and first.upto == 11
+    assert sum(f.parts for f in first.folders) == 3
+    # a reader that began before still finds its files; the next version lets them go
+    assert sorted((r.market_id, r.timestamp) for r in before.collect()) == made
+    store.append_events(rows.events(dict(market_id=7, event_type="trade", timestamp=5)).drop("id"), str(tmp_path), 12)
+    second = upkeep.compact(spark, str(tmp_path))
+    assert _read(spark, str(tmp_path)) == sorted([*made, (7, 5)]) and second.version == 2
+    assert len(_data_files(tmp_path)) == 4
+    ids = [r.id for r in store.read_events(spark, str(tmp_path)).collect()]
+    assert len(set(ids)) == len(made) + 1
+
+
+def test_compaction_while_a_batch_is_written(spark, rows, tmp_path):
+    made = _batches(spark, rows, str(tmp_path), 4)
+    (tmp_path / "ingest_batch=2" / "_SUCCESS").unlink()
+    half = [x for x in made if x[1] % 86_400_000 // 1000 != 2]
+    assert _read(spark, str(tmp_path)) == half
+    log = upkeep.compact(spark, str(tmp_path))
+    assert log.upto == 1 and _read(spark, str(tmp_path)) == half
+    (tmp_path / "ingest_batch=2" / "_SUCCESS").touch()
+    assert _read(spark, str(tmp_path)) == made
+    assert upkeep.compact(spark, str(tmp_path)).upto == 3 and _read(spark, str(tmp_path)) == made
+    # a batch that is delivered again changes nothing
+    store.append_events(rows.events(dict(market_id=0, event_type="trade", timestamp=1)).drop("id"), str(tmp_path), 3)
+    assert _read(spark, str(tmp_path)) == made
+
+
+def test_whole_days_leave_and_one_day_is_cut(spark, rows, tmp_path):
+    made = _batches(spark, rows, str(tmp_path), 3)
+    cutoff = 2 * 86_400_000 + 1000
+    want = [x for x in made if x[1] >= cutoff]
+    upkeep.prune(spark, str(tmp_path), cutoff, rewrite=False)
+    assert _read(spark, str(tmp_path)) == want
+    log = upkeep.prune(spark, str(tmp_path), cutoff)
+    assert _read(spark, str(tmp_path)) == want and {f.day for f in log.folders} == {"1970-01-03", "1970-01-04"}
+    assert not list(tmp_path.glob("ingest_batch=*/event_date=1970-01-02"))
+    upkeep.compact(spark, str(tmp_path))
+    upkeep.compact(spark, str(tmp_path))
+    assert _read(spark, str(tmp_path)) == want and len(_data_files(tmp_path)) == 2
+    # an older cutoff brings nothing back
+    assert upkeep.prune(spark, str(tmp_path), 0).floor_ms == cutoff and _read(spark, str(tmp_path)) == want
+    upkeep.prune(spark, str(tmp_path), 10**12)
+    assert _read(spark, str(tmp_path)) == []
+
+
+def test_upkeep_of_an_empty_log(spark, tmp_path):
+    assert upkeep.compact(spark, str(tmp_path / "none")).folders == ()
+    assert store.read_events(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_folders_are_packed_first_fit_decreasing():
+    folders = [manifest.Folder(f"ingest_batch={i}/event_date=d", "d", s, 1) for i, s in enumerate([10, 60, 50, 40, 30, 10])]
+    assert [sum(f.size for f in held) for held in upkeep.packed(folders, 100)] == [100, 100]
+
+
+def test_a_version_is_published_once(spark, tmp_path):
+    manifest.publish(spark, str(tmp_path), manifest.Manifest(), [], None)
+    with pytest.raises(FileExistsError):
+        manifest.publish(spark, str(tmp_path), manifest.Manifest(), [], None)
+
+
+# --- arrival numbers --------------------------------------------------------------------------
+
+
+def test_ids_follow_arrival_whatever_the_joins_do(spark, rows, tmp_path):
+    """Three source partitions, rows dealt anew by a shuffled join; a message with two updates."""
+    part = [dict(market_id=0, event_type="trade", metadata=json.dumps({"ticker": f"T{i % 7}"}), new_value=float(i), timestamp=i) for i in range(300)]
+    feed = rows.events(*part).drop("id").repartitionByRange(3, "timestamp").sortWithinPartitions("timestamp")
+    mk = rows.markets(*[dict(id=i, external_id=f"T{i}") for i in range(5)])
+    numbered = messages.with_arrival(feed).withColumn("place", F.lit(0))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store.append_events(messages.resolve_tickers(numbered, mk), str(tmp_path), 3)
+        got = sorted((r.id, r.timestamp) for r in store.read_events(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [t for _, t in got] == [i for i in range(300) if i % 7 < 5]
+    assert [i for i, _ in got] == [(3 << store.BATCH_BITS) + n for n in range(len(got))]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_markets_feeds import DISCOVERED, DISCOVERY, shown, snaps
 from tidewatch import schemas
 from tidewatch.operators import candles as c
+from tidewatch.operators import correlation
 from tidewatch.operators import markets as m
 from tidewatch.plans import cycle, publish
 from tidewatch.sources import store
@@ -128,13 +129,13 @@ def test_cycle(rows, spark, tmp_path):
     t = small_world(rows, now)
     r = cycle.detection_cycle(t, now)
     counts = {x.stage: x.found for x in cycle.cycle_counts(r).collect()}
-    # 3-4 is a stored link; pairs that only share a cluster are not expanded
-    assert counts == {"single": 4, "cluster": 1, "series": 1, "cross_platform": 1}
+    # 3-4 is a stored link; 1-2 and 2-3 share a cluster on two platforms
+    assert counts == {"single": 4, "cluster": 1, "series": 1, "cross_platform": 3}
     by_id = {x.id: x for x in r.anomalies.collect()}
-    assert by_id[5].status == "expired" and len(by_id) == 8
+    assert by_id[5].status == "expired" and len(by_id) == 10
     single = [x for x in by_id.values() if x.anomaly_type == "single_market" and x.id != 5]
     assert all("template_narrative" in json.loads(x.metadata) for x in single)
-    assert r.anomaly_markets.count() == 1 + 4 + 3 + 4 + 2
+    assert r.anomaly_markets.count() == 1 + 4 + 3 + 4 + 2 * 3
     store.write_anomalies(r.anomalies, r.anomaly_markets, str(tmp_path), 1)
     again = cycle.detection_cycle(
         cycle.Tables(t.events, t.markets, store.read_snapshot(spark, str(tmp_path / "anomalies")),
@@ -142,7 +143,7 @@ def test_cycle(rows, spark, tmp_path):
     assert again.new_anomalies.count() == 0
     serving = publish.serving_tables(cycle.Tables(t.events, t.markets, r.anomalies, r.anomaly_markets, t.clusters, t.memberships, t.links), now)
     publish.publish(serving, str(tmp_path / "serving"), 1)
-    assert {n: store.read_snapshot(spark, str(tmp_path / "serving" / n)).count() for n in serving} == {"markets": 4, "anomalies": 7, "topics": 1, "summaries": 4}
+    assert {n: store.read_snapshot(spark, str(tmp_path / "serving" / n)).count() for n in serving} == {"markets": 4, "anomalies": 9, "topics": 1, "summaries": 4}
 
 
 def test_cycle_links_asked_pairs(rows):
@@ -151,8 +152,33 @@ def test_cycle_links_asked_pairs(rows):
     # 2-1 share a cluster on two platforms, 1-3 are on one, 4 is in no cluster, 3-4 is stored
     asked = rows.pairs((2, 1, 0.1), (1, 3, 0.1), (1, 4, 0.1), (3, 4, 0.1)).select("market_id_a", "market_id_b")
     found = cycle.detection_cycle(dataclasses.replace(t, asked=asked), now).stages["cross_platform"].collect()
-    assert {(r.market_id_a, r.market_id_b, json.loads(r.metadata)["link_confidence"]) for r in found} == {(1, 2, 0.8), (3, 4, 0.95)}
-    assert len(found) == 2
+    assert {(r.market_id_a, r.market_id_b, json.loads(r.metadata)["link_confidence"]) for r in found} == {(1, 2, 0.8), (2, 3, 0.7), (3, 4, 0.95)}
+    assert len(found) == 3
+
+
+def test_cycle_finds_links_of_a_cluster_without_pairs(rows, spark):
+    """Neither stored nor asked pairs: each anomalous member with its best partner on another platform."""
+    now = 100 * 3_600_000
+    t = dataclasses.replace(small_world(rows, now), links=rows.pairs())
+    found = cycle.detection_cycle(t, now).stages["cross_platform"].collect()
+    assert {(r.market_id_a, r.market_id_b) for r in found} == {(1, 2), (2, 3)}
+    # one platform only: no links
+    alone = dataclasses.replace(t, markets=t.markets.withColumn("platform", F.lit("kalshi")))
+    assert cycle.detection_cycle(alone, now).stages["cross_platform"].count() == 0
+
+
+def test_best_partners_are_those_of_all_pairs(rows):
+    """Against all pairs of members; the number of links counts each cluster."""
+    now = 10**9
+    an = rows.anomalies(*[dict(id=i, severity=(i * 7 % 5) / 10, detected_at=now) for i in range(1, 25)], dict(id=99, status="expired", detected_at=now))
+    li = rows.links(*[dict(anomaly_id=i, market_id=i) for i in range(1, 25)], dict(anomaly_id=99, market_id=30))
+    mk = rows.markets(*[dict(id=i, external_id=f"T{i}", platform=("kalshi", "polymarket", "other")[i % 3], is_active=i != 4) for i in range(1, 31)])
+    me = [(i, c) for i in range(1, 31) for c in {i % 4, i % 3 + 10 * (i > 20), 7}]
+    got = {r.market_id: (r.partner_id, r.n_links) for r in
+           correlation.anomalous_partners(an, li, rows.memberships(*[(i, c, 0.5) for i, c in me]), mk, now).collect()}
+    live = [(i, c) for i, c in me if i < 25 and i != 4]
+    pairs = [(i, j) for i, c in live for j, d in live if c == d and i % 3 != j % 3]
+    assert got == {i: (max((j for k, j in pairs if k == i), key=lambda j: ((j * 7 % 5) / 10, -j)), sum(k == i for k, _ in pairs)) for i, _ in pairs}
 
 
 def test_quiet_cycle_only_expires(rows):
@@ -165,5 +191,15 @@ def test_quiet_cycle_only_expires(rows):
 def test_scheduled_cycle(rows, spark, tmp_path):
     now = 100 * 3_600_000
     t = small_world(rows, now)
-    stream_cycle.cycle_batch(0, t, now, str(tmp_path), cycle.CycleConfig(retention_days=1))
-    assert store.read_snapshot(spark, str(tmp_path / "anomalies")).filter(F.col("status") == "active").count() == 7
+    log = str(tmp_path / "log")
+    store.append_events(t.events, log, 0)
+    store.append_events(rows.events(*[dict(id=900 + i, timestamp=now - i * 43_200_000) for i in range(5)]), log, 1)
+    config = cycle.CycleConfig(retention_days=1)
+    stream_cycle.cycle_batch(0, t, now, str(tmp_path), config, log)
+    assert store.read_snapshot(spark, str(tmp_path / "anomalies")).filter(F.col("status") == "active").count() == 9
+    # rows older than a day are gone, and so are the folders of whole days at the next version
+    assert sorted(r.id for r in store.read_events(spark, log).collect() if r.id >= 900) == [900, 901, 902]
+    stream_cycle.cycle_batch(1, t, now, str(tmp_path), config, log, compact_every=2)
+    left = sorted({p.name for p in (tmp_path / "log").glob("ingest_batch=*/event_date=*")})
+    assert left == ["event_date=1970-01-04", "event_date=1970-01-05"]
+    assert sorted(r.id for r in store.read_events(spark, log).collect() if r.id >= 900) == [900, 901, 902]

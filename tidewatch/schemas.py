@@ -72,8 +72,8 @@ ALERTS = _struct(
 )
 
 # --- fixed values: members of the string enums -------------------------------------------
-PLATFORMS = ("polymarket", "kalshi")
-EVENT_TYPES = ("price_change", "volume_update", "new_market", "status_change", "trade")
+PLATFORMS = ("kalshi", "polymarket")
+EVENT_TYPES = ("price_change", "volume_update", "status_change", "new_market", "trade")
 ANOMALY_TYPES = ("single_market", "cluster", "cross_platform")
 ANOMALY_STATUSES = ("active", "expired", "acknowledged")
 # -----------------------------------------------------------------------------------------

@@ -1,7 +1,8 @@
 """Live feed messages: raw(platform, payload, received_ms) -> normalized events.
 
 Works on batch and streaming DataFrames alike: projections, one explode and one join with the
-token map. ``market_id`` is 0 until :func:`resolve_tickers` fills it.
+token map. ``market_id`` is 0 until :func:`resolve_tickers` fills it. Messages numbered in order of
+arrival (:func:`with_arrival`) give events that carry the number through every shuffle.
 """
 
 from __future__ import annotations
@@ -29,6 +30,21 @@ _POLYMARKET_MESSAGE = (
 )
 
 
+ARRIVAL = ["arrival", "place"]  # a message's number, and the place of an event in it
+
+
+def with_arrival(raw: DataFrame) -> DataFrame:
+    """Messages with a number that grows in the order in which they are read, given before any shuffle.
+
+    Its upper bits are the partition of the source, so a partition's messages can be counted apart.
+    """
+    return raw.withColumn("arrival", F.monotonically_increasing_id())
+
+
+def _numbered(raw: DataFrame, place: Column) -> list[Column]:
+    return [F.col("arrival"), place.cast("int").alias("place")] if "arrival" in raw.columns else []
+
+
 def _doc(**fields: Column) -> Column:
     return F.to_json(
         F.struct(*[c.alias(name) for name, c in fields.items()]), {"ignoreNullFields": "false"}
@@ -113,7 +129,7 @@ def normalize_kalshi_messages(raw: DataFrame) -> DataFrame:
     )
     usable = event_type.isNotNull() & value.isNotNull()
     event = F.when(usable, F.array(F.struct(*_event(event_type, value, metadata))))
-    return parsed.select(F.inline(event))
+    return parsed.select(F.inline(event), *_numbered(raw, F.lit(0)))
 
 
 def normalize_polymarket_messages(raw: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -158,7 +174,8 @@ def normalize_polymarket_messages(raw: DataFrame, tokens: DataFrame) -> DataFram
         .when(kind == "price_change", F.transform(j["price_changes"], change))
         .when(kind == "new_market", F.array(listed))
     )
-    u = parsed.select("received_ms", F.explode(updates).alias("u")).select("received_ms", "u.*")
+    u = parsed.select("received_ms", *_numbered(raw, F.lit(0))[:1], F.posexplode(updates).alias("at", "u"))
+    u = u.select("received_ms", *_numbered(raw, F.col("at")), "u.*")
     u = u.filter(F.col("value").isNotNull())
     # an update without an asset (new_market) gets a key of its own: it matches no token, and
     # such rows do not pile up in one partition
@@ -190,7 +207,7 @@ def normalize_polymarket_messages(raw: DataFrame, tokens: DataFrame) -> DataFram
         F.col("condition_id").isNotNull()
     )
     return joined.filter(known).select(
-        *_event(F.col("event_type"), F.col("value"), metadata)
+        *_event(F.col("event_type"), F.col("value"), metadata), *_numbered(raw, F.col("place"))
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ from tidewatch import schemas
 from tidewatch.functions import fixed_values as fv
 from tidewatch.functions.keyed import hashed_id
 from tidewatch.session import settle
+from tidewatch.sources import files
+from tidewatch.sources.manifest import Folder, current, day_of
+from tidewatch.sources.messages import ARRIVAL
+
+BATCH_BITS = 34  # rows of a batch; a batch a second fills the rest of a 64-bit id in 17 years
 
 
 def event_day(ts_ms: Column) -> Column:
@@ -39,18 +45,26 @@ def by_day(df: DataFrame, *folders: str) -> DataFrame:
 def with_arrival_ids(events: DataFrame, batch: int) -> DataFrame:
     """Running ids in order of arrival: the batch in the upper bits, then 0, 1, 2, ... without a gap.
 
-    Rows are numbered inside their partitions; only the number of rows of each partition is put
-    in order to give the partitions their first numbers.
+    The order is that of the messages' numbers (``messages.with_arrival``), which a join cannot change; rows
+    without such numbers count in the order in which they come. Rows are numbered inside the partitions
+    of their source; only the number of rows of each is put in order to give them their first numbers.
     """
-    place = settle(events.withColumn("__at", F.monotonically_increasing_id())).withColumn(
-        "__part", F.shiftright("__at", 33)
-    )
+    numbered = all(c in events.columns for c in ARRIVAL)
+    at = "arrival" if numbered else "__at"
+    order = ARRIVAL if numbered else ["__at"]
+    rows = settle(events if numbered else events.withColumn("__at", F.monotonically_increasing_id()))
+    place = rows.withColumn("__part", F.shiftright(at, 33))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = place.groupBy("__part").agg(F.count("*").alias("__n")).select(
         "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
     )
-    number = F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)
-    return place.join(starts, "__part").withColumn("id", number + (batch << 32)).select(*events.columns)
+    # a partition of the source is bounded, so this window is
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    number = F.col("__start") + F.col("__within")
+    full = F.raise_error(F.lit(f"batch {batch} has more than {1 << BATCH_BITS} rows"))
+    checked = F.when(number < (1 << BATCH_BITS), number).otherwise(full.cast("long"))
+    out = place.withColumn("__within", within).join(starts, "__part").withColumn("id", checked + (batch << BATCH_BITS))
+    return out.select("id", *[c for c in events.columns if c != "id" and not (numbered and c in ARRIVAL)])
 
 
 def append_events(
@@ -61,9 +75,10 @@ def append_events(
     Rows without ids get running ones in order of arrival. A key made of the content is stored
     beside it, by which re-delivered rows are recognized.
     """
-    df = schemas.conform(storable_events(events, persist_price_change), schemas.EVENTS)
+    df = storable_events(events, persist_price_change)
     if "id" not in events.columns:
         df = with_arrival_ids(df, batch)
+    df = schemas.conform(df, schemas.EVENTS)
     content = [F.col(c) for c in ("market_id", "event_type", "timestamp", "new_value")]
     df = df.withColumn("content_key", hashed_id(*content, F.coalesce("metadata", F.lit(""))))
     (
@@ -74,25 +89,40 @@ def append_events(
     )
 
 
+_LOG = T.StructType(
+    [*schemas.EVENTS.fields, T.StructField("content_key", T.LongType()), T.StructField("event_date", T.DateType()),
+     T.StructField("ingest_batch", T.StringType())]
+)
+
+
+def read_folders(
+    spark: SparkSession, root: str, folders: Iterable[Folder], floor_ms: int | None = None, with_batch: bool = False
+) -> DataFrame:
+    """The rows of some folders of the log, with all their columns, from a time on."""
+    paths = [f"{root}/{f.path}" for f in folders]
+    df = spark.read.schema(_LOG).option("basePath", root).parquet(*paths) if paths else spark.createDataFrame([], _LOG)
+    df = df if floor_ms is None else df.filter(F.col("timestamp") >= floor_ms)
+    return df if with_batch else df.drop("ingest_batch")
+
+
 def read_events(
     spark: SparkSession, root: str, since_ms: int | None = None, until_ms: int | None = None,
     with_date: bool = False,
 ) -> DataFrame:
     """The event log, pruned to the days and row groups of [since_ms, until_ms].
 
-    ``with_date`` keeps event_date, by which ``quality.since`` skips the folders of earlier days.
+    The folders are those of the newest manifest and the complete batches behind it. ``with_date`` keeps
+    event_date, by which ``quality.since`` skips the folders of earlier days.
     """
-    schema = T.StructType(
-        [*schemas.EVENTS.fields, T.StructField("event_date", T.DateType()),
-         T.StructField("ingest_batch", T.StringType())]
-    )
-    df = spark.read.schema(schema).parquet(root)
-    ts = F.col("timestamp")
+    log = current(spark, root)
+    first, last = (None if ms is None else day_of(ms) for ms in (since_ms, until_ms))
+    folders = [f for f in log.folders if (first is None or f.day >= first) and (last is None or f.day <= last)]
+    df = read_folders(spark, root, folders, log.floor_ms).drop("content_key")
     if since_ms is not None:
-        df = df.filter((ts >= since_ms) & (F.col("event_date") >= event_day(F.lit(since_ms))))
+        df = df.filter((F.col("timestamp") >= since_ms) & (F.col("event_date") >= event_day(F.lit(since_ms))))
     if until_ms is not None:
-        df = df.filter((ts <= until_ms) & (F.col("event_date") <= event_day(F.lit(until_ms))))
-    return df.drop("ingest_batch") if with_date else df.drop("event_date", "ingest_batch")
+        df = df.filter((F.col("timestamp") <= until_ms) & (F.col("event_date") <= event_day(F.lit(until_ms))))
+    return df if with_date else df.drop("event_date")
 
 
 def write_snapshot(df: DataFrame, root: str, version: int) -> None:
@@ -101,15 +131,12 @@ def write_snapshot(df: DataFrame, root: str, version: int) -> None:
 
 
 def latest_version(spark: SparkSession, root: str) -> int | None:
-    """Newest published version (from file names, no job), or None before the first one."""
-    try:
-        files = spark.read.parquet(root).inputFiles()
-    except Exception as exc:  # noqa: BLE001 - only the missing-path error means "none yet"
-        if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            return None
-        raise
-    found = [re.search(r"/version=(\d+)/", name) for name in files]
-    return max((int(m.group(1)) for m in found if m), default=None)
+    """Newest complete version (from the names in the folder, no job), or None before the first one."""
+    named = [int(m.group(1)) for name, _ in files.listing(spark, root) if (m := re.fullmatch(r"version=(\d+)", name))]
+    for version in sorted(named, reverse=True):
+        if any(name == "_SUCCESS" for name, _ in files.listing(spark, f"{root}/version={version}")):
+            return version
+    return None
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:

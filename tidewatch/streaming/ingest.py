@@ -8,8 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.operators.markets import market_changes
 from tidewatch.session import settle
-from tidewatch.sources.messages import normalize_messages, resolve_tickers
-from tidewatch.sources.store import append_events, read_snapshot, with_arrival_ids
+from tidewatch.sources.messages import ARRIVAL, normalize_messages, resolve_tickers, with_arrival
+from tidewatch.sources.store import append_events, read_snapshot
 
 
 def ingest_batch(
@@ -27,11 +27,15 @@ def ingest_batch(
     change rows whenever the table is published next.
     """
     markets = read_snapshot(raw.sparkSession, markets_root)
-    resolved = resolve_tickers(normalize_messages(raw, tokens), markets)
-    # both writes read the same rows; the running id keeps arrival order within a millisecond
-    events = settle(with_arrival_ids(resolved.withColumn("id", F.lit(0).cast("long")), batch_id))
-    append_events(events, f"{out_root}/events", batch_id, persist_price_change)
-    market_changes(events).write.mode("overwrite").parquet(
+    # numbered as read, before the joins deal the rows anew; both platforms read the same messages
+    messages = settle(with_arrival(raw))
+    # both writes read the same rows; only stored ones get ids, so these run without a hole
+    resolved = settle(resolve_tickers(normalize_messages(messages, tokens), markets))
+    append_events(resolved, f"{out_root}/events", batch_id, persist_price_change)
+    # all events, stored or not, in order of arrival
+    order = F.col("arrival").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("place")
+    everything = resolved.withColumn("id", order).drop(*ARRIVAL)
+    market_changes(everything).write.mode("overwrite").parquet(
         f"{out_root}/market_changes/ingest_batch={batch_id}"
     )
 

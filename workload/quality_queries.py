@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from tidewatch.operators import activity as act
 from tidewatch.operators import quality as q
 from tidewatch.session import shared_folder
-from tidewatch.sources import store
+from tidewatch.sources import catalogs, store, upkeep
+from tidewatch.streaming import ingest
+from workload.feed_queries import MSG
 from workload.registry import register
 
 DAY = 86_400_000
@@ -215,6 +217,54 @@ register(
     lambda v: q.ordering_violations(_stored(v.events)),
     """SELECT count(*) AS violations FROM (SELECT "timestamp" AS t, lag("timestamp") OVER (ORDER BY id) AS p FROM mk_events) WHERE t < p""",
 )
+def _ingested(v):
+    """The feed in order of time, ingested with every join shuffled, and read back."""
+    spark, root = v.spark, shared_folder(v.spark, "ingest")
+    store.write_markets(v.markets, f"{root}/markets", 0)
+    known = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(known)
+    spark.conf.set(known, "-1")
+    try:
+        tokens = catalogs.token_map(v.polymarket_listings)
+        ingest.ingest_batch(v.raw_messages.orderBy("received_ms"), 0, tokens, f"{root}/markets", f"{root}/out")
+    finally:
+        spark.conf.set(known, before)
+    return store.read_events(spark, f"{root}/out/events")
+
+
+register(
+    "ingested_ordering_violations",
+    # ids are 0, 1, 2, ... in the order of the feed, whatever the joins did to the rows
+    lambda v: q.ordering_violations(events := _ingested(v)).crossJoin(
+        events.agg(F.count("*").alias("events"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    ),
+    f"""SELECT CAST(0 AS BIGINT) AS violations, count(*) AS events, CAST(0 AS BIGINT) AS first_id, count(*) - 1 AS last_id
+        FROM ({' UNION ALL '.join(sql for _, sql in MSG.values())}) e JOIN mk_markets k ON k.external_id = e.ticker WHERE k.is_active""",
+)
+
+
+def _kept_log(v, prune_first):
+    """The log written in seven batches, compacted and pruned, and read back."""
+    root = shared_folder(v.spark, "log")
+    for batch in range(7):
+        store.append_events(v.events.filter(F.col("id") % 7 == batch), root, batch)
+    cutoff = v.now - 10 * DAY
+    if prune_first:
+        upkeep.prune(v.spark, root, cutoff)
+        upkeep.compact(v.spark, root)
+    else:
+        upkeep.compact(v.spark, root)
+        upkeep.prune(v.spark, root, cutoff, rewrite=False)
+    return store.read_events(v.spark, root).select(*EVENT_COLS)
+
+
+for _name, _first in (("pruned_and_compacted_log", True), ("compacted_and_pruned_log", False)):
+    register(
+        _name,
+        lambda v, first=_first: _kept_log(v, first),
+        f'SELECT {_COLS} FROM mk_events, cfg WHERE "timestamp" >= now - 864000000',
+        "new_value",
+    )
 register(
     "append_events",
     lambda v: _stored(v.events, False).groupBy("event_type", F.col("event_date").cast("string").alias("event_date"))
