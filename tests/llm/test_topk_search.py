@@ -30,7 +30,6 @@ def vectors(spark, rows):
 @pytest.mark.parametrize("shard", [8192, 100])
 def test_matches_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(topk_search, "SHARD_ROWS", shard)
-    monkeypatch.setattr(topk_search, "BLOCK_ROWS", 2)
     random = np.random.default_rng(1)
     rows = [(int(i), [float(x) for x in random.normal(size=16)]) for i in range(700)]
     common = rows[5][1]
@@ -59,3 +58,26 @@ def test_search_of_one_shard(spread):
         ids, scores = index.search(query, 17, 10)
         want = sorted((-int(rows[i] @ query), i) for i in range(500) if i != 17)[:10]
         assert [(-s, i) for i, s in zip(ids, scores)] == want
+
+
+@pytest.mark.parametrize("largest", [1e7, 1e10, 1e17, 1e300])
+def test_large_components_are_exact(spark, largest):
+    """Sums that 64 bits do not hold are ranked by Python's whole numbers; scores beyond them are the nearest ones."""
+    random = np.random.default_rng(int(np.log10(largest)))
+    rows = [(0, [largest, 1.0]), (1, [2 * largest, 2.0]), (2, [1.0, 1.0]), (3, [-largest, 0.0]), (4, [0.0, 5.0]), (100, [-largest, largest]), (5, [largest, 0.9])]
+    rows += [(10 + i, [float(x) for x in random.normal(size=2) * largest * 10.0 ** -random.integers(0, 12)]) for i in range(60)]
+    got = sorted(map(tuple, topk_search.top_k(vectors(spark, rows), F.col("vec_id") % 100 == 0).collect()))
+    top = 2**63 - 1
+    assert got == [(q, n, i, max(-top - 1, min(top, s))) for q, n, i, s in by_hand(rows)]
+
+
+def test_rows_of_one_large_pair(spark):
+    rows = [(0, [1e7, 1.0]), (1, [1e7, 2.0]), (2, [1.0, 1.0]), (3, [-1e7, 0.0]), (4, [0.0, 5.0])]
+    got = sorted(map(tuple, topk_search.top_k(vectors(spark, rows), F.col("vec_id") % 100 == 0).collect()))
+    assert [r[2] for r in got] == [1, 2, 4, 3]
+
+
+def test_whole_numbers_keep_their_order_as_bytes():
+    numbers = [-(2**2100), -(2**64), -(2**63) - 1, -1, 0, 1, 2**63, 2**64 + 1, 2**2100]
+    keys = [topk_search.order_key(n) for n in numbers]
+    assert keys == sorted(keys) and len(set(keys)) == len(keys)
