@@ -7,7 +7,8 @@ WHITE = "[\\x20\\x09-\\x0D]"
 DATA = "/root/testdata"
 
 # Column names that the operators use themselves; inputs carry them to show that they do not clash.
-CLASHING = ["size", "kept", "score", "line", "key", "pos", "rest", "fp", "copies", "row_key", "body", "bytes", "target"]
+CLASHING = ["size", "kept", "score", "line", "key", "pos", "rest", "fp", "copies", "row_key", "body", "bytes", "target",
+            "_body_hash", "_goal_rate", "_goal_copy", "row", "key_hash", "no_id", "name", "rate", "copy", "node"]
 
 
 @pytest.fixture(scope="session")

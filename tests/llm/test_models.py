@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import DATA, strip_white
 from tests.llm.test_mixing import targets_by_hand
-from tests.llm.test_simhash import print_by_hand, roots_by_hand
+from tests.llm.test_near_copies import check_kept
 from tidewatch.llm import langid, sentencepieces, toxicity
 
 # --- languages -------------------------------------------------------------------------------
@@ -236,27 +236,35 @@ def test_documents_are_encoded_and_decoded(documents, pieces):
 
 
 def test_pipeline_by_hand(spark):
+    """Each stage on what its predecessor kept, against plain Python."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text", "source").collect()]
-    rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    stages, folder = dict(corpus_pipeline.STAGES), f"{DATA}/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+
+    def shown(frame):
+        return [(r.doc_id, r.text, r.source) for r in frame.select("doc_id", "text", "source").collect()]
+
+    rows = [r for r in shown(docs) if any(c.isalpha() for c in r[1] or "")]
+    accepted = stages["language_id"](spark, docs, folder)
+    assert sorted(shown(accepted), key=repr) == sorted(rows, key=repr)
     best = {}
     for doc, text, source in rows:
         key = strip_white(text)
         best[key] = min(best.get(key, ((1, 0),)), ((-len(text), doc), text, source))
-    rows = [(k[1], text, source) for k, text, source in best.values()]
-    roots = roots_by_hand([print_by_hand(t) for _, t, _ in rows])
-    least = {}
-    for root, row in zip(roots, rows):
-        least[root] = min(least.get(root, row), row)
-    rows = list(least.values())
+    exact = stages["exact_dedup"](spark, accepted, folder)
+    rows = sorted((k[1], text, source) for k, text, source in best.values())
+    assert sorted(shown(exact)) == rows
+    near = stages["near_dedup"](spark, exact, folder)
+    kept = sorted(shown(near))
+    assert set(kept) < set(rows)
+    check_kept([(n, t) for n, (_, t, _) in enumerate(rows)], {n for n, r in enumerate(rows) if r in set(kept)})
     sizes = Counter()
-    for _, text, source in rows:
+    for _, text, source in kept:
         sizes[source] += len(text.split())
     target = targets_by_hand(sizes)
-    got = corpus_pipeline.run(spark, f"{DATA}/sf0.001").collect()
-    times = Counter((r.doc_id, r.text) for r in got)
-    assert set(times) <= {(d, t) for d, t, _ in rows}
-    for doc, text, source in rows:
+    times = Counter((r.doc_id, r.text) for r in corpus_pipeline.run(spark, folder).collect())
+    assert set(times) <= {(d, t) for d, t, _ in kept}
+    for doc, text, source in kept:
         rate = target[source] / sizes[source]
         assert int(rate) <= times[doc, text] <= int(rate) + 1
 

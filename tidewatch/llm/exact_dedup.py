@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import WHITE, settle
@@ -83,15 +83,24 @@ def assign(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose (doc_id, hash of the text) is in ``kept``; equal rows once."""
-    named = docs.withColumn("_body_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    wanted = kept.select(F.col("doc_id").alias("_keep_id"), F.col("body_hash").alias("_keep_hash")).distinct()
-    found = named.join(
-        wanted, named["_body_hash"].eqNullSafe(wanted["_keep_hash"]) & named["doc_id"].eqNullSafe(wanted["_keep_id"]),
-        "left_semi",
-    )
-    return found.dropDuplicates(["doc_id", "_body_hash"]).drop("_body_hash")
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """The rows as one column ``row``, whatever their columns are called, with the key of a document: its id and its text's hash."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("key_id"), text_hash(docs["text"]).alias("key_hash"))
+
+
+def keep_rows(docs: DataFrame, named: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs``, all columns, whose (doc_id, body_hash) is in ``named`` (or is not, ``left_anti``); equal rows once."""
+    # A null id is a key as any other: the same shuffle serves the join and the removal of equal rows.
+    no_id, name = F.col("key_id").isNull(), F.coalesce(F.col("key_id").cast("string"), F.lit(""))
+    rows = with_key(docs).select("row", "key_hash", no_id.alias("no_id"), name.alias("name"))
+    wanted = named.select(F.col("doc_id").alias("key_id"), F.col("body_hash").alias("key_hash")).select(
+        "key_hash", no_id.alias("no_id"), name.alias("name"))
+    keys = ["key_hash", "no_id", "name"]
+    return rows.join(wanted, keys, how).dropDuplicates(keys).select("row.*")
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:

@@ -93,11 +93,11 @@ def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The mixed documents themselves: every row with all its columns, as often as it is drawn."""
     _, goal = rates(docs, **options)
     goal = goal.select(
-        F.col("source").alias("_goal_source"),
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_goal_rate"),
+        F.col("source").alias("goal_source"),
+        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"),
     )
-    drawn = docs.join(goal, docs["source"].eqNullSafe(goal["_goal_source"])).withColumn(
-        "_goal_copies", copies(docs["doc_id"], F.col("_goal_rate"), seed)
-    )
-    repeated = F.explode(F.array_repeat(F.lit(1), F.col("_goal_copies").cast("int"))).alias("_goal_copy")
-    return drawn.select(*[docs[c] for c in docs.columns], repeated).drop("_goal_copy")
+    # the row is one column, so that none of its columns can clash with those of the plan
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].alias("row_source"), docs["doc_id"].alias("row_id"))
+    drawn = rows.join(goal, F.col("row_source").eqNullSafe(F.col("goal_source")))
+    times = copies(F.col("row_id"), F.col("rate"), seed).cast("int")
+    return drawn.select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("copy")).select("row.*")

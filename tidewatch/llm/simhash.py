@@ -1,8 +1,9 @@
 """SimHash near-duplicates by a hierarchical index in Gray order.
 
 Fingerprints are made per document, then equal ones are merged, so copies cost one row. Two
-fingerprints that differ in at most ``max_bits`` of 64 bits agree in one of ``max_bits + 1`` blocks
-of bits; each fingerprint is sent to one cell per block. A cell sorts its fingerprints by their rank
+fingerprints that differ in at most ``max_bits`` of 64 bits agree in at least k of ``max_bits + k`` blocks
+of bits; each fingerprint is sent to one cell per choice of k blocks, k growing with the logarithm of
+the number of fingerprints. A cell sorts its fingerprints by their rank
 in the Gray code and builds an index over the runs of that order: a node keeps the bits that all
 its fingerprints share (mask and pattern), and a search gives up a whole node as soon as the
 differences to its shared pattern exceed the limit. Large cells are cut into pairs of parts, so a
@@ -17,6 +18,7 @@ give repeated rows; an empty table gives no rows; whole texts are used; other co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -135,42 +137,58 @@ def connect(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return root
 
 
-def _cells(distinct: DataFrame, max_bits: int) -> DataFrame:
-    """cell keys for every distinct fingerprint: block and its bits, and parts of large cells."""
-    blocks = max_bits + 1
+def plan(count: int, max_bits: int, fullest: int = 2 * PART) -> tuple[int, int]:
+    """Into how many blocks to cut 64 bits, and how many of them make a key.
+
+    Of ``max_bits + k`` blocks at least k agree. More blocks make longer keys, so that a key's share of ``count``
+    spread fingerprints stays below ``fullest`` rows, and the copies of a fingerprint do not grow with the rows.
+    """
+    of = 1
+    while of < 4 and count >> (64 * of // (max_bits + of)) > fullest:
+        of += 1
+    return max_bits + of, of
+
+
+def keys_of(fp: Column, blocks: int, of: int, first: int = 0) -> list[Column]:
+    """The cell keys of a fingerprint: every choice of ``of`` blocks, numbered from ``first`` on, with their bits."""
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    keys = F.array(*[
-        F.struct(F.lit(i).alias("block"),
-                 F.shiftrightunsigned("fp", edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1).alias("bits"))
-        for i in range(blocks)
-    ])
-    routed = distinct.select("fp", F.explode(keys).alias("key")).select("fp", "key.block", "key.bits")
+    out = []
+    for number, chosen in enumerate(combinations(range(blocks), of), first):
+        mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
+        mask -= (mask >> 63) << 64  # as a signed number
+        out.append(F.struct(F.lit(number).alias("block"), fp.bitwiseAND(F.lit(mask)).alias("bits")))
+    return out
+
+
+def cells(rows: DataFrame, keys: list[Column], by: str) -> DataFrame:
+    """The rows once per cell (block, bits, low, high), in order of cells; of large cells every pair of bounded parts is one."""
+    columns = rows.columns
+    routed = rows.select(*columns, F.explode(F.array(*keys)).alias("key")).select(*columns, "key.block", "key.bits")
     large = (
         routed.groupBy("block", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * PART)
         .select("block", "bits", F.ceil(F.col("n") / PART).cast("long").alias("parts"))
     )
     marked = routed.join(large, ["block", "bits"], "left")
-    part = F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts"))
-    small = marked.where("parts is null").select("block", "bits", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), "fp")
-    cut = marked.where("parts is not null").withColumn("part", part).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    return small.unionByName(cut.select(
-        "block", "bits", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "fp"))
-
-
-def _links(max_bits: int):
-    def search(columns: list[np.ndarray]) -> pa.RecordBatch:
-        *key, fp = columns
-        key = np.stack(key)
-        fp = fp.view(np.uint64)
-        order = np.lexsort((gray_rank(fp), *key[::-1]))
-        key, fp = key[:, order], fp[order]
-        group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))])
-        root = connect(len(fp), linked_pairs(fp, group, max_bits))
-        far = root != np.arange(len(fp))
-        signed = fp.view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(signed[far]), pa.array(signed[root[far]])], ["a", "b"])
-
+    part = F.pmod(F.xxhash64(by, F.lit("part")), F.col("parts"))
+    none = F.lit(0).cast("long")
+    small = marked.where("parts is null").select("block", "bits", none.alias("low"), none.alias("high"), *columns)
+    cut = marked.where("parts is not null").withColumn("part", part).withColumn("other", F.explode(F.sequence(none, F.col("parts") - 1)))
+    dealt = small.unionByName(cut.select("block", "bits", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), *columns))
+    names = ["block", "bits", "low", "high"]
+    return dealt.repartition(*names).sortWithinPartitions(*names)
+
+
+def in_order(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns behind the four of a cell, in order of cells and of the Gray rank of the first one, and the number of each row's cell."""
+    key, rest = np.stack(columns[:4]), columns[4:]
+    order = np.lexsort((gray_rank(rest[0].view(np.uint64)), *key[::-1]))
+    key = key[:, order]
+    group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))])
+    return [c[order] for c in rest], group
+
+
+def by_cells(search):
+    """Runs ``search`` on the columns of whole cells, many at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
@@ -178,7 +196,7 @@ def _links(max_bits: int):
             if sum(len(h[0]) for h in held) < 32 * PART:
                 continue
             columns = [np.concatenate(c) for c in zip(*held)]
-            key = np.stack(columns[:-1])
+            key = np.stack(columns[:4])
             change = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))
             if len(change):  # the last cell may go on in the next batch
                 cut = change[-1] + 1
@@ -191,11 +209,20 @@ def _links(max_bits: int):
     return run
 
 
+def _links(max_bits: int):
+    def search(columns: list[np.ndarray]) -> pa.RecordBatch:
+        (signed,), group = in_order(columns)
+        root = connect(len(signed), linked_pairs(signed.view(np.uint64), group, max_bits))
+        far = root != np.arange(len(signed))
+        return pa.RecordBatch.from_arrays([pa.array(signed[far]), pa.array(signed[root[far]])], ["a", "b"])
+
+    return by_cells(search)
+
+
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b) links that connect exactly the distinct fingerprints within ``max_bits``."""
-    cells = ["block", "bits", "low", "high"]
-    dealt = _cells(distinct, max_bits).repartition(*cells).sortWithinPartitions(*cells)
-    return dealt.mapInArrow(_links(max_bits), "a long, b long").distinct()
+    keys = keys_of(F.col("fp"), *plan(distinct.count(), max_bits))
+    return cells(distinct.select("fp"), keys, "fp").mapInArrow(_links(max_bits), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
