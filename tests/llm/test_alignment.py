@@ -62,7 +62,7 @@ def texts_of(chance, n, marks=0.03):
 def test_words_are_aligned_as_whole_texts(chance, aligner, by_hand):
     texts = [t for t in texts_of(chance, 400) if t] + ["▁", "a▁b", "x  ", "word" * 300]
     cut = [token_alignment.words_of(t) for t in texts]
-    got = token_alignment.add_words(cut, aligner.words({w for t in cut for w in t}))
+    got = token_alignment.add_words(cut, aligner.words({w for t in cut for w in t}), len(aligner.b_raw))
     start = 0
     for i, text in enumerate(texts):
         groups = by_hand(text)

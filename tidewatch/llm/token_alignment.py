@@ -54,7 +54,7 @@ BLOCK_ROWS = 4000
 MARK = "▁"
 # Fixed value: the words of byte-level BPE, which no token crosses.
 A_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CACHE = 150_000
+_CACHE = 60_000
 _REMEMBER = 64  # longer words hardly come again
 _CUT = re.compile(r" (?<!  )(?=\S)")  # a single space with something behind it: no token of either crosses its front
 
@@ -142,7 +142,7 @@ class Word(NamedTuple):
     n_b: int
     n_groups: int
     groups: str
-    links: bytes  # 64-bit pairs, one for each link
+    links: bytes  # a 64-bit number for each link: A's id times the size of B's vocabulary, and B's id
 
 
 def byte_level() -> dict[str, int]:
@@ -205,7 +205,7 @@ class Aligner:
             return self._aligned(words[:half]) + self._aligned(words[half:])
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         ends_a, ends_b = (np.cumsum(size[ids]) for size, ids in zip(self.sizes, (a, b)))
-        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        common = ends_b[ends_a[np.minimum(np.searchsorted(ends_a, ends_b), len(a) - 1)] == ends_b]
         until_a, until_b = (np.searchsorted(ends, common, side="right") for ends in (ends_a, ends_b))  # tokens up to each group's end
         group_a, group_b = (np.searchsorted(common, ends) for ends in (ends_a, ends_b))
         in_b = np.diff(until_b, prepend=0)
@@ -213,13 +213,13 @@ class Aligner:
         each = in_b[group_a]
         first = np.cumsum(each) - each
         other = np.arange(int(each.sum())) + np.repeat((until_b - in_b)[group_a] - first, each)
-        links = (np.repeat(a, each) << 32 | b[other]).tobytes()
+        links = (np.repeat(a, each) * len(self.b_raw) + b[other]).tobytes()
         # a group's A tokens, then its B tokens
         spelled = np.empty(len(a) + len(b), object)
-        last_a, last_b = (np.isin(np.arange(len(ids)) + 1, until) for ids, until in ((a, until_a), (b, until_b)))
-        (a_more, a_end), (b_more, b_end) = self.spelled
-        spelled[np.arange(len(a)) + (until_b - in_b)[group_a]] = np.where(last_a, a_end[a], a_more[a])
-        spelled[np.arange(len(b)) + until_a[group_b]] = np.where(last_b, b_end[b], b_more[b])
+        for ids, until, place, (more, end) in ((a, until_a, np.arange(len(a)) + (until_b - in_b)[group_a], self.spelled[0]),
+                                               (b, until_b, np.arange(len(b)) + until_a[group_b], self.spelled[1])):
+            spelled[place] = more[ids]
+            spelled[place[until - 1]] = end[ids[until - 1]]
         spelled = spelled.tolist()
         to_b = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(words)))
         to_a = np.searchsorted(ends_a, ends_b[to_b - 1]) + 1
@@ -267,7 +267,7 @@ class Sums(NamedTuple):
     times: np.ndarray
 
 
-def add_words(texts: list[list[str]], known: dict[str, Word]) -> Sums:
+def add_words(texts: list[list[str]], known: dict[str, Word], size_b: int) -> Sums:
     """The words of every text put together; texts with a word that has no tokens have none."""
     names = list(known)
     place = {w: i for i, w in enumerate(names)}
@@ -286,16 +286,18 @@ def add_words(texts: list[list[str]], known: dict[str, Word]) -> Sums:
     # the links of each distinct word of a text, then those of equal pairs put together
     key, times = np.unique(doc * len(names) + word, return_counts=True)
     doc, word = np.divmod(key, max(1, len(names)))
-    pair_names, pairs = np.unique(np.frombuffer(b"".join([w.links for w in held]), np.int64), return_inverse=True)
+    pairs = np.frombuffer(b"".join([w.links for w in held]), np.int64)
+    all_pairs = int(pairs.max(initial=0)) + 1
     each = n_links[word]
     at = np.arange(int(each.sum())) + np.repeat((np.cumsum(n_links) - n_links)[word] - (np.cumsum(each) - each), each)
-    key = np.repeat(doc, each) * max(1, len(pair_names)) + pairs[at]
+    key = np.repeat(doc, each) * all_pairs + pairs[at]
     order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
     times = np.add.reduceat(np.repeat(times, each)[order], first) if len(first) else np.zeros(0, np.int64)
-    doc, pair = np.divmod(key[first], max(1, len(pair_names)))
-    return Sums(valid, *whole, groups, np.searchsorted(doc, np.arange(len(texts)), side="right"), pair_names[pair], times)
+    doc, pair = np.divmod(key[first], all_pairs)
+    pairs = (pair // size_b) << 32 | pair % size_b
+    return Sums(valid, *whole, groups, np.searchsorted(doc, np.arange(len(texts)), side="right"), pairs, times)
 
 
 _LOADED: dict[str, Aligner] = {}
@@ -332,9 +334,9 @@ def _whole_texts(vocabularies: Vocabularies):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, part, number = vocabularies.aligner(), TaskContext.get().partitionId(), 0
         for block in slices(batches, BLOCK_ROWS, 1):
-            for batch in slices([block], 500, 1, 2):
+            for batch in slices([block], 1000, 1, 4):
                 cut = [words_of(t) if t else [] for t in text_arrow(batch.column(1)).to_pylist()]
-                found = add_words(cut, aligner.words(set().union(*cut)))
+                found = add_words(cut, aligner.words(set().union(*cut)), len(aligner.b_raw))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), *map(pa.array, found[1:5]), pa.array(found.groups, pa.string()),
                      _lists(found.ends, found.pairs, pa.int64()), _lists(found.ends, found.times, pa.int32()),
@@ -389,7 +391,7 @@ def range_fragment(aligner: Aligner, a_start: int, a_text: str, b_start: int, b_
     out = fragment(a, b)
     if not (valid_a and valid_b and out.cut):
         return out, 0, 0, False
-    more = add_words([rest], aligner.words(set(rest)))
+    more = add_words([rest], aligner.words(set(rest)), len(aligner.b_raw))
     out.groups += [g for g in more.groups if g]
     out.links.update(dict(zip(more.pairs.tolist(), more.times.tolist())))
     out.n_groups, out.n_links = out.n_groups + int(more.n_groups[0]), out.n_links + int(more.n_links[0])
@@ -437,29 +439,30 @@ def _leaves(vocabularies: Vocabularies):
     return run
 
 
-def _node(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Composes the neighbouring fragments of one node of a text's tree."""
-    rows = sorted(table.drop_columns(["node"]).to_pylist(), key=lambda r: r["number"])
+def _composed(table: pa.Table) -> tuple[dict, Fragment, int, int, bool]:
+    """The first row of a node, and what its fragments are together."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["number"])
     whole = _of_row(rows[0])
     for row in rows[1:]:
         whole = compose(whole, _of_row(row))
-    sums = [sum(r[c] for r in rows) for c in ("n_a", "n_b")]
-    row = {"key": rows[0]["key"], "doc_id": rows[0]["doc_id"]} | _row(key[1].as_py(), whole, *sums, all(r["valid"] for r in rows))
+    return rows[0], whole, sum(r["n_a"] for r in rows), sum(r["n_b"] for r in rows), all(r["valid"] for r in rows)
+
+
+def _node(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Composes the neighbouring fragments of one node of a text's tree."""
+    first, *whole = _composed(table)
+    row = {"key": first["key"], "doc_id": first["doc_id"]} | _row(key[1].as_py(), *whole)
     return _arrow(_fragment_schema(table.schema.field("doc_id").type), [row])
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 16):
-        rows = []
-        for r in batch.to_pylist():
-            whole = finish(_of_row(r))
-            if not r["valid"]:
-                whole, r["n_a"], r["n_b"] = Fragment(), 0, 0
-            rows.append(dict(doc_id=r["doc_id"], n_a=r["n_a"], n_b=r["n_b"], n_groups=whole.n_groups, n_links=whole.n_links,
-                             groups=";".join(whole.groups), pairs=list(whole.links), times=list(whole.links.values()), block=-1 - r["key"]))
-        schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), *[(n, pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")],
-                            ("groups", pa.string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("block", pa.int64())])
-        yield from _arrow(schema, rows).combine_chunks().to_batches()
+def _root(table: pa.Table) -> pa.Table:
+    """Composes the last fragments of a text and finishes it."""
+    first, whole, n_a, n_b, valid = _composed(table)
+    whole = finish(whole) if valid else Fragment()
+    row = dict(doc_id=first["doc_id"], n_a=n_a * valid, n_b=n_b * valid, n_groups=whole.n_groups, n_links=whole.n_links,
+               groups=";".join(whole.groups), pairs=list(whole.links), times=list(whole.links.values()), block=-1 - first["key"])
+    return _arrow(pa.schema([("doc_id", table.schema.field("doc_id").type), *[(n, pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")],
+                             ("groups", pa.string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("block", pa.int64())]), [row])
 
 
 def _long_texts(docs: DataFrame, vocabularies: Vocabularies, chunk: int, kind: str) -> DataFrame:
@@ -469,11 +472,10 @@ def _long_texts(docs: DataFrame, vocabularies: Vocabularies, chunk: int, kind: s
     most = ranges.agg(F.max("number").alias("n")).first().n or 0
     schema = f"key long, doc_id {kind}, {_FRAGMENT}"
     found = ranges.repartition("key", "number").mapInArrow(_leaves(vocabularies), schema)
-    while most:
-        node = F.floor(F.col("number") / FAN).alias("node")
-        found = found.withColumn("node", node).groupBy("key", "node").applyInArrow(_node, schema)
+    while most >= FAN:
+        found = found.groupBy("key", F.floor(F.col("number") / FAN)).applyInArrow(_node, schema)
         most //= FAN
-    return found.mapInArrow(_roots, f"doc_id {kind}, {_RESULT}, block long")
+    return found.groupBy("key").applyInArrow(_root, f"doc_id {kind}, {_RESULT}, block long")
 
 
 def align(docs: DataFrame, vocabularies: Vocabularies, chunk: int = CHUNK) -> DataFrame:
