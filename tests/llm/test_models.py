@@ -121,6 +121,40 @@ def test_long_lattices_are_read_in_pieces(lexicon, monkeypatch):
     assert toxicity.total_evidence("idiot idiot! (idiot", lexicon) == 5
 
 
+def test_short_tokens_and_doubled_letters_are_read():
+    counts = Counter(f"^^{w}$"[i:i + 3] for w in ["ass", "die", "idiot", "das", "dot", "glass", "better", "letter"] * 50 for i in range(len(w) + 1))
+    model = toxicity.Model({"=ass": 5.0, "=die": 5.0, "=idiot": 5.0, "idio": 4.0}, dict(counts), 1.0, -3.0).prepare()
+    for text in ["ass", "a$$", "@ss", "die", "d!e", "d1e", "(d!e)", "iddiott", "iiddiioott", "iddi0t"]:
+        assert toxicity.total_evidence(text, model) >= 4, text
+    for text in ["glass", "better", "letter", "as", "dot", "$", "1", "a1"]:
+        assert toxicity.total_evidence(text, model) == 0, text
+
+
+def test_tokens_that_are_not_read_have_no_evidence(lexicon, chance):
+    """The shortcut against reading every token."""
+    letters, marks = "idotmrnlsex", "10!@$-.3"
+    tokens = {"".join(chance.choice(letters + (marks if chance.random() < 0.5 else letters)) for _ in range(chance.randint(1, 9))) for _ in range(3000)}
+    tokens |= {w[:k] + c * chance.randint(1, 3) + w[k:] for w in ("idiot", "moron", "loser", "1d1ot", "m0ron", "l0$er") for k in range(6) for c in letters + marks}
+    for token in tokens:
+        words = {core} if (core := token.strip(toxicity.PUNCTUATION)) else set()
+        words |= {toxicity.read_token(f, lexicon) for f in {core, token.strip(toxicity.MARKS)} if toxicity.suspicious(f)}
+        want = max((lexicon.features.get(f, 0.0) for w in words for f in toxicity.features_of(w)), default=0.0)
+        assert toxicity.evidence(token, lexicon) == want, token
+
+
+def test_all_strong_features_are_kept(spark, documents):
+    """As many as there are, with the statistic of the driver's own formula."""
+    rows = [(i, " ".join([f"bad{i % 40}x", f"common{i % 7}"] if i % 2 else [f"good{i % 40}x", f"common{i % 7}"])) for i in range(4000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, toxic int")
+    model = toxicity.learn(documents(rows), labels)
+    assert {f"=bad{i}x" for i in range(1, 40, 2)} <= set(model.features) and not any("good" in f or "common" in f for f in model.features)
+    frame = spark.createDataFrame([(9, 1), (3, 0), (100, 90), (40, 2)], "a long, b long")
+    got = [r.g for r in frame.select(toxicity.gain(F.col("a"), F.col("b"), 300, 500).alias("g")).collect()]
+    for (a, b), g in zip([(9, 1), (3, 0), (100, 90), (40, 2)], got):
+        p = 300 / 800
+        assert g == pytest.approx(2 * (a * np.log(a / ((a + b) * p)) + (b * np.log(b / ((a + b) * (1 - p))) if b else 0)))
+
+
 def test_toxicity_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     labels = spark.read.parquet(f"{DATA}/sf0.01/labels.parquet")

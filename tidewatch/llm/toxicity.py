@@ -1,7 +1,7 @@
 """Toxicity scores of texts read through a noisy channel.
 
 Writers hide words by leetspeak (``1d10t``), spacing (``i d i o t``, ``i.d.i.o.t``) and repetition
-(``idiooot``). A token that shows such marks becomes a lattice: every observed character may stand for
+(``idiooot``, ``iddiot``). A token of any length that shows such marks becomes a lattice: every observed character may stand for
 its letters, marks between letters for nothing, and a run for one or two letters, at a price. Viterbi
 search under a trigram language model of letters finds the cheapest reading (states are the last two
 letters, so the search is exact), and the reading is scored beside the token itself. Marks at a token's
@@ -14,8 +14,8 @@ the lower bound of their log odds; a document has the sum over its distinct toke
 evidence, turned into a probability by a logistic curve fitted on documents not used for that evidence.
 
 Evidence and curve are learned from at most about ``sample`` documents of each label, chosen by a hash of
-the id; the model keeps at most ``MODEL_FEATURES`` features, the strongest ones. The language model counts
-the trigrams of all rows, labelled or not, and keeps all of them.
+the id; the model keeps all features whose likelihood ratio statistic is at least ``MIN_GAIN``. The language
+model counts the trigrams of all rows, labelled or not, and keeps all of them.
 
 Defined results: null and empty texts have no evidence and get the curve's value at zero; with no
 learning documents of one of the labels every score is 0.5; repeated labels count once (toxic if any
@@ -40,7 +40,6 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import settle, slices, text_arrow
 
 SAMPLE = 10_000
-MODEL_FEATURES = 50_000
 MIN_GAIN = 16.0  # likelihood ratio statistic of a feature
 CUT = 0.7
 SATURATION = 12.0
@@ -54,12 +53,19 @@ SUBSTITUTE, SKIP, COLLAPSE = 0.7, 0.5, 0.3
 JOINS = (0.5, 1.5, 3.0)  # prices of a skipped white space; spaced pieces are read at each of them
 MARKS = "".join(c for c in PUNCTUATION if c not in LEET)  # stand for nothing, so none is needed at the ends
 _PIECE = re.compile(r"(\S)\1*+[^\w\s]*+|\S\S")  # one character with repetitions and marks, or any two
+_DOUBLE = re.compile(r"(.)\1")
 _TRIPLE = re.compile(r"(.)\1\1")
+_RUN = re.compile(r"(.)\1+")
 _CACHE = 300_000
 _AGREE = 64  # letters gathered before those that all paths share are written out
 _REMEMBER = 128  # longer tokens hardly come again
 
 
+def single(form: str) -> str:
+    """Every run of a character as one."""
+    return _RUN.sub(r"\1", form)
+
+
 @dataclass
 class Model:
     features: dict[str, float] = field(default_factory=dict)
@@ -78,8 +84,29 @@ class Model:
             self.ones[t[0]] += n
             middle[t[1:]] += n
         self.suffix_pairs, self.letters = middle, max(2, len(self.ones))
+        bare = {single(f) for f in self.features}
+        self.heads = {f.lstrip("=")[:1] for f in bare}
+        self.whole, self.parts = {f[1:] for f in bare if f[0] == "="}, {f for f in bare if f[0] != "="}
         return self
 
+    def may_hold(self, form: str) -> bool:
+        """False only if no reading of a token has a feature, so that it need not be read.
+
+        Readings of letters differ in the length of runs; others begin with a letter that one of the first
+        characters, up to the first letter itself, may stand for.
+        """
+        if form.isalpha():
+            if form[0] not in self.heads:
+                return False
+            bare = single(form)
+            return bare in self.whole or any(bare[:n] in self.parts for n in range(1, 7))
+        for char in form:
+            if char.isalpha():
+                return char in self.heads
+            if any(x in self.heads for x in LEET.get(char, "")):
+                return True
+        return False
+
     def log_p(self, before: str, letter: str) -> float:
         if (value := self.logs.get(before + letter)) is not None:
             return value
@@ -131,7 +158,10 @@ def read_token(token: str, model: Model, join: float = SKIP) -> str:
 
 
 def suspicious(core: str) -> bool:
-    return len(core) > 3 and (not core.isalpha() or bool(_TRIPLE.search(core))) and any(c.isalpha() for c in core)
+    """Whether a token may be read otherwise than it stands: marks, digits and repeated letters beside letters."""
+    if core.isalpha():
+        return _DOUBLE.search(core) is not None
+    return any(c.isalpha() for c in core)
 
 
 def features_of(word: str) -> list[str]:
@@ -173,10 +203,13 @@ def evidence(token: str, model: Model) -> float:
     """Of a token as it stands: the strongest of its forms without marks at the ends and with those that may be letters."""
     if (value := model.known.get(token)) is not None:
         return value
-    words = {core} if (core := token.strip(PUNCTUATION)) else set()
+    words, core = set(), token.strip(PUNCTUATION)
     for form in {core, token.strip(MARKS)}:
-        if suspicious(form):
-            words.add(read_token(form, model))
+        if form and model.may_hold(form):
+            if form == core:
+                words.add(core)
+            if suspicious(form):
+                words.add(read_token(form, model))
     return _remember(token, words, model)
 
 
@@ -267,6 +300,13 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def gain(a: Column, b: Column, toxic: int, clean: int) -> Column:
+    """Likelihood ratio statistic of a feature in ``a`` toxic and ``b`` clean documents of all of them."""
+    share, n = toxic / max(1, toxic + clean), a + b
+    part = lambda x, p: F.when((x > 0) & F.lit(p > 0), x * F.log(x / (n * F.lit(p or 1.0)))).otherwise(0.0)
+    return 2 * (part(a, share) + part(b, 1 - share))
+
+
 def _strength(a: int, b: int, toxic: int, clean: int) -> float:
     """Lower bound of the log odds of a feature, 0 if it is too weak."""
     lift = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
@@ -318,8 +358,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     trigrams = {r.key: r.n for r in docs.select("text").mapInArrow(_trigrams, "key string, n long").groupBy("key").agg(
         F.sum("n").alias("n")).collect()}
     share = (F.col("c1") + F.col("c3")) / both  # only features toxic documents have more often
-    rows = counted.where(share > (each[1] + each[3]) / max(1, sum(each))).orderBy(
-        F.desc(F.col("c1") + F.col("c3") - F.col("c0") - F.col("c2")), "key").limit(MODEL_FEATURES).collect()
+    # what neither the first fold nor both folds make strong enough; the sample bounds what is left
+    strong = (gain(F.col("c1"), F.col("c0"), each[1], each[0]) >= MIN_GAIN - 1e-6) | (
+        gain(F.col("c1") + F.col("c3"), F.col("c0") + F.col("c2"), each[1] + each[3], each[0] + each[2]) >= MIN_GAIN - 1e-6)
+    rows = counted.where((share > (each[1] + each[3]) / max(1, sum(each))) & strong).orderBy("key").collect()
 
     def strengths(count, toxic, clean):
         found = ((r.key, _strength(*count(r), toxic, clean)) for r in rows)
