@@ -114,6 +114,40 @@ def test_alert_stream_delivers_once_and_throttles(spark, tmp_path):
     assert got.groupBy("user_id").count().first()["count"] == 10
 
 
+def test_alert_state_does_not_grow_over_the_hours(spark, tmp_path):
+    """Ten anomalies an hour for six days; ids are remembered for a day behind the watermark, only two hours of alerts are read."""
+    schema = "anomaly_id long, severity double, detected_at long, summary string, cluster_name string, catalyst_type string, platform string, headline string"
+    hour = 3_600_000
+    users = spark.createDataFrame([("u", [], [], True, False)], schemas.USERS)
+    (tmp_path / "in").mkdir()
+    src = sources.table_files(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 1)
+    root, held = str(tmp_path / "alerts"), []
+    for step, hours in enumerate((range(0, 48), range(48, 72), range(72, 96), range(96, 120), range(120, 144))):
+        # in each part the hours of a day, then the first of them again
+        ids = [(h * 10 + i, 0.5, h * hour + i, f"s{h}", None, None, None, None) for h in hours for i in range(10)]
+        spark.createDataFrame(ids + ids[-20:], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{step}"))
+        spark.createDataFrame(ids[-10:], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{step}again"))
+        query = sa.start_alerts(src, users, root, str(tmp_path / "cp"), lambda h=hours[-1]: h * hour + 1, ONCE)
+        finish(query)
+        held.append(query.lastProgress.stateOperators[0].numRowsTotal)
+    assert max(held) <= 3 * 24 * 10 and held[-1] <= held[-2] <= held[-3]
+    got = spark.read.parquet(root)
+    assert {r.hour for r in got.select("hour").distinct().collect()} == {47, 71, 95, 119, 143}
+    assert got.count() == 50 and got.select("anomaly_id").distinct().count() == 50
+    # the hour before counts against the limit, older ones do not
+    assert sa.sent_lately(spark, root, 10**6, 144 * hour).count() == 10 and sa.sent_lately(spark, root, 10**6, 146 * hour).count() == 0
+
+
+def test_an_alert_batch_that_broke_off_is_replaced(spark, tmp_path):
+    schema = "anomaly_id long, severity double, detected_at long, summary string, cluster_name string, catalyst_type string, platform string, headline string"
+    feed = spark.createDataFrame([(1, 0.5, 1, "s", None, None, None, None)], schema)
+    users = spark.createDataFrame([("u", [], [], True, False)], schemas.USERS)
+    for now in (3_599_999, 3_600_001):
+        sa.alert_batch(feed, 4, users, str(tmp_path), now)
+    got = spark.read.parquet(str(tmp_path)).collect()
+    assert [(r.anomaly_id, r.hour, r.batch) for r in got] == [(1, 1, 4)]
+
+
 def small_world(rows, now):
     price = [dict(market_id=i, new_value=v, timestamp=now - ago) for i in (1, 2, 3, 4) for v, ago in ((0.50, 20 * MIN), (0.50, 4 * MIN), (0.80, 2 * MIN))]
     mk = rows.markets(*[dict(id=i, external_id=f"BTC-{i}", platform="kalshi" if i % 2 else "polymarket", title=f"price of BTC {i}", yes_price=0.5) for i in (1, 2, 3, 4)])
