@@ -104,7 +104,8 @@ def test_series_pattern(rows):
     r = found.collect()
     assert len(r) == 1 and r[0].direction == "up" and r[0].movers == 5 and r[0].market_count == 5
     assert r[0].summary == "Series BTC: 5/5 markets moved up by avg 10.0% in 30min"
-    assert json.loads(r[0].metadata)["tickers"] == [f"BTC-{i}" for i in range(1, 6)]
+    assert json.loads(r[0].metadata)["series_prefix"] == "BTC"
+    assert sorted(map(tuple, k.series_tickers(found, moves).collect())) == [(r[0].id, f"BTC-{i}") for i in range(1, 6)]
     links = k.series_links(found, moves).collect()
     assert len(links) == 5 and links[0].price_delta == pytest.approx(0.10)
     stored = rows.anomalies(dict(id=r[0].id, anomaly_type="cluster", detected_at=NOW, metadata=r[0].metadata))

@@ -395,7 +395,10 @@ def series_anomalies(
     min_movers: int = fv.SERIES_MIN_MOVERS,
     threshold: float = fv.SERIES_PRICE_THRESHOLD,
 ) -> DataFrame:
-    """Series in which enough markets moved the same way; severity is not rounded."""
+    """Series in which enough markets moved the same way; severity is not rounded.
+
+    The markets that moved are rows (:func:`series_links`, :func:`series_tickers`), not a list in a text.
+    """
     change = F.col("change_pct")
     up, down = change >= threshold, change <= -threshold
     per_series = moves.groupBy("series_prefix").agg(
@@ -423,18 +426,12 @@ def series_anomalies(
         .distinct()
     )
     fresh = picked.join(emitted, "series_prefix", "left_anti")
-    tickers = (
-        series_movers(moves, threshold)
-        .groupBy("series_prefix", "direction")
-        .agg(F.sort_array(F.collect_list(F.struct("market_id", "external_id"))).alias("t"))
-        .select("series_prefix", "direction", F.col("t.external_id").alias("tickers"))
-    )
     avg, movers, total = F.col("avg_change_pct"), F.col("movers"), F.col("total_markets")
     severity = F.least(
         F.lit(1.0),
         movers / total * 0.5 + F.least(F.lit(1.0), F.log1p(avg * 100) / 4.0) * 0.5,
     )
-    return fresh.join(tickers, ["series_prefix", "direction"], "left").select(
+    return fresh.select(
         hashed_id("series", F.col("series_prefix"), F.lit(now_ms)).alias("id"),
         F.lit("cluster").alias("anomaly_type"),
         severity.alias("severity"),
@@ -451,7 +448,7 @@ def series_anomalies(
         F.to_json(
             F.struct(
                 F.lit("series_pattern").alias("source"), "series_prefix", "direction", "movers",
-                "total_markets", round_exact(avg, 4).alias("avg_change_pct"), "tickers",
+                "total_markets", round_exact(avg, 4).alias("avg_change_pct"),
             )
         ).alias("metadata"),
         "series_prefix",
@@ -481,6 +478,14 @@ def series_links(
     )
 
 
+def series_tickers(
+    found: DataFrame, moves: DataFrame, threshold: float = fv.SERIES_PRICE_THRESHOLD
+) -> DataFrame:
+    """(anomaly_id, external_id) of the markets that moved with a series anomaly."""
+    hit = found.select(F.col("id").alias("anomaly_id"), "series_prefix", "direction")
+    return series_movers(moves, threshold).join(hit, ["series_prefix", "direction"]).select("anomaly_id", "external_id")
+
+
 def trending_topics(
     clusters: DataFrame, memberships: DataFrame, links: DataFrame, anomalies: DataFrame
 ) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -94,8 +93,9 @@ def active_at_cursors(events: DataFrame, first: int, last: int, step: int) -> Da
 def suppress(candidates: DataFrame, expiry_ms: int | None = None) -> DataFrame:
     """Candidates that would be stored: an active anomaly blocks its market until it expires.
 
-    Without expiry only the first candidate of a market counts. With expiry each market's few
-    candidates (at most one per cursor) are walked in time order, markets in parallel.
+    Without expiry only the first candidate of a market counts. With expiry a market's candidates, at most
+    one per cursor, are folded in order of time; the fold holds those kept and the time up to which
+    the market is blocked.
     """
     rest = [c for c in candidates.columns if c != "market_id"]
     if expiry_ms is None:
@@ -105,17 +105,18 @@ def suppress(candidates: DataFrame, expiry_ms: int | None = None) -> DataFrame:
             .select("market_id", "c.*")
         )
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("cursor_ms")
-        kept, blocked_until = [], None
-        for at in group["cursor_ms"]:
-            free = blocked_until is None or at > blocked_until
-            kept.append(free)
-            if free:
-                blocked_until = at + expiry_ms
-        return group[kept]
-
-    return candidates.groupBy("market_id").applyInPandas(walk, candidates.schema)
+    others = [c for c in rest if c != "cursor_ms"]
+    in_order = candidates.groupBy("market_id").agg(F.sort_array(F.collect_list(F.struct("cursor_ms", *others))).alias("all"))
+    kind = in_order.schema["all"].dataType.simpleString()
+    start = F.struct(F.array().cast(kind).alias("kept"), F.lit(None).cast("long").alias("until"))
+
+    def step(held, c):
+        blocked = F.coalesce(c["cursor_ms"] <= held["until"], F.lit(False))
+        taken = F.struct(F.concat(held["kept"], F.array(c)).alias("kept"), (c["cursor_ms"] + expiry_ms).alias("until"))
+        return F.when(blocked, held).otherwise(taken)
+
+    kept = in_order.select("market_id", F.explode(F.aggregate("all", start, step, lambda held: held["kept"])).alias("c"))
+    return kept.select("market_id", "c.*").select(candidates.columns)
 
 
 def backtest_report(

@@ -142,13 +142,20 @@ def _moves(v):
     return k.series_moves(v.events, v.markets, v.now, v.now - 5 * DAY, SERIES_MIN)
 
 
+def _with_tickers(found, moves):
+    """The rows of the markets that moved, put together for the comparison."""
+    rows = k.series_tickers(found, moves).join(moves.select("external_id", "market_id"), "external_id")
+    named = rows.groupBy("anomaly_id").agg(F.sort_array(F.collect_list(F.struct("market_id", "external_id"))).alias("t"))
+    return found.join(named, found["id"] == named["anomaly_id"], "left").select(
+        "series_prefix", "direction", "movers", "total_markets", "avg_change_pct", "severity", "market_count",
+        F.array_join("t.external_id", " ").alias("tickers"),
+    )
+
+
 register("series_moves", _moves, f"WITH {MOVES_SQL} SELECT * FROM mv", "change_pct")
 register(
     "series_anomalies",
-    lambda v: k.series_anomalies(_moves(v), v.anomalies, v.now, SERIES_MIN, min_movers=2).select(
-        "series_prefix", "direction", "movers", "total_markets", "avg_change_pct", "severity", "market_count",
-        F.array_join(F.from_json(F.get_json_object("metadata", "$.tickers"), "array<string>"), " ").alias("tickers"),
-    ),
+    lambda v: _with_tickers(k.series_anomalies(_moves(v), v.anomalies, v.now, SERIES_MIN, min_movers=2), _moves(v)),
     f"""WITH {MOVES_SQL},
        s AS (SELECT series_prefix, count(*) AS total_markets, count(*) FILTER (WHERE change_pct >= 0.03) AS un,
            count(*) FILTER (WHERE change_pct <= -0.03) AS dn, avg(change_pct) FILTER (WHERE change_pct >= 0.03) AS ua,
