@@ -92,9 +92,25 @@ def test_stream_discovery_equals_batch(rows, spark, tmp_path):
         snaps(spark, *part).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     src = sources.table_files(spark, str(tmp_path / "in"), schemas.SNAPSHOTS, 1)
     out = str(tmp_path / "out")
-    finish(sd.stream_discovery_events(src, mk).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
-           .outputMode("append").trigger(**ONCE).start())
-    assert shown(spark.read.parquet(out)) == sorted(DISCOVERED, key=str)
+    finish(sd.start_discovery(src, mk, out, str(tmp_path / "cp"), 2, ONCE))
+    assert shown(spark.read.parquet(f"{out}/events").drop("batch")) == sorted(DISCOVERED, key=str)
+
+
+def test_discovery_batches_rewrite_touched_buckets_only(rows, spark, tmp_path):
+    """Many markets over four batches, one of them run twice: events as of all snapshots at once."""
+    mk = rows.markets(*[dict(id=i, external_id=f"M{i}") for i in range(40)])
+    polls = [[(f"M{i}", None if (i + n) % 7 == 0 else (i * n % 5) / 10, n) for i in some] for n, some in enumerate(([*range(40)], [3, 4], [*range(0, 40, 2)], [5]))]
+    made = [spark.createDataFrame([("kalshi", x, x, "t", None, p, 1000 * n) for x, p, n in poll],
+                                  "platform string, external_id string, title string, description string, category string, yes_price double, snapshot_ts long")
+            for poll in polls]
+    out = str(tmp_path)
+    for n in (0, 1, 2, 2, 3):
+        sd.discover_batch(made[n], n, mk, out, 8)
+    every = made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+    assert shown(spark.read.parquet(f"{out}/events").drop("batch")) == shown(m.discovery_change_events(every, mk))
+    assert len(list((tmp_path / "last_prices/batch=3").glob("bucket=*"))) == 1
+    last = {r.market_id: r.yes_price for r in sd.last_prices(spark, f"{out}/last_prices", 4).collect()}
+    assert last == {int(x[1:]): p for poll in polls for x, p, _ in poll}
 
 
 def test_alert_stream_delivers_once_and_throttles(spark, tmp_path):

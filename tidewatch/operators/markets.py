@@ -196,6 +196,15 @@ def recently_active_markets(events: DataFrame, since_ms: int) -> DataFrame:
     return events.filter(F.col("timestamp") >= since_ms).select("market_id").distinct()
 
 
+def price_steps(snapshots: DataFrame, markets: DataFrame, chunk_ms: int = 86_400_000) -> DataFrame:
+    """Snapshots of known active markets with the price before (``last_price``; ``has_last_price`` is false for the first)."""
+    known = markets.filter("is_active").select(*NATURAL_KEY, F.col("id").alias("market_id"))
+    return previous_by_chunk(
+        snapshots.join(known, NATURAL_KEY, "inner"),
+        ["market_id"], "snapshot_ts", "external_id", "yes_price", chunk_ms, "last_price",
+    )
+
+
 def discovery_change_events(
     snapshots: DataFrame, markets: DataFrame, chunk_ms: int = 86_400_000
 ) -> DataFrame:
@@ -204,11 +213,11 @@ def discovery_change_events(
     First price of a market (or first after an empty one): new_market plus a first_seen
     price_change. Later a price_change whenever the price differs from the previous snapshot.
     """
-    known = markets.filter("is_active").select(*NATURAL_KEY, F.col("id").alias("market_id"))
-    steps = previous_by_chunk(
-        snapshots.join(known, NATURAL_KEY, "inner"),
-        ["market_id"], "snapshot_ts", "external_id", "yes_price", chunk_ms, "last_price",
-    )
+    return price_change_events(price_steps(snapshots, markets, chunk_ms))
+
+
+def price_change_events(steps: DataFrame) -> DataFrame:
+    """The events of snapshots that know the price before them."""
     price, last = F.col("yes_price"), F.col("last_price")
     title_doc = F.to_json(F.struct("title", "category"), {"ignoreNullFields": "false"})
 
