@@ -2,6 +2,7 @@
 
 import dataclasses
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -66,6 +67,34 @@ def test_late_rows_are_brought_into_the_bars(rows, spark, tmp_path):
         assert sorted(got.drop("created_at").select(want[0].__fields__).collect()) == want
 
 
+def test_late_rows_change_their_bars_by_themselves(rows, spark, tmp_path):
+    """Rows of any age and order over many batches; bars are those of all rows at once, before and after folding."""
+    chance = random.Random(8)
+    made = [dict(id=i, market_id=i % 4, event_type=("price_change", "trade", "volume_update")[i % 7 % 3], new_value=chance.randrange(0, 50) / 10,
+                 timestamp=chance.randrange(0, 3 * 86_400_000, 20_000)) for i in range(1, 300)]
+    for n in range(3):
+        rows.events(*made[n * 70:(n + 1) * 70]).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    src = sources.table_files(spark, str(tmp_path / "in"), schemas.EVENTS, 1)
+    root, now = str(tmp_path / "bars"), 10**9
+
+    def bars(frame):
+        return sorted(map(tuple, frame.drop("created_at").collect()))
+
+    finish(sc.start_bars(src, root, str(tmp_path / "cp"), ONCE))
+    assert bars(sc.read_bars(spark, root, now)) == bars(c.minute_candles(rows.events(*made[:210]), now))
+    assert len(sc.fold_bars(spark, root).folders) == 3
+    # the rest are late for every market
+    rows.events(*made[210:]).coalesce(1).write.parquet(str(tmp_path / "in/3"))
+    finish(sc.start_bars(src, root, str(tmp_path / "cp"), ONCE))
+    want = bars(c.minute_candles(rows.events(*made), now))
+    assert bars(sc.read_bars(spark, root, now)) == want and len(want) > 100
+    sc.bars_batch(rows.events(*made[210:]), 3, root)  # delivered again
+    assert len(sc.fold_bars(spark, root).folders) == 3 and bars(sc.read_bars(spark, root, now)) == want
+    since = 2 * 86_400_000
+    assert bars(sc.read_bars(spark, root, now, since)) == [b for b in want if b[2] >= since]
+    assert sc.read_bars(spark, str(tmp_path / "none"), now).count() == 0
+
+
 def test_ingest_stream(rows, spark, tmp_path):
     msgs = [("kalshi", json.dumps({"type": "ticker", "msg": {"market_ticker": "A", "yes_ask_dollars": p}}), t) for p, t in (("0.40", 1), ("0.70", 3), ("0.60", 2))]
     msgs += [("kalshi", json.dumps({"type": "market_lifecycle", "msg": {"market_ticker": "B", "status": "settled"}}), 4),

@@ -97,6 +97,47 @@ def minute_candles(events: DataFrame, now_ms: int) -> DataFrame:
     )
 
 
+def partial_bars(events: DataFrame) -> DataFrame:
+    """One-minute bars of some of the events, in a form that can be put together with those of others.
+
+    ``first`` and ``last`` are (time, id, price) of the first and last price.
+    """
+    open_ts = (F.floor(F.col("timestamp") / F.lit(MINUTE_MS)) * MINUTE_MS).cast("long")
+    point = F.when(_is_price(), F.struct(F.col("timestamp").alias("at"), F.col("id"), F.col("new_value").alias("price")))
+    price, is_trade = F.when(_is_price(), F.col("new_value")), F.col("event_type") == "trade"
+    return (
+        events.filter(F.col("event_type").isin("price_change", "trade"))
+        .groupBy("market_id", open_ts.alias("open_ts"))
+        .agg(
+            F.min(point).alias("first"), F.max(point).alias("last"), F.max(price).alias("high"), F.min(price).alias("low"),
+            F.coalesce(F.sum(F.when(is_trade, F.col("new_value").cast("long"))), F.lit(0)).cast("long").alias("volume"),
+            F.count_if(is_trade).alias("trade_count"),
+        )
+    )
+
+
+def joined_bars(partials: DataFrame) -> DataFrame:
+    """Partial bars of the same minute put together; the order in which they came does not matter."""
+    return partials.groupBy("market_id", "open_ts").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.sum("volume").alias("volume"), F.sum("trade_count").alias("trade_count"),
+    )
+
+
+def bars_of_partials(partials: DataFrame, now_ms: int) -> DataFrame:
+    """Completed one-minute bars, as :func:`minute_candles` makes them of all events at once."""
+    done = partials.filter(F.col("open_ts") < now_ms - now_ms % MINUTE_MS)
+    return joined_bars(done).filter(F.col("first").isNotNull()).select(
+        "market_id",
+        F.lit("1m").alias("interval"),
+        "open_ts",
+        (F.col("open_ts") + MINUTE_MS).alias("close_ts"),
+        F.col("first.price").alias("open"), "high", "low", F.col("last.price").alias("close"), "volume",
+        F.col("trade_count").cast("int").alias("trade_count"),
+        F.lit(now_ms).cast("long").alias("created_at"),
+    )
+
+
 def merge_candles(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Upsert bars: the open stays, high/low widen, the rest is replaced."""
 

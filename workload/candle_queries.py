@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tidewatch.operators import candles as c
+from tidewatch.session import shared_folder
+from tidewatch.streaming import candles as live
 from workload.registry import register
 
 DAY = 86_400_000
@@ -112,3 +114,16 @@ register(
         FROM ({ohlcv_sql(86_400_000, "now - 2592000000")}) WHERE time > 0""",
     "open high low close volume",
 )
+
+
+def _live_bars(v):
+    """The log dealt to five batches out of order, their bars put together in part, and read."""
+    root = shared_folder(v.spark, "bars")
+    for batch in range(5):
+        live.bars_batch(v.events.filter(F.col("id") * 7 % 5 == batch), batch, root)
+        if batch == 3:
+            live.fold_bars(v.spark, root)
+    return live.read_bars(v.spark, root, v.now)
+
+
+register("live_candles", _live_bars, MINUTE_SQL, "open high low close")
