@@ -1,5 +1,6 @@
 """Feed normalizers and the market dimension."""
 
+import html
 import json
 import random
 
@@ -252,3 +253,14 @@ def test_exact_mean_of_ties(spark):
 def test_character_references(spark):
     texts = ["a &amp; b", "&lt;p&gt;&eacute;&#233;&#xE9;&#128;&bogus;&", "&#0;&#55296;&#1114112;", "plain", None, "&hellip;&nbsp;x"]
     assert values(spark, texts, unescaped) == ["a & b", "<p>éé\xe9€&bogus;&".replace("\\xe9", "é"), "\ufffd\ufffd\ufffd", "plain", None, "…\xa0x"]
+
+
+def test_references_are_read_as_html_reads_them(spark):
+    """With and without a closing semicolon, against the standard library."""
+    chance = random.Random(1)
+    names = list(html.entities.html5)
+    bits = ["&amp", "&lt", "&ampx", "&notit;", "&copy2", "&#65", "&#x41;", "&#x4g", "&#0", "&#128;", "&#129", "&#1;", "&#xFFFE;", "&#99999999999999;", "&#xD800;",
+            "&", "&&", "&;", "&#;", "&#x;", " a", "b;", "<", "&unknown;", "&frac12", "&there4;x", "&#00065;", "&#x0041"]
+    texts = ["".join(chance.choice([*bits, "&" + chance.choice(names)]) for _ in range(chance.randint(0, 6))) for _ in range(1000)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", unescaped(F.col("t")).alias("u")).collect()
+    assert [(r.t, r.u) for r in got if r.u != html.unescape(r.t)] == [] and len(got) == 1000

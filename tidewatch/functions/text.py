@@ -91,28 +91,43 @@ def mean_exact(c: Column, digits: int) -> Column:
     return (low + F.when(up, 1.0).otherwise(0.0)) / float(10**digits)
 
 
-# Character names of the HTML standard (with their closing semicolon), and what numbers of the
-# Windows code page stand for.
+# Character names of the HTML standard (those that need no closing semicolon with and without it), and what
+# numbers of the Windows code page stand for.
 _CHARACTERS = json.dumps(
-    {f"&{name}": text for name, text in html.entities.html5.items() if name.endswith(";")}
+    {f"&{name}": text for name, text in html.entities.html5.items()}
     | {f"&#{n};": bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
 )
-_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_OPEN_NAMES = max(len(name) for name in html.entities.html5 if not name.endswith(";"))
 
 
 def unescaped(c: Column) -> Column:
-    """Text with its HTML character references replaced, named and numeric ones; unknown ones stay."""
+    """Text with its HTML character references replaced; a closing semicolon may lack, as in HTML.
+
+    Of a name without one the longest known beginning counts; unknown names stay. Numbers that stand for no
+    character give the replacement character, those of control characters and the like nothing.
+    """
     names = F.from_json(F.lit(_CHARACTERS), "map<string,string>")
 
     def replaced(piece: Column) -> Column:
-        code = F.coalesce(
-            F.regexp_extract(piece, "^&#([0-9]+);$", 1).try_cast("long"),
-            F.conv(F.nullif(F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]+);$", 1), F.lit("")), 16, 10).try_cast("long"),
+        number = F.regexp_extract(piece, "^&#([0-9]+);?$", 1)
+        digits = F.when(number == "", F.regexp_extract(piece, "^&#[xX]0*([0-9a-fA-F]*);?$", 1)).otherwise(F.ltrim(number, F.lit("0")))
+        is_number = piece.rlike("^&#[0-9xX]")
+        # more digits than any character has
+        value = F.when(number == "", F.conv(digits, 16, 10)).otherwise(digits)
+        code = F.when(digits == "", F.lit(0)).when(F.length(digits) > 9, F.lit(1 << 40)).otherwise(value.try_cast("long"))
+        nothing = (
+            code.between(0x1, 0x8) | code.between(0xE, 0x1F) | (code == 0xB) | (code == 0x7F) | code.between(0xFDD0, 0xFDEF)
+            | (code.bitwiseAND(0xFFFE) == 0xFFFE)
         )
         valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
-        named = F.try_element_at(names, F.when(code.isNull(), piece).otherwise(F.concat(F.lit("&#"), code, F.lit(";"))))
-        known = F.coalesce(named, F.when(code.isNotNull(), char), piece)
+        char = F.when(~valid, F.lit("\ufffd")).when(nothing, F.lit("")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        numbered = F.coalesce(F.try_element_at(names, F.concat(F.lit("&#"), code, F.lit(";"))), char)
+        beginnings = [
+            F.concat(F.try_element_at(names, F.substring(piece, 1, n + 1)), F.substring(piece, n + 2, 40)) for n in range(_OPEN_NAMES, 1, -1)
+        ]
+        named = F.coalesce(F.try_element_at(names, piece), *beginnings, piece)
+        known = F.when(is_number, numbered).otherwise(named)
         return F.when(piece.startswith("&") & (F.length(piece) > 1), known).otherwise(piece)
 
     pieces = F.regexp_extract_all(c, F.lit(f"({_REFERENCE}|[^&]+|&)"), F.lit(1))
