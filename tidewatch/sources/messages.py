@@ -28,6 +28,7 @@ _POLYMARKET_MESSAGE = (
     "market string, id string, price_changes array<struct<asset_id:string, best_bid:string,"
     "best_ask:string, price:string>>"
 )
+_MESSAGE = f"{_POLYMARKET_MESSAGE}, msg struct<{_KALSHI_BODY}>"
 
 
 ARRIVAL = ["arrival", "place"]  # a message's number, and the place of an event in it
@@ -62,12 +63,19 @@ def _event(event_type: Column, value: Column, metadata: Column) -> list[Column]:
     ]
 
 
-def normalize_kalshi_messages(raw: DataFrame) -> DataFrame:
-    """ticker / trade / market lifecycle / event lifecycle messages, one projection."""
-    parsed = with_parsed(
-        raw.filter(F.col("platform") == "kalshi"), "payload", _KALSHI_MESSAGE, "j"
+def _update(event_type: Column, asset: Column, value: Column, **doc: Column) -> Column:
+    """What a message says of one market: Kalshi's with the metadata made, Polymarket's with the asset to be looked up."""
+    none = F.lit(None).cast("string")
+    fields = {name: doc.get(name, none) for name in ("asset_id", "size", "side", "bid", "ask", "made")}
+    return F.struct(
+        event_type.cast("string").alias("event_type"), asset.alias("asset"), value.cast("double").alias("value"),
+        *[c.alias(name) for name, c in fields.items()],
     )
-    kind, m = F.col("j.type"), F.col("j.msg")
+
+
+def _kalshi_updates(j: Column) -> Column:
+    """ticker / trade / market lifecycle / event lifecycle messages."""
+    kind, m = j["type"], j["msg"]
     ticker = F.nullif(m["market_ticker"], F.lit(""))
     event_ticker = F.nullif(m["event_ticker"], F.lit(""))
     quote = first_truthy(m["yes_ask_dollars"], m["yes_bid_dollars"], m["price_dollars"])
@@ -128,32 +136,15 @@ def normalize_kalshi_messages(raw: DataFrame) -> DataFrame:
         )
     )
     usable = event_type.isNotNull() & value.isNotNull()
-    event = F.when(usable, F.array(F.struct(*_event(event_type, value, metadata))))
-    return parsed.select(F.inline(event), *_numbered(raw, F.lit(0)))
-
+    return F.when(usable, F.array(_update(event_type, F.lit(None).cast("string"), value, made=metadata)))
 
-def normalize_polymarket_messages(raw: DataFrame, tokens: DataFrame) -> DataFrame:
-    """last_trade_price / price_change / new_market messages.
 
-    Every message becomes an array of updates (one per changed asset), which is exploded once
-    and joined once with the token map; updates of unknown assets are dropped.
-    """
-    parsed = with_parsed(
-        raw.filter(F.col("platform") == "polymarket"), "payload", _POLYMARKET_MESSAGE, "j"
-    )
-    j = F.col("j")
+def _polymarket_updates(j: Column) -> Column:
+    """last_trade_price / price_change / new_market messages: one update per changed asset."""
     kind = F.coalesce(F.nullif(j["event_type"], F.lit("")), j["type"])
 
     def update(event_type, asset, value, **doc):
-        fields = {"asset_id": None, "size": None, "side": None, "bid": None, "ask": None}
-        fields.update(doc)
-        none = F.lit(None).cast("string")
-        return F.struct(
-            F.lit(event_type).alias("event_type"),
-            asset.alias("asset"),
-            value.alias("value"),
-            *[(none if c is None else c).alias(name) for name, c in fields.items()],
-        )
+        return _update(F.lit(event_type), asset, value, **doc)
 
     none = F.lit(None).cast("string")
     trade = update(
@@ -169,19 +160,29 @@ def normalize_polymarket_messages(raw: DataFrame, tokens: DataFrame) -> DataFram
     listed = update(
         "new_market", none, F.lit(0.0), asset_id=first_truthy(j["market"], j["id"])
     )
-    updates = (
+    return (
         F.when(kind == "last_trade_price", F.array(trade))
         .when(kind == "price_change", F.transform(j["price_changes"], change))
         .when(kind == "new_market", F.array(listed))
     )
+
+
+def _events(raw: DataFrame, schema: str, updates: Column, tokens: DataFrame | None) -> DataFrame:
+    """Every message parsed once, its updates exploded once and joined once with the token map.
+
+    Updates of unknown assets are dropped.
+    """
+    parsed = with_parsed(raw, "payload", schema, "j")
     u = parsed.select("received_ms", *_numbered(raw, F.lit(0))[:1], F.posexplode(updates).alias("at", "u"))
-    u = u.select("received_ms", *_numbered(raw, F.col("at")), "u.*")
-    u = u.filter(F.col("value").isNotNull())
-    # an update without an asset (new_market) gets a key of its own: it matches no token, and
-    # such rows do not pile up in one partition
-    spread = F.concat(F.lit("\u0000"), F.xxhash64("received_ms", "asset_id").cast("string"))
-    joined = u.withColumn("token_id", F.coalesce("asset", spread)).join(tokens, "token_id", "left")
-    is_new = F.col("event_type") == "new_market"
+    u = u.select("received_ms", *_numbered(raw, F.col("at")), "u.*").filter(F.col("value").isNotNull())
+    is_new, is_made = F.col("event_type") == "new_market", F.col("made").isNotNull()
+    if tokens is None:
+        u = u.withColumn("condition_id", F.lit(None).cast("string"))
+    else:
+        # an update without an asset (Kalshi's, new_market) gets a key of its own: it matches no token, and
+        # such rows do not pile up in one partition
+        spread = F.concat(F.lit("\u0000"), F.xxhash64("received_ms", "asset_id", "made").cast("string"))
+        u = u.withColumn("token_id", F.coalesce("asset", spread)).join(tokens, "token_id", "left")
     metadata = (
         F.when(
             F.col("event_type") == "trade",
@@ -203,17 +204,29 @@ def normalize_polymarket_messages(raw: DataFrame, tokens: DataFrame) -> DataFram
         )
         .otherwise(_doc(ticker=F.col("asset_id"), source=F.lit("polymarket_ws")))
     )
-    known = F.when(is_new, F.col("asset_id").isNotNull()).otherwise(
-        F.col("condition_id").isNotNull()
+    known = (
+        F.when(is_made, True).when(is_new, F.col("asset_id").isNotNull()).otherwise(F.col("condition_id").isNotNull())
     )
-    return joined.filter(known).select(
-        *_event(F.col("event_type"), F.col("value"), metadata), *_numbered(raw, F.col("place"))
+    return u.filter(known).select(
+        *_event(F.col("event_type"), F.col("value"), F.coalesce("made", metadata)), *_numbered(raw, F.col("place"))
     )
 
 
+def normalize_kalshi_messages(raw: DataFrame) -> DataFrame:
+    """Kalshi's messages alone, without the token map."""
+    return _events(raw.filter(F.col("platform") == "kalshi"), _KALSHI_MESSAGE, _kalshi_updates(F.col("j")), None)
+
+
+def normalize_polymarket_messages(raw: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Polymarket's messages alone."""
+    return _events(raw.filter(F.col("platform") == "polymarket"), _POLYMARKET_MESSAGE, _polymarket_updates(F.col("j")), tokens)
+
+
 def normalize_messages(raw: DataFrame, tokens: DataFrame) -> DataFrame:
-    """All platforms; other message types and malformed JSON yield no event."""
-    return normalize_kalshi_messages(raw).unionByName(normalize_polymarket_messages(raw, tokens))
+    """All platforms in one pass; other message types and malformed JSON yield no event."""
+    platform, j = F.col("platform"), F.col("j")
+    updates = F.when(platform == "kalshi", _kalshi_updates(j)).when(platform == "polymarket", _polymarket_updates(j))
+    return _events(raw.filter(platform.isin("kalshi", "polymarket")), _MESSAGE, updates, tokens)
 
 
 def resolve_tickers(events: DataFrame, markets: DataFrame) -> DataFrame:
