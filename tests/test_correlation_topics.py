@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import math
 import random
 
 import pytest
@@ -171,3 +172,30 @@ def test_cluster_stats(rows):
     m = rows.markets(dict(id=1), dict(id=2, external_id="b"), dict(id=3, external_id="c", is_active=False))
     s = t.cluster_stats(m, rows.memberships((1, 1, 0.9)), rows.clusters((1, "A"), (2, "B"))).first()
     assert (s.total_markets, s.unassigned, s.assigned, s.clusters, s.avg_size, s.min_size, s.max_size) == (3, 1, 2, 2, 0.5, 0, 1)
+
+
+def test_candidate_clusters_share_telling_words(rows, spark):
+    markets = rows.markets(*[dict(id=i, external_id=f"T{i}", title=x) for i, x in enumerate(
+        ["Will the Fed cut rates?", "Fed and ECB rates", "Who wins the cup", "the the", "", "rates of the ECB", "Lakers"], 1)])
+    names = [("Fed policy", "rates of the Fed"), ("ECB policy", "rates of the ECB"), ("Cups", "the cup"), ("Sports", "Lakers and others")]
+    clusters = spark.createDataFrame([(i, n, d, 0, 0) for i, (n, d) in enumerate(names, 1)], "id long, name string, description string, created_at long, updated_at long")
+    got = {(r.market_id, r.name): (r.shared, r.weight) for r in t.candidate_clusters(markets, clusters, common=0.5).collect()}
+    once, twice = int(1000 * math.log(4)), int(1000 * math.log(2))
+    # "the" is in three of four clusters and no key; "rates" is in two, "fed", "ecb", "cup", "lakers" and "and" in one each
+    assert got == {
+        (1, "Fed policy"): (2, once + twice), (1, "ECB policy"): (1, twice),
+        (2, "Fed policy"): (2, once + twice), (2, "ECB policy"): (2, once + twice), (2, "Sports"): (1, once),
+        (3, "Cups"): (1, once), (6, "ECB policy"): (2, once + twice), (6, "Fed policy"): (1, twice), (7, "Sports"): (1, once),
+    }
+    first = t.candidate_clusters(markets, clusters, per_market=1, common=0.5)
+    assert {(r.market_id, r.name) for r in first.collect()} == {(1, "Fed policy"), (2, "ECB policy"), (3, "Cups"), (6, "ECB policy"), (7, "Sports")}
+    prompts = {r.batch: r.prompt for r in t.prompt_batches(markets, 1, 3, candidates=first).collect()}
+    assert '- "Fed policy": rates of the Fed' in prompts[0] and '- "Cups"' in prompts[0] and "Sports" not in prompts[0]
+    assert "Fed policy" not in prompts[1] and '- "ECB policy"' in prompts[1] and '- "Sports"' in prompts[2]
+    assert t.candidate_clusters(markets, clusters.limit(0)).count() == 0
+
+
+def test_buckets_follow_the_number_of_markets(rows):
+    assert [t.buckets_for(n) for n in (0, 1, 3000, 3001, 3_000_000)] == [1, 1, 1, 2, 1000]
+    markets = rows.markets(*[dict(id=i, external_id=f"T{i}") for i in range(1, 8)])
+    assert {(r.bucket, r.batch) for r in t.prompt_batches(markets, batch_size=3).collect()} == {(0, 0), (0, 1), (0, 2)}

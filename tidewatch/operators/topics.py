@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.functions.keyed import hashed_id, merge_keyed, with_totals
+from tidewatch.functions.keyed import hashed_id, merge_keyed, top_k_per_key, with_totals
 from tidewatch.functions.text import strip_code_fence
 
 # ---- FIXED VALUES: prompt and reply formats ----------------------------------------------
@@ -24,6 +24,8 @@ DEFAULT_CONFIDENCE = 0.5
 DEFAULT_CLUSTER = "Unknown"
 MIN_CONFIDENCE = 0.6
 BATCH_SIZE = 30
+CANDIDATES = 20  # clusters listed for a market
+COMMON_WORD = 0.05  # share of the clusters
 # ---- end of fixed values -----------------------------------------------------------------
 
 BATCH_FORMAT = (
@@ -48,19 +50,60 @@ def unassigned_markets(markets: DataFrame, memberships: DataFrame) -> DataFrame:
     return markets.filter("is_active").join(taken, "id", "left_anti")
 
 
+def title_words(text: Column) -> Column:
+    """The distinct words of three and more letters or digits, lower-cased."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]{3,})"), F.lit(1)))
+
+
+def candidate_clusters(
+    unassigned: DataFrame, clusters: DataFrame, per_market: int = CANDIDATES, common: float = COMMON_WORD
+) -> DataFrame:
+    """Clusters that an unassigned market might belong to: (market_id, name, description, shared, weight).
+
+    A market meets the clusters that share a word of its title in their name or description. Words of more
+    than a share ``common`` of the clusters (and of more than one) tell nothing and are no key. A shared word
+    weighs the logarithm of clusters per cluster that has it, in thousandths; the ``per_market`` heaviest
+    clusters are a prompt's list.
+    """
+    named = clusters.select(
+        F.col("id").alias("cluster_id"), "name", "description",
+        F.explode(title_words(F.concat_ws(" ", "name", "description"))).alias("word"),
+    )
+    total = clusters.agg(F.count("*").alias("clusters"))
+    known = with_totals(named.groupBy("word").agg(F.count("*").alias("having")), total)
+    telling = known.filter((F.col("having") == 1) | (F.col("having") <= F.lit(common) * F.col("clusters"))).select(
+        "word", F.floor(F.log(F.col("clusters") / F.col("having")) * 1000).cast("long").alias("points"))
+    words = unassigned.select(F.col("id").alias("market_id"), F.explode(title_words(F.col("title"))).alias("word"))
+    met = (
+        words.join(telling, "word").join(named, "word")
+        .groupBy("market_id", "cluster_id", "name", "description")
+        .agg(F.count("*").alias("shared"), F.sum("points").alias("weight"))
+    )
+    order = [F.col("weight").desc(), F.col("name"), F.col("cluster_id")]
+    return top_k_per_key(met, ["market_id"], order, per_market, spread_by=["cluster_id"]).drop("cluster_id")
+
+
+def buckets_for(markets: int, batch_size: int = BATCH_SIZE) -> int:
+    """So many buckets that each holds about a hundred batches."""
+    return max(1, -(-markets // (100 * batch_size)))
+
+
 def prompt_batches(
     unassigned: DataFrame,
-    buckets: int,
+    buckets: int | None = None,
     batch_size: int = BATCH_SIZE,
     clusters: DataFrame | None = None,
+    candidates: DataFrame | None = None,
 ) -> DataFrame:
     """Prompt text per batch of markets, batches formed inside ``buckets`` id buckets.
 
-    Choose ``buckets`` in proportion to the number of markets; each bucket is numbered on its
+    Without a number the buckets follow that of the markets; each bucket is numbered on its
     own, so no task sees all markets and a prompt never holds more than ``batch_size`` lines.
-    With ``clusters`` the prompt also lists the existing clusters (the feature's own size
-    bound: they are sent with every prompt).
+    With ``candidates`` (:func:`candidate_clusters`) a prompt lists the clusters that its own markets
+    might belong to. With ``clusters`` it lists all existing ones, which is meant for a few.
     """
+    if buckets is None:
+        buckets = buckets_for(unassigned.count(), batch_size)
     bucket = F.pmod(F.col("id"), F.lit(buckets))
     order = Window.partitionBy("bucket").orderBy("id")
     line = F.concat(
@@ -76,16 +119,15 @@ def prompt_batches(
             "\n", F.transform(F.sort_array(F.collect_list(F.struct("id", "line"))), lambda x: x["line"])
         ).alias("market_lines"),
     )
+    if candidates is not None:
+        return _with_candidates(batches, numbered, candidates)
     if clusters is None:
         text = F.concat(
             F.lit(BATCH_TASK + "\n\nMarkets:\n"), F.col("market_lines"), F.lit("\n\n" + BATCH_FORMAT)
         )
         return batches.withColumn("prompt", text)
-    description = F.when(
-        F.col("description") != "", F.concat(F.lit(": "), F.col("description"))
-    ).otherwise("")
     known = clusters.select(
-        F.struct("name", F.concat(F.format_string(CLUSTER_LINE, "name"), description).alias("line")).alias("c")
+        F.struct("name", _cluster_line().alias("line")).alias("c")
     ).agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list("c")), lambda x: x["line"])).alias("cluster_lines"))
     text = F.concat(
         F.lit(INCREMENTAL_TASK + "\n\nExisting clusters:\n"), F.col("cluster_lines"),
@@ -94,6 +136,27 @@ def prompt_batches(
     return with_totals(batches, known).withColumn("prompt", text).drop("cluster_lines")
 
 
+def _cluster_line() -> Column:
+    description = F.when(F.col("description") != "", F.concat(F.lit(": "), F.col("description"))).otherwise("")
+    return F.concat(F.format_string(CLUSTER_LINE, "name"), description)
+
+
+def _with_candidates(batches: DataFrame, numbered: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Prompts with the clusters of their own markets: each list is bounded by a batch's markets and their candidates."""
+    lines = (
+        numbered.select("bucket", "batch", F.col("id").alias("market_id"))
+        .join(candidates, "market_id")
+        .groupBy("bucket", "batch")
+        .agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_set(F.struct("name", _cluster_line().alias("line")))), lambda x: x["line"]))
+             .alias("cluster_lines"))
+    )
+    text = F.concat(
+        F.lit(INCREMENTAL_TASK + "\n\nExisting clusters:\n"), F.coalesce("cluster_lines", F.lit("")),
+        F.lit("\n\nNew markets:\n"), F.col("market_lines"), F.lit("\n\n" + INCREMENTAL_FORMAT),
+    )
+    return batches.join(lines, ["bucket", "batch"], "left").withColumn("prompt", text).drop("cluster_lines")
+
+
 def _reply_json(content: Column) -> Column:
     """First "{" to last "}" of a reply, fences removed."""
     return F.nullif(F.regexp_extract(strip_code_fence(content), r"(?s)\{.*\}", 0), F.lit(""))

@@ -40,6 +40,53 @@ register(
 )
 
 
+def _titled(v):
+    """Unassigned markets whose titles name a country, and clusters of one or two countries."""
+    nation = v.table("nation").selectExpr("n_nationkey", "replace(n_name, '_', '') as n_name")
+    home = v.table("customer").select(F.col("c_custkey").alias("id"), "c_nationkey").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    markets = t.unassigned_markets(v.markets, v.memberships).join(home.select("id", "n_name"), "id")
+    other = nation.select((F.col("n_nationkey") + 1).alias("n_nationkey"), F.col("n_name").alias("before"))
+    clusters = nation.join(other, "n_nationkey", "left").selectExpr(
+        "bigint(n_nationkey) as id", "concat(n_name, ' elections') as name", "coalesce(concat('beside ', before), '') as description")
+    return markets.withColumn("title", F.concat_ws(" ", "title", "n_name")), clusters
+
+
+_WORDS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]{{3,}}'))"
+CANDIDATES_SQL = f"""mt AS (SELECT m.*, m.title || ' ' || replace(n_name, '_', '') AS full_title FROM mk_markets m JOIN customer ON c_custkey = m.id
+      JOIN nation ON n_nationkey = c_nationkey WHERE is_active AND m.id NOT IN (SELECT market_id FROM mk_memberships)),
+  cl AS (SELECT n.n_nationkey AS cluster_id, replace(n.n_name, '_', '') || ' elections' AS name, coalesce('beside ' || replace(p.n_name, '_', ''), '') AS description
+      FROM nation n LEFT JOIN nation p ON p.n_nationkey + 1 = n.n_nationkey),
+  cw AS (SELECT *, unnest({_WORDS.format("name || ' ' || description")}) AS word FROM cl),
+  hv AS (SELECT word, count(*) AS having_n FROM cw GROUP BY 1 HAVING count(*) = 1 OR count(*) <= 0.1 * (SELECT count(*) FROM cl)),
+  mw AS (SELECT id AS market_id, unnest({_WORDS.format("full_title")}) AS word FROM mt),
+  me AS (SELECT market_id, cluster_id, name, description, count(*) AS shared,
+      CAST(sum(floor(ln((SELECT count(*) FROM cl) / having_n) * 1000)) AS BIGINT) AS weight
+    FROM mw JOIN hv USING (word) JOIN cw USING (word) GROUP BY 1, 2, 3, 4),
+  cd AS (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY weight DESC, name, cluster_id) AS rn FROM me)"""
+
+
+def _candidates(v):
+    markets, clusters = _titled(v)
+    return t.candidate_clusters(markets, clusters, per_market=3, common=0.1)
+
+
+register("candidate_clusters", _candidates, f"WITH {CANDIDATES_SQL} SELECT market_id, name, description, shared, weight FROM cd WHERE rn <= 3")
+register(
+    "candidate_prompt_batches",
+    lambda v: t.prompt_batches(_titled(v)[0], buckets=8, candidates=_candidates(v)).select("bucket", "batch", "prompt"),
+    f"""WITH {CANDIDATES_SQL},
+       ln AS (SELECT id, '  [id=' || id || '] "' || full_title || '"' || CASE WHEN description <> '' THEN ' -- ' || description ELSE '' END AS line,
+           id % 8 AS bucket, CAST((row_number() OVER (PARTITION BY id % 8 ORDER BY id) - 1) // 30 AS INTEGER) AS batch FROM mt),
+       cs AS (SELECT bucket, batch, string_agg(line, chr(10) ORDER BY name) AS lines FROM (
+           SELECT DISTINCT bucket, batch, name, '- "' || name || '"' || CASE WHEN description <> '' THEN ': ' || description ELSE '' END AS line
+           FROM ln JOIN cd ON cd.market_id = ln.id AND rn <= 3) GROUP BY 1, 2)
+       SELECT bucket, batch, '{t.INCREMENTAL_TASK}' || chr(10) || chr(10) || 'Existing clusters:' || chr(10) || coalesce(min(lines), '')
+         || chr(10) || chr(10) || 'New markets:' || chr(10) || string_agg(line, chr(10) ORDER BY id)
+         || chr(10) || chr(10) || '{t.INCREMENTAL_FORMAT}' AS prompt
+       FROM ln LEFT JOIN cs USING (bucket, batch) GROUP BY 1, 2""",
+)
+
+
 def _batch_replies(v):
     """A reply per cluster (fenced), one membership per market, some without confidence."""
     rows = v.table("customer").selectExpr(
