@@ -131,10 +131,12 @@ def test_short_tokens_and_doubled_letters_are_read():
 
 
 def test_tokens_that_are_not_read_have_no_evidence(lexicon, chance):
-    """The shortcut against reading every token."""
+    """The shortcut against reading every token, with features of letters, doubled letters and signs."""
+    more = {"=1d10t": 3.0, "los$": 3.0, "=mm": 2.0, "sse": 1.0}
+    lexicon = toxicity.Model(lexicon.features | more, lexicon.trigrams, 1.0, -3.0).prepare()
     letters, marks = "idotmrnlsex", "10!@$-.3"
     tokens = {"".join(chance.choice(letters + (marks if chance.random() < 0.5 else letters)) for _ in range(chance.randint(1, 9))) for _ in range(3000)}
-    tokens |= {w[:k] + c * chance.randint(1, 3) + w[k:] for w in ("idiot", "moron", "loser", "1d1ot", "m0ron", "l0$er") for k in range(6) for c in letters + marks}
+    tokens |= {w[:k] + c * chance.randint(1, 3) + w[k:] for w in ("idiot", "moron", "loser", "1d1ot", "1d10t", "m0ron", "los$er", "mm") for k in range(6) for c in letters + marks}
     for token in tokens:
         words = {core} if (core := token.strip(toxicity.PUNCTUATION)) else set()
         words |= {toxicity.read_token(f, lexicon) for f in {core, token.strip(toxicity.MARKS)} if toxicity.suspicious(f)}

@@ -85,27 +85,40 @@ class Model:
             middle[t[1:]] += n
         self.suffix_pairs, self.letters = middle, max(2, len(self.ones))
         bare = {single(f) for f in self.features}
-        self.heads = {f.lstrip("=")[:1] for f in bare}
         self.whole, self.parts = {f[1:] for f in bare if f[0] == "="}, {f for f in bare if f[0] != "="}
+        self.stems = {f[:n] for f in self.whole | self.parts for n in range(1, len(f) + 1)}
         return self
 
     def may_hold(self, form: str) -> bool:
-        """False only if no reading of a token has a feature, so that it need not be read.
+        """False only if neither a token nor any reading of it has a feature, so that it need not be read.
 
-        Readings of letters differ in the length of runs; others begin with a letter that one of the first
-        characters, up to the first letter itself, may stand for.
+        With runs as one character, what has been read so far must begin a feature.
         """
+        stems, parts = self.stems, self.parts
         if form.isalpha():
-            if form[0] not in self.heads:
-                return False
-            bare = single(form)
-            return bare in self.whole or any(bare[:n] in self.parts for n in range(1, 7))
+            said = ""
+            for char in form:
+                if said[-1:] != char:
+                    said += char
+                    if said not in stems:
+                        return False
+                    if said in parts:
+                        return True
+            return said in self.whole
+        live = {""}
         for char in form:
-            if char.isalpha():
-                return char in self.heads
-            if any(x in self.heads for x in LEET.get(char, "")):
-                return True
-        return False
+            fresh = set() if char.isalpha() else set(live)
+            for said in live:
+                for x in char + LEET.get(char, ""):
+                    more = said if said[-1:] == x else said + x
+                    if more in stems:
+                        if more in parts:
+                            return True
+                        fresh.add(more)
+            if not fresh:
+                return False
+            live = fresh
+        return not live.isdisjoint(self.whole)
 
     def log_p(self, before: str, letter: str) -> float:
         if (value := self.logs.get(before + letter)) is not None:
