@@ -33,6 +33,7 @@ SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
 PART = 4096  # rows of one part of a cell
+_SENT = 100_000  # as many large cells are sent to all tasks; more are joined by a shuffle
 _FAN = 16
 _QUERIES = 256  # searched at a time, which bounds the open node list
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -161,30 +162,35 @@ def keys_of(fp: Column, blocks: int, of: int, first: int = 0) -> list[Column]:
 
 
 def cells(rows: DataFrame, keys: list[Column], by: str) -> DataFrame:
-    """The rows once per cell (block, bits, low, high), in order of cells; of large cells every pair of bounded parts is one."""
+    """The rows once per cell, in order of ``cell``; of large cells every pair of bounded parts is one.
+
+    What is large is told by a sixteenth of the rows, dealt by a hash: parts are a matter of size only, a cell
+    is searched whole with any number of them. A cell's number is a hash of its key; two that share one are
+    searched together, which adds no link.
+    """
     columns = rows.columns
     routed = rows.select(*columns, F.explode(F.array(*keys)).alias("key")).select(*columns, "key.block", "key.bits")
-    large = (
-        routed.groupBy("block", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * PART)
-        .select("block", "bits", F.ceil(F.col("n") / PART).cast("long").alias("parts"))
-    )
-    marked = routed.join(large, ["block", "bits"], "left")
-    part = F.pmod(F.xxhash64(by, F.lit("part")), F.col("parts"))
-    none = F.lit(0).cast("long")
-    small = marked.where("parts is null").select("block", "bits", none.alias("low"), none.alias("high"), *columns)
-    cut = marked.where("parts is not null").withColumn("part", part).withColumn("other", F.explode(F.sequence(none, F.col("parts") - 1)))
-    dealt = small.unionByName(cut.select("block", "bits", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), *columns))
-    names = ["block", "bits", "low", "high"]
-    return dealt.repartition(*names).sortWithinPartitions(*names)
+    sampled = routed.where(F.pmod(F.xxhash64(by, F.lit("size")), F.lit(16)) == 0).groupBy("block", "bits").agg((16 * F.count(F.lit(1))).alias("n"))
+    large = settle(sampled.where(F.col("n") > 1.5 * PART).select("block", "bits", F.ceil(F.col("n") / PART).cast("long").alias("parts")))
+    key = F.xxhash64("block", "bits")
+    found = large.count()
+    if not found:
+        dealt = routed.select(key.alias("cell"), *columns)
+    else:
+        marked = routed.join(F.broadcast(large) if found <= _SENT else large, ["block", "bits"], "left")
+        part, others = F.pmod(F.xxhash64(by, F.lit("part")), F.col("parts")), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+        cut = marked.withColumn("part", part).withColumn("other", F.explode_outer(F.when(F.col("parts").isNotNull(), others)))
+        name = F.xxhash64("block", "bits", F.least("part", "other"), F.greatest("part", "other"))
+        dealt = cut.select(F.when(F.col("parts").isNull(), key).otherwise(name).alias("cell"), *columns)
+    return dealt.repartition("cell").sortWithinPartitions("cell")
 
 
 def in_order(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The columns behind the four of a cell, in order of cells and of the Gray rank of the first one, and the number of each row's cell."""
-    key, rest = np.stack(columns[:4]), columns[4:]
-    order = np.lexsort((gray_rank(rest[0].view(np.uint64)), *key[::-1]))
-    key = key[:, order]
-    group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))])
-    return [c[order] for c in rest], group
+    """The columns behind that of the cell, in order of cells and of the Gray rank of the first one, and the number of each row's cell."""
+    cell, *rest = columns
+    order = np.lexsort((gray_rank(rest[0].view(np.uint64)), cell))
+    cell = cell[order]
+    return [c[order] for c in rest], np.concatenate([[0], np.cumsum(cell[1:] != cell[:-1])])
 
 
 def by_cells(search):
@@ -196,8 +202,7 @@ def by_cells(search):
             if sum(len(h[0]) for h in held) < 32 * PART:
                 continue
             columns = [np.concatenate(c) for c in zip(*held)]
-            key = np.stack(columns[:4])
-            change = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))
+            change = np.flatnonzero(columns[0][1:] != columns[0][:-1])
             if len(change):  # the last cell may go on in the next batch
                 cut = change[-1] + 1
                 yield search([c[:cut] for c in columns])
