@@ -32,7 +32,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # of the format: below the least score of a piece
 _LITERAL = "\x00"  # begins the stand-in of a mark of the text itself while words are cut
-_CACHE = 250_000
+_CACHE = 100_000
 
 
 @dataclass
