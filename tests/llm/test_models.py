@@ -265,6 +265,7 @@ def test_documents_are_encoded_and_decoded(documents, pieces):
     got = sentencepieces.decode(encoded, pieces).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(((i, t or "") for i, t in rows), key=repr)
     assert all(r.n_tokens == len(r.ids) for r in got)
+    assert sorted(sentencepieces.round_trip(documents(rows), pieces).collect(), key=repr) == sorted(got, key=repr)
     assert sentencepieces.decode(sentencepieces.encode(documents([]), pieces), pieces).count() == 0
 
 

@@ -212,8 +212,7 @@ def decode_ids(ids: list[int], pieces: Pieces) -> str:
     return decode_lists(pa.array([ids], pa.list_(pa.int32())), pieces)[0].as_py()
 
 
-def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """doc_id, ids, n_tokens of every row."""
+def _encoded(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000, 1, 3):
             found = packed_ids(text_arrow(batch.column(1)).to_pylist(), pieces)
@@ -225,15 +224,32 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
                 ["doc_id", "ids", "n_tokens"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long")
+    return run
 
 
-def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
-    """The rows of (doc_id, ids, n_tokens) with the decoded text."""
+def _decoded(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
             yield pa.RecordBatch.from_arrays([*batch.columns, decode_lists(batch.column(1), pieces)], ["doc_id", "ids", "n_tokens", "text"])
 
+    return run
+
+
+def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """doc_id, ids, n_tokens of every row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(_encoded(pieces), f"doc_id {kind}, ids array<int>, n_tokens long")
+
+
+def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
+    """The rows of (doc_id, ids, n_tokens) with the decoded text."""
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, text string")
+    return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(_decoded(pieces), f"doc_id {kind}, ids array<int>, n_tokens long, text string")
+
+
+def round_trip(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """Both, one after the other in the same Python worker: doc_id, ids, n_tokens, text."""
+    there, back = _encoded(pieces), _decoded(pieces)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(
+        lambda batches: back(there(batches)), f"doc_id {kind}, ids array<int>, n_tokens long, text string")
