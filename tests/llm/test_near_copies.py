@@ -151,6 +151,30 @@ def test_keys_grow_with_the_logarithm_of_the_rows():
     assert copies == [5, 5, 15, 15, 15, 35]
 
 
+def _group(n, chance):
+    """(doc_id, text) of one large group of near copies, no two alike word by word."""
+    words = [f"w{i}" for i in range(300)]
+    return [(i, " ".join(changed(words, 0.9, chance))) for i in range(n)]
+
+
+def _prints(documents, rows):
+    found = near_copies.fingerprints(documents(rows)).select(near_copies.F.col("doc_id").alias("node"), "fp0", "fp1")
+    return near_copies.settle(found)
+
+
+def test_candidates_do_not_depend_on_the_size_of_table_or_parts(documents, monkeypatch):
+    """Neither longer keys for more rows nor cells cut into parts change what meets; a group's candidates do not grow with the parts."""
+    prints = _prints(documents, pairs_of(random.Random(6), [0.9, 0.82], 30) + [(100 + i, t) for i, t in _group(150, random.Random(8))])
+    want = sorted(map(tuple, near_copies.candidates(prints).collect()))
+    assert len(want) > 150
+    for part in (8, 3):
+        monkeypatch.setattr(simhash, "PART", part)
+        assert sorted(map(tuple, near_copies.candidates(prints).collect())) == want
+    monkeypatch.setattr(simhash, "PART", 4096)
+    monkeypatch.setattr(type(prints), "count", lambda self: 10**10)
+    assert sorted(map(tuple, near_copies.candidates(prints).collect())) == want
+
+
 def test_real_documents(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]

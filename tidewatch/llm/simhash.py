@@ -161,15 +161,18 @@ def keys_of(fp: Column, blocks: int, of: int, first: int = 0) -> list[Column]:
     return out
 
 
-def cells(rows: DataFrame, keys: list[Column], by: str) -> DataFrame:
+def cells(rows: DataFrame, keys: list[Column], by: str, *more: str) -> DataFrame:
     """The rows once per cell, in order of ``cell``; of large cells every pair of bounded parts is one.
 
+    ``more`` may name "block", the number of the key, as a column behind those of the rows: a row is in one cell
+    (all its pairs of parts together) for each.
+
     What is large is told by a sixteenth of the rows, dealt by a hash: parts are a matter of size only, a cell
     is searched whole with any number of them. A cell's number is a hash of its key; two that share one are
     searched together, which adds no link.
     """
-    columns = rows.columns
-    routed = rows.select(*columns, F.explode(F.array(*keys)).alias("key")).select(*columns, "key.block", "key.bits")
+    columns = [*rows.columns, *more]
+    routed = rows.select(*rows.columns, F.explode(F.array(*keys)).alias("key")).select(*rows.columns, "key.block", "key.bits")
     sampled = routed.where(F.pmod(F.xxhash64(by, F.lit("size")), F.lit(16)) == 0).groupBy("block", "bits").agg((16 * F.count(F.lit(1))).alias("n"))
     large = settle(sampled.where(F.col("n") > 1.5 * PART).select("block", "bits", F.ceil(F.col("n") / PART).cast("long").alias("parts")))
     key = F.xxhash64("block", "bits")
