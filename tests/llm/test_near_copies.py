@@ -175,6 +175,25 @@ def test_candidates_do_not_depend_on_the_size_of_table_or_parts(documents, monke
     assert sorted(map(tuple, near_copies.candidates(prints).collect())) == want
 
 
+def test_groups_are_the_components_joined_by_few_rows(spark, documents, monkeypatch):
+    """The same names as all candidates at once give, while stars are made of one row a document and what connects trees."""
+    chance = random.Random(9)
+    made = [(a, chance.randrange(max(0, a - 40), a)) for a in range(1, 300) for _ in range(chance.randrange(4))]
+    made += [(1000 + a, 1000 + b) for a in range(3, 120) for b in range(3)] + [(2000 + a, 2000 + a - 1) for a in range(1, 60)]
+    edges = near_copies.settle(spark.createDataFrame(sorted(set(made)), "a long, b long"))
+    want = sorted(map(tuple, simhash.components(edges).collect()))
+    sizes = []
+
+    def counted(rows):
+        sizes.append(rows.where("a <> b").distinct().count())
+        return simhash.components(rows)
+
+    monkeypatch.setattr(near_copies, "components", counted)
+    assert sorted(map(tuple, near_copies.groups(edges).collect())) == want
+    assert sizes[0] == len({a for a, _ in made}) and sizes[1] < sizes[0] / 2 < len(set(made)) / 2
+    assert near_copies.groups(edges.limit(0)).count() == 0
+
+
 def test_real_documents(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
