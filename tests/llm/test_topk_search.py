@@ -60,6 +60,28 @@ def test_search_of_one_shard(spread):
         assert [(-s, i) for i, s in zip(ids, scores)] == want
 
 
+@pytest.mark.parametrize("kind", [np.int64, object])
+def test_segments_come_whole_and_in_descending_impact(kind):
+    """All postings of a query are laid out at once, not one by one, with what every dimension may still add behind each."""
+    random = np.random.default_rng(3)
+    rows = random.integers(-40, 41, (90, 6)).astype(kind)
+    index = topk_search.ImpactIndex(np.arange(90), rows)
+    for query in [*random.integers(-9, 10, (10, 6)), np.array([0, 3, 0, -2, 0, 0]), np.zeros(6, np.int64)]:
+        query = query.astype(kind)
+        step = abs(query) * index.width
+        first, impact, count, still = index._in_order(step, index.starts[(query < 0).astype(np.int64), np.arange(6)])
+        assert [int(x) for x in impact] == sorted(map(int, impact), reverse=True)
+        above = np.where(query < 0, index.high - index.rows, index.rows - index.low)
+        want = (step * (above // index.width)).sum(axis=1)
+        got = [0] * 90
+        for n, (at, x, many) in enumerate(zip(first, impact, count)):
+            for place in index.posted[at:at + many]:
+                got[place] += int(x)
+            rest = [max(map(int, impact[n + 1:][(first[n + 1:] // 90 % 6) == d]), default=0) for d in range(6)]
+            assert sum(rest) == int(still[n])
+        assert got == [int(x) for x in want]
+
+
 @pytest.mark.parametrize("largest", [1e7, 1e10, 1e17, 1e300])
 def test_large_components_are_exact(spark, largest):
     """Sums that 64 bits do not hold are ranked by Python's whole numbers; scores beyond them are the nearest ones."""

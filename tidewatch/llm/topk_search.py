@@ -67,46 +67,41 @@ class ImpactIndex:
         self.kind = rows.dtype
         self.low, self.high = self.rows.min(axis=0), self.rows.max(axis=0)
         self.width = np.maximum(1, -(-(self.high - self.low + 1) // LEVELS)).astype(self.kind)
-        self.segments = {}
-        for sign in (1, -1):
-            above = (self.rows - self.low) if sign > 0 else (self.high - self.rows)
+        # of every sign (0: positive) and dimension, one behind the other: the places in order of levels, and where each level begins
+        size, n = self.rows.shape[1], len(self.ids)
+        self.posted = np.empty((2, size, n), np.int32)
+        self.starts = np.empty((2, size, LEVELS + 2), np.int64)
+        for sign in (0, 1):
+            above = (self.high - self.rows) if sign else (self.rows - self.low)
             level = (above // self.width).astype(np.int64)
-            for d in range(self.rows.shape[1]):
+            for d in range(size):
                 by = np.argsort(level[:, d], kind="stable")
-                ends = np.searchsorted(level[by, d], np.arange(LEVELS + 2))
-                self.segments[sign, d] = [by[ends[i]:ends[i + 1]] for i in range(LEVELS + 1)]
+                self.posted[sign, d] = by
+                self.starts[sign, d] = (sign * size + d) * n + np.searchsorted(level[by, d], np.arange(LEVELS + 2))
+        self.posted = self.posted.ravel()
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best candidates of the shard, in order."""
-        sign, size = np.where(query < 0, -1, 1), abs(query)
+        size = abs(query)
         step = size * self.width
         # What the levels cut off: at most a level's width less one in every dimension.
         slack = int((size * np.minimum(self.width - 1, self.high - self.low)).sum())
-        impacts = np.outer(step, np.arange(1, LEVELS + 1).astype(self.kind))
-        used = [(d, l + 1) for d, l in zip(*(x.tolist() for x in np.nonzero(impacts))) if len(self.segments[sign[d], d][l + 1])]
-        used.sort(key=lambda s: (-impacts[s[0], s[1] - 1], s))
         score = np.zeros(len(self.ids), self.kind)
         candidate = self.ids != own
         if not candidate.any():
             return self.ids[:0], score[:0]
-        left = np.zeros(len(step), self.kind)  # largest impact to come in each dimension
-        for d, l in used:
-            left[d] = max(left[d], step[d] * l)
-        waiting = {}
-        for d, l in used:
-            waiting.setdefault(d, []).append(l)
-        done = dict.fromkeys(waiting, 0)
-        take, k = max(1, -(-len(used) // _CHECKS)), min(k, int(candidate.sum()))
+        first, impact, count, still = self._in_order(step, self.starts[(query < 0).astype(np.int64), np.arange(len(query))])
+        take, k = max(1, -(-len(first) // _CHECKS)), min(k, int(candidate.sum()))
         possible = candidate
-        for at in range(0, len(used), take):
-            for d, l in used[at:at + take]:
-                score[self.segments[sign[d], d][l]] += step[d] * l
-                done[d] += 1
-                left[d] = step[d] * waiting[d][done[d]] if done[d] < len(waiting[d]) else 0
+        for at in range(0, len(first), take):
+            until = min(at + take, len(first))
+            many = count[at:until]
+            place = np.arange(int(many.sum())) + np.repeat(first[at:until] - (np.cumsum(many) - many), many)
+            np.add.at(score, self.posted[place], np.repeat(impact[at:until], many))
             lower = score[possible]
             bar = np.sort(lower)[len(lower) - k] if self.kind == object else np.partition(lower, len(lower) - k)[len(lower) - k]
             # A vector scored in a dimension gets no more there, but which ones is not kept: the bound is loose.
-            possible = candidate & (score + int(left.sum()) + slack >= bar).astype(bool)
+            possible = candidate & (score + int(still[until - 1]) + slack >= bar).astype(bool)
             if possible.sum() <= _ENOUGH * k:
                 break
         else:
@@ -119,6 +114,20 @@ class ImpactIndex:
             sorted(range(len(members)), key=lambda i: (-exact[i], self.ids[members[i]]))[:k], np.int64)
         return self.ids[members][best], exact[best]
 
+    def _in_order(self, step: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Begin, impact and length of the segments in descending impact, and what all dimensions may add behind each."""
+        count = starts[:, 2:] - starts[:, 1:-1]
+        d, l = np.nonzero((count > 0) & (step != 0)[:, None])
+        impact = step[d] * (l + 1).astype(self.kind)
+        # by dimensions and ascending impact here: a segment is followed by the one before it
+        next_one = np.append(np.zeros(1, self.kind), impact[:-1])[:len(impact)]
+        next_one[np.append(True, d[1:] != d[:-1])[:len(d)]] = 0
+        last = np.append(d[1:] != d[:-1], True)[:len(d)]
+        order = np.array(sorted(range(len(d)), key=lambda i: -impact[i]), np.int64) if self.kind == object else np.argsort(-impact, kind="stable")
+        # equal impacts are of different dimensions: each dimension's come in descending order
+        still = impact[last].sum() - np.cumsum((impact - next_one)[order])
+        return starts[d, l + 1][order], impact[order], count[d, l][order], still
+
 
 class Shard:
     """The vectors of a shard; an index in the numbers that a query needs is built when it is first asked for."""
