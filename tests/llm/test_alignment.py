@@ -3,7 +3,9 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import DATA
@@ -74,6 +76,21 @@ def test_words_are_aligned_as_whole_texts(chance, aligner, by_hand):
         start = got.ends[i]
 
 
+def test_new_words_are_aligned_some_at_a_time(vocabularies, monkeypatch):
+    """However many new words a slice has, and however many rows a batch, a bounded number is worked on at once."""
+    aligner = token_alignment.Aligner(vocabularies.a_json, vocabularies.b_model)
+    words, calls, aligned = {f"w{i}x{i * 7919 % 1000}" for i in range(20_000)} | {"▁", "a▁b"}, [], aligner._aligned
+    monkeypatch.setattr(aligner, "_aligned", lambda some: calls.append(len(some)) or aligned(some))
+    got = aligner.words(words)
+    assert max(calls) <= 8_000 and set(got) == words  # halves of what does not come back from its bytes are calls too
+    assert all(got[w] == aligned([w])[0] for w in sorted(words)[::500])
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": [f"one{i} two" for i in range(1000)]})
+    monkeypatch.setattr(token_alignment.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 3))
+    out = list(token_alignment._whole_texts(vocabularies)([batch]))
+    assert sum(b.num_rows for b in out) == 1000 and max(b.num_rows for b in out) <= 250
+    assert {x for b in out for x in b.column("block").to_pylist()} == {3 << 32}
+
+
 @pytest.mark.parametrize("chunk", [1, 3, 7, 20])
 def test_fragments_compose_in_any_tree(chance, aligner, by_hand, chunk):
     for text in filter(None, texts_of(chance, 150)):

@@ -54,6 +54,9 @@ BLOCK_ROWS = 4000
 MARK = "▁"
 # Fixed value: the words of byte-level BPE, which no token crosses.
 A_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SLICE = 250  # rows, and MB of text, that a task works on at a time
+_SLICE_MB = 1
+_FRESH = 8_000  # new words aligned at a time
 _CACHE = 60_000
 _REMEMBER = 64  # longer words hardly come again
 _CUT = re.compile(r" (?<!  )(?=\S)")  # a single space with something behind it: no token of either crosses its front
@@ -238,10 +241,12 @@ class Aligner:
         for w in wanted.intersection(self.old).difference(found):
             found[w] = self.young[w] = self.old[w]
         fresh = sorted(wanted.difference(found))
-        for w, x in zip(fresh, self._aligned(fresh)):
-            found[w] = x
-            if len(w) <= _REMEMBER:
-                self.young[w] = x
+        for at in range(0, len(fresh), _FRESH):
+            some = fresh[at:at + _FRESH]
+            for w, x in zip(some, self._aligned(some)):
+                found[w] = x
+                if len(w) <= _REMEMBER:
+                    self.young[w] = x
         if len(self.young) > _CACHE:
             self.young, self.old = {}, self.young
         return found
@@ -334,7 +339,7 @@ def _whole_texts(vocabularies: Vocabularies):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, part, number = vocabularies.aligner(), TaskContext.get().partitionId(), 0
         for block in slices(batches, BLOCK_ROWS, 1):
-            for batch in slices([block], 1000, 1, 4):
+            for batch in slices([block], _SLICE, 1, _SLICE_MB):
                 cut = [words_of(t) if t else [] for t in text_arrow(batch.column(1)).to_pylist()]
                 found = add_words(cut, aligner.words(set().union(*cut)), len(aligner.b_raw))
                 yield pa.RecordBatch.from_arrays(
