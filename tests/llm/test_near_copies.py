@@ -194,6 +194,46 @@ def test_groups_are_the_components_joined_by_few_rows(spark, documents, monkeypa
     assert near_copies.groups(edges.limit(0)).count() == 0
 
 
+def _rows_of_joins_by_a(df):
+    """Rows that the joins of two columns ``a`` made while ``df`` was computed, one number a join."""
+    df.collect()
+    plans, rows = [df._jdf.queryExecution().executedPlan()], []
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            plans.append(plan.executedPlan())
+        elif plan.nodeName().endswith("QueryStage"):
+            plans.append(plan.plan())
+        elif re.search(r"Join( .*)? \[a#\d+L?\], \[a#\d+L?\]", plan.simpleString(100)):
+            rows.append(plan.metrics().apply("numOutputRows").value())
+        children = plan.children().iterator()
+        while children.hasNext():
+            plans.append(children.next())
+    return rows
+
+
+def test_joins_by_document_make_a_row_each(spark, monkeypatch):
+    """Names of trees, texts and what is left are joined to a document once, not to each of its candidates."""
+    n, each = 200, 8
+    made = [(a, b) for a in range(1, n) for b in range(max(0, a - each), a)] + [(1000 + a, 1000 + a - 1) for a in range(1, n)]
+    edges = near_copies.settle(spark.createDataFrame(made, "a long, b long"))
+    documents = len({a for a, _ in made})
+    assert len(made) > 4 * documents
+    nodes = sorted({x for pair in made for x in pair})
+    texts = {x: f"one two three four five {x // each}" for x in nodes}
+    alike = near_copies.alike(edges, spark.createDataFrame([(x, bytearray(t.encode())) for x, t in texts.items()], "node long, bytes binary"))
+    assert _rows_of_joins_by_a(alike) == [documents]
+    assert sorted(map(tuple, alike.collect())) == sorted((a, b) for a, b in made if texts[a] == texts[b])
+    kept = [x for x in nodes if x % 3]
+    among = near_copies._among(edges, spark.createDataFrame([(x,) for x in kept], "node long"))
+    assert _rows_of_joins_by_a(among) == [len({a for a, _ in made if a % 3})]
+    assert sorted(map(tuple, among.collect())) == sorted((a, b) for a, b in made if a % 3 and b % 3)
+    stars = []
+    monkeypatch.setattr(near_copies, "components", lambda rows: stars.append(rows) or simhash.components(rows))
+    near_copies.groups(edges)
+    assert _rows_of_joins_by_a(stars[1]) == [documents]
+
+
 def test_real_documents(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
