@@ -119,6 +119,61 @@ def test_polymarket_messages(rows, spark):
     assert messages.normalize_messages(raw, tokens).count() == 4
 
 
+def _plan(df):
+    """The operators of the plan that ran, with what they say."""
+    df.collect()
+    plans, out = [df._jdf.queryExecution().executedPlan()], []
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            plans.append(plan.executedPlan())
+        elif plan.nodeName().endswith("QueryStage"):
+            plans.append(plan.plan())
+        else:
+            out.append(plan.simpleString(100))
+        children = plan.children().iterator()
+        while children.hasNext():
+            plans.append(children.next())
+    return out
+
+
+def _listed(spark, n):
+    """Listings as JSON, of which Spark cannot tell how many tokens they hold."""
+    item = F.to_json(F.struct(F.concat(F.lit("0x"), "id").alias("conditionId"), F.concat(F.lit('["t'), "id", F.lit('", "n'), "id", F.lit('"]')).alias("clobTokenIds")))
+    return spark.range(n).select(F.lit(1).cast("long").alias("received_ms"), item.alias("payload"))
+
+
+def _changes(rows, tokens):
+    payload = json.dumps({"event_type": "price_change", "price_changes": [{"asset_id": t, "best_bid": "0.5"} for t in tokens]})
+    return rows.raw("polymarket", payload, payload)
+
+
+def test_tokens_do_not_pass_through_the_driver(rows, spark):
+    tokens = catalogs.token_map(_listed(spark, 50))
+    got = messages.normalize_polymarket_messages(_changes(rows, ["t7", "n49", "t50"]), tokens)
+    ran = _plan(got)
+    assert any(p.startswith("SortMergeJoin") for p in ran) and not any("Broadcast" in p for p in ran)
+    assert sorted(json.loads(r.metadata)["ticker"] for r in got.collect()) == ["0x49", "0x49", "0x7", "0x7"]
+
+
+def test_a_hot_token_is_split(rows, spark):
+    tokens = catalogs.token_map(_listed(spark, 50))
+    raw = spark.range(0, 4000, 1, 4).crossJoin(_changes(rows, ["t7"]).limit(1)).unionByName(
+        spark.range(0, 40, 1, 4).crossJoin(_changes(rows, [f"t{i}" for i in range(50)]).limit(1))).drop("id")
+    options = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+               "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        got = messages.normalize_polymarket_messages(raw, tokens)
+        assert any("skew=true" in p for p in _plan(got))
+        assert got.count() == 4000 + 40 * 50
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_resolve(rows):
     ev = rows.events(dict(market_id=0, metadata='{"ticker": "A"}'), dict(market_id=0, metadata='{"ticker": "OLD"}'), dict(market_id=5), dict(market_id=0))
     mk = rows.markets(dict(id=3, external_id="A"), dict(id=4, external_id="OLD", is_active=False))

@@ -167,6 +167,21 @@ def _polymarket_updates(j: Column) -> Column:
     )
 
 
+def _looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """The rows with the columns of ``table`` (one row per ``key``), both dealt by the key and merged.
+
+    Spark takes a table made of JSON text for far less than it is, and AQE keeps a planned broadcast where merging
+    takes one shuffle more: the table would pass whole through the driver. The hash beside the key has it dealt anew
+    behind its aggregation, for only then does AQE split the rows of a hot key.
+    """
+    dealt = F.xxhash64(key)
+    return (
+        rows.withColumn("__dealt", dealt)
+        .join(table.withColumn("__dealt", dealt).hint("merge"), ["__dealt", key], "left")
+        .drop("__dealt")
+    )
+
+
 def _events(raw: DataFrame, schema: str, updates: Column, tokens: DataFrame | None) -> DataFrame:
     """Every message parsed once, its updates exploded once and joined once with the token map.
 
@@ -182,7 +197,7 @@ def _events(raw: DataFrame, schema: str, updates: Column, tokens: DataFrame | No
         # an update without an asset (Kalshi's, new_market) gets a key of its own: it matches no token, and
         # such rows do not pile up in one partition
         spread = F.concat(F.lit("\u0000"), F.xxhash64("received_ms", "asset_id", "made").cast("string"))
-        u = u.withColumn("token_id", F.coalesce("asset", spread)).join(tokens, "token_id", "left")
+        u = _looked_up(u.withColumn("token_id", F.coalesce("asset", spread)), "token_id", tokens)
     metadata = (
         F.when(
             F.col("event_type") == "trade",
