@@ -156,6 +156,14 @@ def test_tokens_do_not_pass_through_the_driver(rows, spark):
     assert sorted(json.loads(r.metadata)["ticker"] for r in got.collect()) == ["0x49", "0x49", "0x7", "0x7"]
 
 
+def test_tokens_of_all_platforms_do_not_pass_through_the_driver(rows, spark):
+    raw = _changes(rows, ["t7", "n49", "t50"]).unionByName(rows.raw("kalshi", kmsg("ticker", market_ticker="A", yes_ask_dollars="0.65"), kmsg("subscribed")))
+    got = messages.normalize_messages(raw, catalogs.token_map(_listed(spark, 50)))
+    ran = _plan(got)
+    assert any(p.startswith("SortMergeJoin") for p in ran) and not any("Broadcast" in p for p in ran)
+    assert sorted(json.loads(r.metadata)["ticker"] for r in got.collect()) == ["0x49", "0x49", "0x7", "0x7", "A"]
+
+
 def test_a_hot_token_is_split(rows, spark):
     tokens = catalogs.token_map(_listed(spark, 50))
     raw = spark.range(0, 4000, 1, 4).crossJoin(_changes(rows, ["t7"]).limit(1)).unionByName(
