@@ -188,6 +188,16 @@ def test_resolve(rows):
     assert sorted(r.market_id for r in messages.resolve_tickers(ev, mk).collect()) == [3, 5]
 
 
+def test_markets_do_not_pass_through_the_driver(rows):
+    ev = rows.events(*[dict(market_id=0, metadata=json.dumps({"ticker": f"T-{i % 7}"})) for i in range(20)], dict(market_id=9), dict(market_id=0, metadata="{}"))
+    mk = rows.markets(*[dict(id=i, external_id=f"T-{i % 5}", is_active=i != 4) for i in range(5)], dict(id=8, external_id="T-1"))
+    got = messages.resolve_tickers(ev, mk)
+    ran = _plan(got)
+    assert any(p.startswith("SortMergeJoin") for p in ran) and not any("Broadcast" in p for p in ran)
+    assert got.columns == ev.columns
+    assert sorted(r.market_id for r in got.collect()) == [0, 0, 0, 2, 2, 2, 3, 3, 3, 8, 8, 8, 9]
+
+
 def test_orderbook(spark):
     def book(yes, no):
         return json.dumps({"orderbook": {"yes": yes, "no": no}})

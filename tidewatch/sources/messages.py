@@ -258,7 +258,7 @@ def resolve_tickers(events: DataFrame, markets: DataFrame) -> DataFrame:
     spread = F.concat(F.lit("\u0000"), F.xxhash64("timestamp", "market_id").cast("string"))
     unresolved = F.col("market_id") == 0
     ticker = F.when(unresolved, F.get_json_object("metadata", "$.ticker")).otherwise(spread)
-    out = events.withColumn("__ticker", ticker).join(lookup, "__ticker", "left")
+    out = _looked_up(events.withColumn("__ticker", ticker), "__ticker", lookup)
     market_id = F.when(unresolved, F.col("__found")).otherwise(F.col("market_id"))
     return (
         out.withColumn("market_id", market_id)
