@@ -234,6 +234,58 @@ def test_joins_by_document_make_a_row_each(spark, monkeypatch):
     assert _rows_of_joins_by_a(stars[1]) == [documents]
 
 
+def _padded(words):
+    """A phrase repeated so often that it alone makes the fingerprints, while it is one shingle of the set."""
+    return " ".join(["pad"] * 800 + words)
+
+
+def test_documents_hidden_behind_a_smaller_one_are_compared(documents):
+    """All three have the same fingerprints; the least is alike to none, the others to each other."""
+    one, other = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(1, _padded(one)), (2, _padded(other)), (3, _padded([*other[:-1], "c"]))]
+    assert len({tuple(near_copies.fingerprints_of(t.encode())) for _, t in rows}) == 1
+    kept = {r.doc_id for r in near_copies.dedup(documents(rows)).collect()}
+    check_kept(rows, kept)
+    assert len(kept) == 2 and 1 in kept
+
+
+def test_no_two_that_meet_and_are_alike_stay(documents):
+    """Windows of one row of words, all of the same fingerprints: each is alike to its neighbours, what goes is alike to one that stays."""
+    chance = random.Random(12)
+    places = [chance.randrange(300) for _ in range(60)]
+    rows = [(i, _padded([f"w{p + k}" for k in range(60)])) for i, p in enumerate(places)]
+    sets = {i: shingles_by_hand(t) for i, t in rows}
+    kept = {r.doc_id for r in near_copies.dedup(documents(rows)).collect()}
+    check_kept(rows, kept)
+    assert not [(i, j) for i in kept for j in kept if i < j and jaccard(sets[i], sets[j]) >= 0.8]
+
+
+def test_all_candidates_are_those_that_agree_in_two_blocks(spark, documents, monkeypatch):
+    """Against every pair, once each, in cells of any number of parts; only what cannot be alike is left out."""
+    rows = pairs_of(random.Random(13), [0.9, 0.82], 20, 100) + [(100 + i, t) for i, t in _group(50, random.Random(14))]
+    sets = {i: shingles_by_hand(t) for i, t in rows}
+    prints = {i: [p % (1 << 64) for p in near_copies.fingerprints_of(t.encode())] for i, t in rows}
+    edges = [round(i * 64 / 9) for i in range(10)]
+
+    def meet(x, y):
+        if (x[0] ^ y[0]).bit_count() > 16 or sum((p ^ q).bit_count() for p, q in zip(x, y)) > 28:
+            return False
+        return any(sum((p ^ q) >> a & ((1 << (b - a)) - 1) == 0 for a, b in zip(edges, edges[1:])) >= 2 for p, q in zip(x, y))
+
+    every = {(i, j) for i in prints for j in prints if j < i and meet(prints[i], prints[j])}
+    alike = {(i, j) for i, j in every if jaccard(sets[i], sets[j]) >= 0.8}
+    texts = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in rows], "node long, bytes binary")
+    found = near_copies.settle(_prints(documents, rows).join(near_copies.outlines(texts), "node"))
+    for part in (4096, 8):
+        monkeypatch.setattr(simhash, "PART", part)
+        assert {tuple(r) for r in near_copies.all_candidates(found, least=0.0).collect()} == every
+        got = [tuple(r) for r in near_copies.all_candidates(found).collect()]
+        assert len(got) == len(set(got)) and alike <= set(got) <= every
+    some = near_copies.F.col("node") < 110
+    across = {tuple(r) for r in near_copies.all_candidates(found.where(some), found.where(~some), least=0.0).collect()}
+    assert across == {(i, j) for i, j in every if (i < 110) != (j < 110)}
+
+
 def test_real_documents(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]

@@ -197,7 +197,7 @@ def in_order(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def by_cells(search):
-    """Runs ``search`` on the columns of whole cells, many at a time."""
+    """Runs ``search``, which yields batches, on the columns of whole cells, many at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
@@ -208,21 +208,21 @@ def by_cells(search):
             change = np.flatnonzero(columns[0][1:] != columns[0][:-1])
             if len(change):  # the last cell may go on in the next batch
                 cut = change[-1] + 1
-                yield search([c[:cut] for c in columns])
+                yield from search([c[:cut] for c in columns])
                 columns = [c[cut:] for c in columns]
             held = [columns]
         if held and len(held[0][0]):
-            yield search([np.concatenate(c) for c in zip(*held)])
+            yield from search([np.concatenate(c) for c in zip(*held)])
 
     return run
 
 
 def _links(max_bits: int):
-    def search(columns: list[np.ndarray]) -> pa.RecordBatch:
+    def search(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         (signed,), group = in_order(columns)
         root = connect(len(signed), linked_pairs(signed.view(np.uint64), group, max_bits))
         far = root != np.arange(len(signed))
-        return pa.RecordBatch.from_arrays([pa.array(signed[far]), pa.array(signed[root[far]])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(signed[far]), pa.array(signed[root[far]])], ["a", "b"])
 
     return by_cells(search)
 
